@@ -2,13 +2,32 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, pii, quality_rules
-from .common import table
+from . import chat, decontaminate, language_id, line_dedup, mixing, ngram_join, pii, quality_rules, token_counts, token_shards
+from .common import shared_dir, table
+
+#: Files of the public tokenizers that the queries use.
+BYTE_BPE, WORD_BPE, PIECES = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source")
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.ngram_jaccard_join(documents, ngram_join.Measure(width=3, part=90))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,15 +38,43 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.read_template(chat.format_chats(nodes)))
 
 
+def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark).rstrip('/')}/token-shards-{uuid.uuid4().hex}"
+    token_shards.write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE, path)
+    return token_shards.documents(token_shards.read_shards(spark, path))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.prefix_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE)
+    counted = counted.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), token_counts.n_tokens(F.col("prefix_counts")).alias("n_tokens"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = language_id.held_out(F.col("doc_id"))
+    model = language_id.learn(documents.where(~held_out), PIECES)
+    return language_id.identify(documents.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "text", "n_chunks_removed", "n_chars_removed")
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_chat_formatting, op6_quality_rules, op10_personal_data)
+    f.__name__: f
+    for f in (
+        op1_mixing, op2_ngram_jaccard, op3_decontamination, op4_chat_formatting, op5_token_shards,
+        op6_quality_rules, op7_token_counts, op8_language_id, op9_line_dedup, op10_personal_data,
+    )
 }
