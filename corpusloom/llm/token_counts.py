@@ -187,7 +187,8 @@ def n_tokens(packed: Column) -> Column:
 
 def tokens_before(packed: Column, chars: Column) -> Column:
     """The token count of the first chars characters."""
-    return F.when(chars <= 0, F.lit(0).cast("long")).otherwise(_at(packed, F.least(chars, (F.octet_length(packed) / 4).cast("int")) - 1))
+    n = F.least(chars, (F.octet_length(packed) / 4).cast("int"))
+    return F.when(n > 0, _at(packed, n - 1)).otherwise(F.lit(0).cast("long"))
 
 
 def longest_prefix(packed: Column, budget: int) -> Column:
