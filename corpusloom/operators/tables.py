@@ -16,7 +16,7 @@ def needs_refresh(at: Column, now: Column, fields: list[Column], seconds: int =
     unknown = F.lit(True)
     for f in fields:
         unknown = unknown & f.isNull()
-    return at.isNull() | (F.unix_seconds(now) - F.unix_seconds(at) >= seconds) | unknown
+    return at.isNull() | (F.unix_seconds(now) - F.unix_seconds(at.cast("timestamp")) >= seconds) | unknown
 
 
 def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
@@ -27,8 +27,9 @@ def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 
 
 def update_where(df: DataFrame, test: Column, values: dict[str, Column]) -> DataFrame:
-    hit = F.coalesce(test, F.lit(False))
-    return df.withColumns({k: F.when(hit, v).otherwise(F.col(k)) for k, v in values.items()}).withColumn("updated", hit)
+    """df with the values set in the rows that meet the test, and updated: whether a row did."""
+    changed = {k: F.when(F.col("updated"), v).otherwise(F.col(k)) for k, v in values.items()}
+    return df.withColumn("updated", F.coalesce(test, F.lit(False))).withColumns(changed)
 
 
 def delete_cascade(parents: DataFrame, children: DataFrame, doomed: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
