@@ -19,10 +19,13 @@ LEVELS = (12, 12, 12)
 SALTS = 32
 
 
+def _place(text: str = "text") -> Column:
+    return F.shiftrightunsigned(F.xxhash64("doc_id", F.col(text)), 4)
+
+
 def sized(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, source, size in words and place (a hash of 60 bits) of every document."""
-    place = F.shiftrightunsigned(F.xxhash64("doc_id", F.col(text)), 4)
-    return docs.select("doc_id", "source", n_words(F.col(text)).alias("size"), place.alias("place"))
+    return docs.select("doc_id", "source", n_words(F.col(text)).alias("size"), _place(text).alias("place"))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -84,6 +87,14 @@ def thresholds(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     return state.drop("rest")
 
 
+def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows (source, place) with source_size, target and copies; a large source is spread over SALTS shares."""
+    dealt = plan.withColumnRenamed("source", "_s").withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = F.pmod("place", F.lit(SALTS)).cast("int")
+    joined = rows.withColumn("_own", own).join(dealt, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_own") == F.col("_k")))
+    return joined.withColumn("copies", F.col("rounds") + (F.col("place") < F.col("below")).cast("long")).drop("_s", "_k", "_own", "rounds", "below")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """doc_id, source, size, source_size, target and copies (how often the mix takes the document) of every row of docs.
 
@@ -93,8 +104,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     """
     sizes = stash(sized(docs), "mix-sizes")
     plan = thresholds(sizes, targets(sizes, weights, share, most))
-    dealt = plan.withColumnRenamed("source", "s").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = sizes.withColumn("salt0", F.pmod("place", F.lit(SALTS)).cast("int"))
-    rows = rows.join(dealt, F.col("source").eqNullSafe(F.col("s")) & (F.col("salt0") == F.col("salt")))
-    copies = F.col("rounds") + (F.col("place") < F.col("below")).cast("long")
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    return _with_plan(sizes, plan).select("doc_id", "source", "size", "source_size", "target", "copies")
+
+
+def take(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The rows of docs as the mix takes them, each as often as it has copies."""
+    sizes = stash(sized(docs), "mix-sizes")
+    plan = thresholds(sizes, targets(sizes, weights, share, most)).select("source", "rounds", "below")
+    placed = _with_plan(docs.withColumn("place", _place()), plan).where("copies > 0")
+    return placed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(docs.columns)

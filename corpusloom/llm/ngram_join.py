@@ -275,3 +275,16 @@ def ngram_jaccard_join(docs: DataFrame, measure: Measure = Measure()) -> DataFra
     return keyed.unionByName(alone).select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size")
     )
+
+
+def keep_one_of_each(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
+    """The rows of docs without those that link to one of a smaller doc_id; of rows that repeat a doc_id one stays.
+
+    Rows without doc_id stay unless they equal, as sets, one that has it.
+    """
+    classed = ngram_jaccard_join(docs, measure)
+    kept = stash(classed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).count(), "kept")
+    out = docs.join(kept.select("_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    if kept.where("_id is not null and count > 1").isEmpty():
+        return out
+    return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
