@@ -26,3 +26,15 @@ def within_budget(df: DataFrame, group: list[str], order: list, size: str, budge
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if whole else -1)
     used = F.coalesce(F.sum(size).over(w), F.lit(0))
     return df.withColumn("used", used).where(F.col("used") <= budget if whole else F.col("used") < budget)
+
+
+def flatten(rows: DataFrame, gap: str = " > ") -> DataFrame:
+    """id, title, crumbs (titles from the root) and depth of the nodes (id, title, parent) of a tree, level by level."""
+    level = rows.where("parent is null").select("id", "title", F.col("title").alias("crumbs"), F.lit(0).alias("depth"))
+    out = level
+    while True:
+        up = level.select(F.col("id").alias("parent"), F.col("crumbs").alias("above"), "depth")
+        level = rows.join(up, "parent").select("id", "title", F.concat("above", F.lit(gap), "title").alias("crumbs"), (F.col("depth") + 1).alias("depth"))
+        if level.isEmpty():
+            return out
+        out = out.unionByName(level)

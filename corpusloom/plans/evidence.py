@@ -102,7 +102,7 @@ def graph_relevance(spark: SparkSession, d: str) -> DataFrame:
 
 
 @reg.add("""SELECT session, entity, n FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY last DESC, entity) AS n FROM (
-  SELECT session, entity, max(at) AS last FROM (SELECT conv_id % 10 AS session, conv_id * 1000 + turn AS at, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+'))) AS entity FROM conversations) GROUP BY ALL)) WHERE n <= 20""")
+  SELECT session, entity, max(seen) AS last FROM (SELECT conv_id % 10 AS session, conv_id * 1000 + turn AS seen, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+'))) AS entity FROM conversations) GROUP BY ALL)) WHERE n <= 20""")
 def carried_entities(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "conversations").select((F.col("conv_id") % 10).alias("session"), (F.col("conv_id") * 1000 + F.col("turn")).alias("at"), F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))).alias("entity"))
     last = words.groupBy("session", "entity").agg(F.max("at").alias("last"))
