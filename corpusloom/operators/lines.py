@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,10 +30,8 @@ def line_test(text: Column, pattern: str, regex: bool = False, case_sensitive: b
         raise ValueError("empty pattern")
     if not regex:
         return text.contains(pattern) if case_sensitive else F.lower(text).contains(pattern.lower())
-    spark_regex = pattern if case_sensitive else f"(?i){pattern}"
-    text_of = F.lit("").rlike(spark_regex)
-    del text_of
-    return text.rlike(spark_regex)
+    re.compile(pattern)
+    return text.rlike(pattern if case_sensitive else f"(?i){pattern}")
 
 
 def grep(lines: DataFrame, test: Column, context: int = 2) -> DataFrame:
