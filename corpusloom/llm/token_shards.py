@@ -131,7 +131,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end: int = 0, shard
         if ids:
             yield close()
 
-    dealt = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    dealt = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first())
     dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).mapInArrow(run, SCHEMA).write.parquet(path)
 
 
