@@ -12,7 +12,7 @@ from .graphs import FILES, files_of, import_edges
 reg = Registry()
 QUERIES, ORACLES = reg.queries, reg.oracles
 
-KNOWN = "kn AS (SELECT 'lib/' || source || '/' || doc_id || '.py' AS key, doc_id AS place FROM documents WHERE doc_id % 2 = 0)"
+KNOWN = "kn AS (SELECT 'lib/' || source || '/' || doc_id || '.py' AS key, doc_id AS place FROM documents)"
 ASKED = """aq AS (SELECT DISTINCT CASE doc_id % 4 WHEN 0 THEN 'lib/' || source || '/' || doc_id || '.py' WHEN 1 THEN source || '/' || (doc_id - 1) || '.py' WHEN 2 THEN '/app/x/lib/' || source || '/' || doc_id || '.py' ELSE 'lib/' || source || '/' || (doc_id + 1) || '.py:Thing' END AS path FROM documents)"""
 
 
@@ -22,7 +22,7 @@ def chunk_to_community_node(spark: SparkSession, d: str) -> DataFrame:
     docs, i = table(spark, d, "documents"), F.col("doc_id")
     s = lambda c: c.cast("string")
     lib = lambda n, z=".py": F.concat(F.lit("lib/"), "source", F.lit("/"), s(n), F.lit(z))
-    known = docs.where("doc_id % 2 = 0").select(lib(i).alias("key"), i.alias("place"))
+    known = docs.select(lib(i).alias("key"), i.alias("place"))
     path = F.when(i % 4 == 0, lib(i)).when(i % 4 == 1, F.concat("source", F.lit("/"), s(i - 1), F.lit(".py"))).when(i % 4 == 2, F.concat(F.lit("/app/x/"), lib(i))).otherwise(lib(i + 1, ".py:Thing"))
     return M.match_paths(docs.select(path.alias("path")), known)
 
@@ -44,10 +44,10 @@ def valid_files(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "path", "valid")
 
 
-@reg.add(f"""WITH {FILES}, s AS (SELECT split_part(file, '/', 1) AS section, file FROM files WHERE doc_id % 2 = 0), o AS (SELECT DISTINCT section, dst AS file FROM s JOIN ie ON src = s.file WHERE (section, dst) NOT IN (SELECT section, file FROM s))
+@reg.add(f"""WITH {FILES}, s AS (SELECT coalesce(lang, 'none') AS section, file FROM files JOIN documents USING (doc_id)), o AS (SELECT DISTINCT section, dst AS file FROM s JOIN ie ON src = s.file WHERE (section, dst) NOT IN (SELECT section, file FROM s))
 SELECT section, string_agg(file, ', ' ORDER BY file) AS needs FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY file) AS n FROM o) WHERE n <= 5 GROUP BY section""")
 def section_dependencies(spark: SparkSession, d: str) -> DataFrame:
-    f = files_of(spark, d).where("doc_id % 2 = 0").select(F.split_part("file", F.lit("/"), F.lit(1)).alias("section"), "file")
+    f = files_of(spark, d).join(table(spark, d, "documents"), "doc_id").select(F.coalesce("lang", F.lit("none")).alias("section"), "file")
     return M.section_dependencies(f, import_edges(spark, d))
 
 
