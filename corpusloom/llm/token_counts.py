@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -51,7 +52,7 @@ class PrefixCounter:
         self.open = models.BPE(vocab=self.vocab, merges=merges)
         self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.blocks = regex.compile(f"[{BLANKS}]*+[^{BLANKS}]*+[{BLANKS}]*+")
+        self.blocks = re.compile(f"[{BLANKS}]*+[^{BLANKS}]*+[{BLANKS}]*+")
         self.pieces = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{BLANKS}\p{{L}}\p{{N}}]+")
         self.joining = regex.compile(r"[\p{M}\u1100-\u11ffΣİ]")
         self.settled = regex.compile(r"(?<=\p{N})[^\p{M}]|(?<=\p{L})[\p{N}\p{P}--']", regex.V1)
@@ -98,12 +99,12 @@ class PrefixCounter:
 
     def _plain(self, text: str) -> np.ndarray:
         """Counts after each character of a text without control strings whose characters normalise one by one."""
-        out, done = np.zeros(len(text), np.int32), 0
+        out, done = [], 0
         for m in self.pieces.finditer(text):
-            out[m.start() : m.end()] = np.array(self._prefixes(m[0]), np.int32) + done
-            done = int(out[m.end() - 1])
-            out[m.end() :] = done
-        return out
+            out += [done] * (m.start() - len(out))
+            out += [done + n for n in self._prefixes(m[0])]
+            done = out[-1]
+        return np.array(out + [done] * (len(text) - len(out)), np.int32)
 
     def _block(self, block: str) -> np.ndarray:
         """Counts after each character of a block, its blanks included."""
@@ -115,7 +116,7 @@ class PrefixCounter:
                 done = (int(before[-1]) if a else 0) + 1
                 return np.concatenate([before, within, np.array([done], np.int32), rest + np.int32(done)])
         low = block.lower()
-        if len(low) == len(block) and unicodedata.is_normalized("NFC", block) and not self.joining.search(block):
+        if block.isascii() or len(low) == len(block) and unicodedata.is_normalized("NFC", block) and not self.joining.search(block):
             return self._plain(low)
         out, base, at = np.zeros(len(block), np.int32), 0, 0
         for k in range(1, len(block) + 1):  # marks may join what stands before them: encode, from the last settled place on
