@@ -6,12 +6,11 @@ Documents become sets of distinct word shingles; equal sets are one node. The jo
    differ in, so that linked sets agree in all tokens of some part; sets with an equal part share a group.
    A set's group count grows with its size only, and passages that many documents share don't open groups
    because a whole part has to agree.
-2. Each group's head is the member that most groups share (of near copies, their origin). Members are
-   verified against heads first, which is linear in the size of a group.
+2. Each group's head is the member that most groups share (of near copies, their origin). A set is verified
+   against the weightiest head of its groups first: one pair for a set, which settles most groups.
 3. Where a group still spans several components, the components' members are laid in blocks, and the
-   matrix stores each block's token union. A document opens a block only if its overlap with the union
-   meets the bound; pairs inside opened blocks are verified in rounds, in which the number of heads per
-   group doubles, and what a round links leaves the next.
+   matrix stores each block's token union. A set opens a block only if its overlap with the union meets the
+   bound; its pairs inside opened blocks are verified, each pair once.
 4. The components of the verified links give each document its class.
 
 Sets live in no task as a whole group: shuffles carry (part, node) rows, and blocks have a fixed size.
@@ -147,7 +146,7 @@ def _part_rows(docs: DataFrame, measure: Measure) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, measure: Measure) -> DataFrame:
-    """grp, node and place of every member of a group of at least two; place 1 is the head. Groups with the same members are one."""
+    """grp, node, place and weight of every member of a group of at least two; place 1 is the head. Groups with the same members are one."""
     by = Window.partitionBy("part")
     rows = _part_rows(docs, measure)
     rows = rows.withColumn("again", F.lag("node").over(by.orderBy("node"))).where("again is null or again <> node")
@@ -156,7 +155,7 @@ def similar_groups(docs: DataFrame, measure: Measure) -> DataFrame:
     member = stash(member, "group-members")
     weight = member.groupBy("node").agg(F.sum(F.col("parts") * (F.col("c") - 1)).alias("weight"))
     order = Window.partitionBy("grp").orderBy(F.desc("weight"), "node")
-    return stash(member.join(weight, "node").withColumn("place", F.row_number().over(order)).select("grp", "node", "place"), "groups")
+    return stash(member.join(weight, "node").withColumn("place", F.row_number().over(order)).select("grp", "node", "place", "weight"), "groups")
 
 
 def fetch_sets(docs: DataFrame, described: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
@@ -222,37 +221,51 @@ def qualifying(asked: DataFrame, sets: DataFrame, matrix: DataFrame, measure: Me
     return both.mapInArrow(run, "a long, component long, block long")
 
 
+def _best_heads(groups: DataFrame) -> DataFrame:
+    """a and b: each member (a) with the weightiest head of its groups (b). One pair for a node, whatever its groups' sizes."""
+    head = groups.where("place = 1").select("grp", F.col("node").alias("b"), F.col("weight").alias("w"))
+    with_head = groups.where("place > 1").select("grp", F.col("node").alias("a")).join(head, "grp")
+    return with_head.groupBy("a").agg(F.max_by("b", F.struct("w", "b")).alias("b"))
+
+
+def _members(live: DataFrame) -> DataFrame:
+    """node, component and block: the members of live groups, in blocks of at most BLOCK of a component."""
+    member = live.select("node", "component").distinct().withColumn("deal", F.pmod(F.xxhash64("node"), F.lit(DEALS)))
+    turn = F.row_number().over(Window.partitionBy("component", "deal").orderBy("node")) - 1
+    return member.withColumn("block", (F.floor(turn / BLOCK) * DEALS + F.col("deal")).cast("long")).drop("deal")
+
+
+def _asks(live: DataFrame, sizes: DataFrame, measure: Measure) -> DataFrame:
+    """a, b and b's component and block for the pairs of members that share a live group, stand in different components
+    and have sizes that can link. A pair is made once, in the first group that both share."""
+    blocks = _members(live).drop("component")
+    own = live.groupBy("node").agg(F.array_sort(F.collect_list("grp")).alias("own"))
+    rows = stash(live.join(own, "node").join(blocks, "node").join(sizes, "node"), "live-rows")
+    left = rows.select("grp", *[F.col(c).alias(f"{c}_a") for c in ("node", "component", "place", "n", "own")])
+    right = rows.select("grp", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "place", "n", "own", "block")])
+    can_link = measure.whole * F.least("n_a", "n_b") >= measure.part * F.greatest("n_a", "n_b")
+    apart = (F.col("place_a") > F.col("place_b")) & (F.col("component_a") != F.col("component_b")) & can_link
+    once = F.when(apart, left["grp"] == F.get(F.array_intersect("own_a", "own_b"), F.lit(0))).otherwise(F.lit(False))
+    met = left.join(right, (left["grp"] == right["grp"]) & once)
+    return stash(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("component_b").alias("component"), F.col("block_b").alias("block")), "asks")
+
+
 def link_sets(docs: DataFrame, described: DataFrame, measure: Measure) -> DataFrame:
     """node and component of every node that some link reaches. Each pair that could join two components is verified."""
     groups = similar_groups(docs, measure)
     sets = fetch_sets(docs, described, groups.select("node").distinct(), measure)
-    head = groups.where("place = 1").select("grp", F.col("node").alias("b"))
-    pairs = groups.where("place > 1").select("grp", F.col("node").alias("a")).join(head, "grp").select("a", "b").distinct()
-    links = stash(verify(pairs, sets, measure), "links")
-    low, high = 2, 3
-    while True:
-        label = components(links)
-        live = groups.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        spread = live.groupBy("grp").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.max("place").alias("last"))
-        spread = spread.where((F.col("p") != F.col("q")) & (F.col("last") > low)).select("grp")
-        live = stash(live.join(spread, "grp", "left_semi"), "live")
-        if live.isEmpty():
-            return label
-        member = live.select("node", "component").distinct()
-        deal = F.pmod(F.xxhash64("node"), F.lit(DEALS))
-        turn = F.row_number().over(Window.partitionBy("component", "deal").orderBy("node")) - 1
-        member = member.withColumn("deal", deal).withColumn("block", (F.floor(turn / BLOCK) * DEALS + F.col("deal")).cast("long")).drop("deal")
-        member = stash(member, "blocks")
-        placed = live.join(member, ["node", "component"])
-        heads = placed.where((F.col("place") >= low) & (F.col("place") < high)).select(
-            "grp", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("block").alias("bb"), F.col("place").alias("pb")
-        )
-        asks = placed.select("grp", F.col("node").alias("a"), F.col("component").alias("ca"), "place").join(heads, "grp")
-        asks = stash(asks.where("ca <> cb and place > pb").select("a", "b", F.col("cb").alias("component"), F.col("bb").alias("block")).distinct(), "asks")
-        opened = qualifying(asks.select("a", "component", "block").distinct(), sets, union_matrix(member.join(asks, ["component", "block"], "left_semi"), sets), measure)
-        more = verify(asks.join(opened, ["a", "component", "block"], "left_semi").select("a", "b"), sets, measure)
-        links = stash(links.unionByName(more), "links")
-        low, high = high, 2 * high
+    links = stash(verify(_best_heads(groups), sets, measure), "links")
+    label = components(links)
+    live = groups.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    spread = live.groupBy("grp").agg(F.min("component").alias("p"), F.max("component").alias("q")).where(F.col("p") != F.col("q")).select("grp")
+    live = stash(live.join(spread, "grp", "left_semi"), "live")
+    if live.isEmpty():
+        return label
+    asks = _asks(live, sets.select("node", (F.length("tokens") / 8).cast("long").alias("n")), measure)
+    matrix = union_matrix(_members(live).join(asks, ["component", "block"], "left_semi"), sets)
+    opened = qualifying(asks.select("a", "component", "block").distinct(), sets, matrix, measure)
+    more = verify(asks.join(opened, ["a", "component", "block"], "left_semi").select("a", "b"), sets, measure)
+    return components(links.unionByName(more))
 
 
 def ngram_jaccard_join(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
