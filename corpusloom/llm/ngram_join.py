@@ -7,8 +7,9 @@ Documents become sets of distinct word shingles; equal sets are one node. The jo
    A set's group count grows with its size only, and passages that many documents share don't open groups
    because a whole part has to agree.
 2. Each group's head is the member that most groups share (of near copies, their origin). A set is verified
-   against the weightiest head of its groups first: one pair for a set, which settles most groups.
-3. Where a group still spans several components, the components' members are laid in blocks, and the
+   against the weightiest head of its groups first: one pair for a set. Sets of one head can link past it only
+   if they share what they differ in from the head, which is rare: they meet in a join on those tokens.
+3. Where a group still spans several components, its sets of different heads are laid in blocks, and the
    matrix stores each block's token union. A set opens a block only if its overlap with the union meets the
    bound; its pairs inside opened blocks are verified, each pair once.
 4. The components of the verified links give each document its class.
@@ -195,6 +196,52 @@ def verify(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def compare(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
+    """a, b, linked, n_a, n_b and differ (the tokens that one of the two sets holds) of each pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 500):
+                part = b.slice(k, 500)
+                linked, na, nb, differ = [], [], [], []
+                for x, y in zip(part["ta"], part["tb"], strict=True):
+                    p, q = _tokens(x.as_py()), _tokens(y.as_py())
+                    d = np.setxor1d(p, q, assume_unique=True)
+                    both = (len(p) + len(q) - len(d)) // 2
+                    linked.append(measure.whole * both >= measure.part * (len(p) + len(q) - both))
+                    na.append(len(p))
+                    nb.append(len(q))
+                    differ.append(d.astype(np.int64))
+                cols = [part["a"], part["b"], pa.array(linked, pa.bool_()), pa.array(na, pa.int64()), pa.array(nb, pa.int64()), pa.array(differ, pa.list_(pa.int64()))]
+                yield pa.record_batch(cols, ["a", "b", "linked", "n_a", "n_b", "differ"])
+
+    left, right = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    return both.mapInArrow(run, "a long, b long, linked boolean, n_a long, n_b long, differ array<long>")
+
+
+def pairs_around_heads(compared: DataFrame, measure: Measure) -> DataFrame:
+    """a, b: the pairs of one head's sets that can link though one of them doesn't link to the head.
+
+    Let X and Y be what the two differ in from the head p, and k = (whole - part) / (whole + part). They link only if
+    X and Y share at least (|X| + |Y| - (n_x + n_y) k) / 2 tokens; where x doesn't link to p, that is more than
+    ((n_p - n_y) k + |Y|) / 2, and so more than none. Hence one of the rarest tokens of Y, all but that many, is in X.
+    What near copies differ in is rare, so these joins stay small where a join on what they share would pair them all.
+    """
+    k = (measure.whole - measure.part) / (measure.whole + measure.part)
+    token = compared.select("a", "b", "linked", "n_a", "n_b", F.size("differ").alias("d"), F.explode("differ").alias("token"))
+    often = token.groupBy("b", "token").agg(F.count("*").alias("often"), F.bool_or(~F.col("linked")).alias("asked")).where("often > 1 and asked")
+    token = stash(token.join(often.drop("asked"), ["b", "token"], "left").withColumn("often", F.coalesce("often", F.lit(1).cast("long"))), "differences")
+    least = F.floor(((F.col("n_b") - F.col("n_a")) * k + F.col("d")) / 2 - 1e-9) + 1
+    first = F.row_number().over(Window.partitionBy("a").orderBy("often", "token"))
+    index = token.withColumn("r", first).where((F.col("r") <= F.col("d") - least + 1) & (F.col("often") > 1))
+    index = index.select("b", "token", F.col("a").alias("y"), F.col("n_a").alias("n_y"), F.col("d").alias("d_y"), F.col("linked").alias("linked_y"))
+    asks = token.where("not linked and often > 1").select("b", "token", F.col("a").alias("x"), F.col("n_a").alias("n_x"), F.col("d").alias("d_x"))
+    met = asks.join(index, ["b", "token"]).where("x <> y")
+    can_link = measure.whole * F.least("n_x", "n_y") >= measure.part * F.greatest("n_x", "n_y")
+    return met.where(can_link).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def union_matrix(members: DataFrame, sets: DataFrame) -> DataFrame:
     """The matrix: component, block and tokens (the union of the block's sets) for members (node, component, block)."""
 
@@ -235,16 +282,18 @@ def _members(live: DataFrame) -> DataFrame:
     return member.withColumn("block", (F.floor(turn / BLOCK) * DEALS + F.col("deal")).cast("long")).drop("deal")
 
 
-def _asks(live: DataFrame, sizes: DataFrame, measure: Measure) -> DataFrame:
-    """a, b and b's component and block for the pairs of members that share a live group, stand in different components
-    and have sizes that can link. A pair is made once, in the first group that both share."""
+def _asks(live: DataFrame, sizes: DataFrame, heads: DataFrame, measure: Measure) -> DataFrame:
+    """a, b and b's component and block for the pairs of members that share a live group, stand in different components,
+    have different heads (node, head) and sizes that can link. A pair is made once, in the first group that both share."""
     blocks = _members(live).drop("component")
     own = live.groupBy("node").agg(F.array_sort(F.collect_list("grp")).alias("own"))
-    rows = stash(live.join(own, "node").join(blocks, "node").join(sizes, "node"), "live-rows")
-    left = rows.select("grp", *[F.col(c).alias(f"{c}_a") for c in ("node", "component", "place", "n", "own")])
-    right = rows.select("grp", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "place", "n", "own", "block")])
+    rows = live.join(own, "node").join(blocks, "node").join(sizes, "node").join(heads, "node", "left")
+    rows = stash(rows.withColumn("head", F.coalesce("head", "node")), "live-rows")
+    left = rows.select("grp", *[F.col(c).alias(f"{c}_a") for c in ("node", "component", "place", "n", "own", "head")])
+    right = rows.select("grp", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "place", "n", "own", "head", "block")])
     can_link = measure.whole * F.least("n_a", "n_b") >= measure.part * F.greatest("n_a", "n_b")
     apart = (F.col("place_a") > F.col("place_b")) & (F.col("component_a") != F.col("component_b")) & can_link
+    apart = apart & (F.col("head_a") != F.col("head_b")) & (F.col("head_a") != F.col("node_b")) & (F.col("head_b") != F.col("node_a"))
     once = F.when(apart, left["grp"] == F.get(F.array_intersect("own_a", "own_b"), F.lit(0))).otherwise(F.lit(False))
     met = left.join(right, (left["grp"] == right["grp"]) & once)
     return stash(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("component_b").alias("component"), F.col("block_b").alias("block")), "asks")
@@ -254,14 +303,16 @@ def link_sets(docs: DataFrame, described: DataFrame, measure: Measure) -> DataFr
     """node and component of every node that some link reaches. Each pair that could join two components is verified."""
     groups = similar_groups(docs, measure)
     sets = fetch_sets(docs, described, groups.select("node").distinct(), measure)
-    links = stash(verify(_best_heads(groups), sets, measure), "links")
+    compared = stash(compare(_best_heads(groups), sets, measure), "compared")
+    near = verify(pairs_around_heads(compared, measure), sets, measure)
+    links = stash(compared.where("linked").select("a", "b").unionByName(near), "links")
     label = components(links)
     live = groups.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     spread = live.groupBy("grp").agg(F.min("component").alias("p"), F.max("component").alias("q")).where(F.col("p") != F.col("q")).select("grp")
     live = stash(live.join(spread, "grp", "left_semi"), "live")
     if live.isEmpty():
         return label
-    asks = _asks(live, sets.select("node", (F.length("tokens") / 8).cast("long").alias("n")), measure)
+    asks = _asks(live, sets.select("node", (F.length("tokens") / 8).cast("long").alias("n")), compared.select(F.col("a").alias("node"), F.col("b").alias("head")), measure)
     matrix = union_matrix(_members(live).join(asks, ["component", "block"], "left_semi"), sets)
     opened = qualifying(asks.select("a", "component", "block").distinct(), sets, matrix, measure)
     more = verify(asks.join(opened, ["a", "component", "block"], "left_semi").select("a", "b"), sets, measure)
