@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Distinct words and blocks that a task remembers; beyond it the memo is begun anew.
-MEMO = 400_000
+MEMO = 600_000
 #: Characters of text whose counts one output batch holds.
 BATCH_CHARS = 1 << 20
 
