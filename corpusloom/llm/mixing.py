@@ -111,5 +111,6 @@ def take(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     """The rows of docs as the mix takes them, each as often as it has copies."""
     sizes = stash(sized(docs), "mix-sizes")
     plan = thresholds(sizes, targets(sizes, weights, share, most)).select("source", "rounds", "below")
-    placed = _with_plan(docs.withColumn("place", _place()), plan).where("copies > 0")
-    return placed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "source", _place().alias("place"))
+    placed = _with_plan(rows, plan).where("copies > 0")
+    return placed.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_row.*")

@@ -348,7 +348,7 @@ def keep_one_of_each(docs: DataFrame, measure: Measure = Measure()) -> DataFrame
     """
     classed = ngram_jaccard_join(docs, measure)
     kept = stash(classed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).count(), "kept")
-    out = docs.join(kept.select("_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
     if kept.where("_id is not null and count > 1").isEmpty():
         return out
     return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))

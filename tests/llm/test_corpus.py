@@ -115,6 +115,10 @@ def test_mixing(spark, docs):
             assert per[s][2] == pytest.approx(2 * per[s][0] if s in capped else level * weight[s])
             assert abs(per[s][1] - per[s][2]) <= largest
     assert mixing.mix(docs.limit(0)).count() == 0
+    clash = docs.withColumns({c: F.lit(c) for c in ("place", "rounds", "below", "copies", "target", "_id", "component_id")})
+    took = mixing.take(clash)
+    assert took.columns == clash.columns and took.count() == sum(r.copies for r in mixing.mix(docs).collect()) and {r.place for r in took.collect()} == {"place"}
+    assert ngram_join.keep_one_of_each(clash).columns == clash.columns
     nothing = spark.createDataFrame([(1, None, "a"), (1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
     assert [r.copies * r.size for r in mixing.mix(nothing).collect()] == [0, 0, 0]
 
