@@ -39,6 +39,8 @@ _U = np.uint64
 BLOCK = 64
 #: Deals of a component's members that are numbered apart, so that a large one takes several tasks.
 DEALS = 8
+#: A set counts as one of its head's if the two differ in at most this many times what linked sets may; others go by groups.
+FAR = 3
 #: Distinct sets that a task remembers, to emit the parts of equal sets once.
 SEEN = 200_000
 
@@ -304,7 +306,8 @@ def link_sets(docs: DataFrame, described: DataFrame, measure: Measure) -> DataFr
     groups = similar_groups(docs, measure)
     sets = fetch_sets(docs, described, groups.select("node").distinct(), measure)
     compared = stash(compare(_best_heads(groups), sets, measure), "compared")
-    near = verify(pairs_around_heads(compared, measure), sets, measure)
+    close = compared.where((measure.whole + measure.part) * F.size("differ") <= FAR * (measure.whole - measure.part) * (F.col("n_a") + F.col("n_b")))
+    near = verify(pairs_around_heads(close, measure), sets, measure)
     links = stash(compared.where("linked").select("a", "b").unionByName(near), "links")
     label = components(links)
     live = groups.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -312,7 +315,7 @@ def link_sets(docs: DataFrame, described: DataFrame, measure: Measure) -> DataFr
     live = stash(live.join(spread, "grp", "left_semi"), "live")
     if live.isEmpty():
         return label
-    asks = _asks(live, sets.select("node", (F.length("tokens") / 8).cast("long").alias("n")), compared.select(F.col("a").alias("node"), F.col("b").alias("head")), measure)
+    asks = _asks(live, sets.select("node", (F.length("tokens") / 8).cast("long").alias("n")), close.select(F.col("a").alias("node"), F.col("b").alias("head")), measure)
     matrix = union_matrix(_members(live).join(asks, ["component", "block"], "left_semi"), sets)
     opened = qualifying(asks.select("a", "component", "block").distinct(), sets, matrix, measure)
     more = verify(asks.join(opened, ["a", "component", "block"], "left_semi").select("a", "b"), sets, measure)
