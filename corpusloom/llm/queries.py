@@ -63,7 +63,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cleaned = line_dedup.dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "text", "n_chunks_removed", "n_chars_removed")
 
 

@@ -271,3 +271,62 @@ def test_line_dedup(spark):
         assert got[i].text == "\n".join(keep) and got[i].n_chunks_removed == len(chunks[i]) - len(keep)
     assert sum(got[k].n_chunks_removed for k in range(1, 6)) >= 5
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+def brute_passages(rows, rule):
+    """Text and stretches removed of each row, from all runs of lines."""
+    def runs(lines):
+        for a in range(len(lines)):
+            for z in range(a + 1, len(lines) + 1):
+                t = "\n".join(lines[a:z])
+                if (z - a >= rule.least_lines and len(t) >= rule.least_chars) or (z - a == 1 and len(t.split()) >= rule.least_words):
+                    yield a, z, t
+
+    first, out = {}, []
+    key = lambda i, a: (i is None, i or 0, a)
+    for i, t in rows:
+        for a, _, x in runs(t.split("\n")) if t is not None else ():
+            first[x] = min(first.get(x, key(i, a)), key(i, a))
+    for i, t in rows:
+        if t is None:
+            out.append((i, None, 0))
+            continue
+        lines, gone = t.split("\n"), set()
+        for a, z, x in runs(lines):
+            if first[x] != key(i, a):
+                gone |= set(range(a, z))
+        out.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone), sum(k - 1 not in gone for k in gone)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("rule", [line_dedup.Passages(), line_dedup.Passages(3, 25, 12)])
+def test_passages_go_whole(spark, rule):
+    rnd = random.Random(9)
+    line = lambda n=8: " ".join(rnd.choice(["alpha", "beta", "gamma", "delta"]) + str(rnd.randrange(9999)) for _ in range(n))
+    rows = []
+    for k in range(60):  # passages of 1 to 6 lines, some of one long line
+        passage = [line() for _ in range(k % 6 + 1)] if k % 10 else [line(50)]
+        rows += [(10 * k + j, "\n".join([line() for _ in range(rnd.randrange(4))] + passage + [line() for _ in range(rnd.randrange(4))])) for j in range(2)]
+    rows += [(2000 + k, "\n".join(rnd.choice(["", "a", "bb", "- c", "one more line", "yes, that is a line of some length"]) for _ in range(rnd.randrange(30)))) for k in range(25)]
+    rows += [(3000, None), (3001, ""), (3002, "\n\n"), (3003, "\n" * 90), (3004, "é\n" * 60), (0, rows[1][1]), (0, rows[1][1]), (None, rows[0][1]), (None, rows[5][1]), (3005, "\n".join([rows[30][1]] * 3))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chunks_removed", F.lit("x")).withColumn("extra", F.lit(1))
+    out = line_dedup.dedup_passages(df, rule)
+    assert out.columns == ["doc_id", "text", "extra", "n_chunks_removed", "n_chars_removed"]
+    got = out.collect()
+    assert sorted([(r.doc_id, r.text, r.n_chunks_removed) for r in got], key=str) == brute_passages(rows, rule)
+    assert sum(r.n_chars_removed for r in got) == sum(len(t or "") for _, t in rows) - sum(len(r.text or "") for r in got) > 0
+    assert line_dedup.dedup_passages(df.limit(0), rule).count() == 0
+
+
+def test_line_dedup_query_removes_short_passages(spark, tmp_path):
+    from corpusloom.llm.queries import op9_line_dedup
+
+    line = lambda k, n=8: " ".join(f"w{k}x{i}" for i in range(n))
+    passages = [[line(100 * n + k) for k in range(n)] for n in range(2, 7)] + [[line(999, 50)]]
+    rows = [(10 * p + d, "\n".join([line(10_000 + 20 * p + d), *x, line(11_000 + 20 * p + d)])) for p, x in enumerate(passages) for d in range(2)]
+    rows += [(90 + d, "\n".join([line(12_000 + d), line(998), line(13_000 + d)])) for d in range(2)]  # a single short line stays
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.text.split("\n") for r in op9_line_dedup(spark, str(tmp_path)).collect()}
+    for p, x in enumerate(passages):
+        assert len(got[10 * p]) == len(x) + 2 and got[10 * p + 1] == [line(10_001 + 20 * p), line(11_001 + 20 * p)]
+    assert len(got[90]) == len(got[91]) == 3
