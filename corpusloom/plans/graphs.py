@@ -225,27 +225,27 @@ def file_graph(spark: SparkSession, d: str) -> DataFrame:
     return G.file_edges(supplier_pairs(spark, d)).select("a", "b", F.round("weight", 6).alias("weight"))
 
 
+def strong_pairs(spark: SparkSession, d: str, share: float = 0.99) -> DataFrame:
+    """Suppliers joined where they share more orders than most pairs do, as the SQL of directory_chain has it."""
+    pairs = G.file_edges(supplier_pairs(spark, d))
+    cut = pairs.agg(F.percentile("weight", share)).first()[0] or 0.0
+    return pairs.where(F.col("weight") > cut)
+
+
 @reg.add(f"""WITH {PAIRS}, st AS (SELECT * FROM fe WHERE weight > (SELECT quantile_cont(weight, 0.99) FROM fe)), w AS (SELECT a AS f FROM st UNION SELECT b FROM st),
   ch AS (SELECT s_suppkey AS a, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS b FROM supplier),
   al AS (SELECT a, b, weight FROM st UNION ALL SELECT a, b, 0.22 FROM ch WHERE b IS NOT NULL AND (a NOT IN (SELECT f FROM w) OR b NOT IN (SELECT f FROM w)))
 SELECT a, b, round(sum(weight), 6) AS weight FROM al GROUP BY ALL""")
 def directory_chain(spark: SparkSession, d: str) -> DataFrame:
-    pairs, _ = community_graph(spark, d, 0.99)
+    pairs = strong_pairs(spark, d)
     files = table(spark, d, "supplier").select(F.col("s_suppkey").alias("file"), F.col("s_nationkey").alias("dir"))
     return G.directory_chain(files, pairs).select("a", "b", F.round("weight", 6).alias("weight"))
 
 
-def community_graph(spark: SparkSession, d: str, share: float = 0.9) -> tuple[DataFrame, DataFrame]:
-    """Suppliers joined where they share more orders than most pairs do, and all suppliers."""
-    pairs = G.file_edges(supplier_pairs(spark, d))
-    cut = pairs.agg(F.percentile("weight", share)).first()[0] or 0.0
-    return pairs.where(F.col("weight") > cut), table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
-
-
 @reg.add()
 def communities(spark: SparkSession, d: str) -> DataFrame:
-    edges, nodes = community_graph(spark, d)
-    return G.communities(edges, nodes)
+    """Communities of the suppliers over all their shared orders."""
+    return G.communities(G.file_edges(supplier_pairs(spark, d)), table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")))
 
 
 MERGE = """m AS (SELECT CASE WHEN doc_id % 50 = 3 THEN 1000 + doc_id ELSE doc_id % 20 END AS community, 'src' || (doc_id % 20) || '/' || lang || '/' || doc_id AS file FROM documents)"""

@@ -1,6 +1,6 @@
 """Queries over whole tables: nothing of a table is left out before its operator runs."""
 
-from corpusloom.plans import retrieval
+from corpusloom.plans import graphs, retrieval
 
 
 def test_mmr_rerank_sees_all_documents_and_vectors(spark, tmp_path):
@@ -16,3 +16,14 @@ def test_mmr_rerank_sees_all_documents_and_vectors(spark, tmp_path):
     assert set(got[0]) == {0, 1, 2, 3, 5, 20, 21} and set(got[20]) == {0, 1, 3, 5, 20, 21}
     # the late words decide: without them all other documents are alike and the lowest id comes first
     assert got[20][0] in (20, 21)
+
+
+def test_communities_use_all_edges(spark, tmp_path):
+    groups = [(1, 2, 3, 4), (5, 6, 7, 8), (9, 10, 11)]
+    orders = [(a, b) for g in groups for a in g for b in g if a < b]
+    spark.createDataFrame([(k, s) for k, o in enumerate(orders) for s in o], "l_orderkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(s,) for g in groups for s in g], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    got: dict[int, set] = {}
+    for r in graphs.communities(spark, str(tmp_path)).collect():
+        got.setdefault(r.community, set()).add(r.id)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups))
