@@ -173,7 +173,8 @@ def fetch_sets(docs: DataFrame, described: DataFrame, nodes: DataFrame, measure:
     named = described.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = stash(named.select("doc_id").where("doc_id is not null"), "wanted")
     made = docs.select("doc_id", "text").join(broadcast_if_small(wanted, 16), "doc_id", "left_semi").select("text").mapInArrow(run, "node long, tokens binary")
-    return stash(made, "sets")
+    # rows that repeat a doc_id make their set once each
+    return stash(made.dropDuplicates(["node"]), "sets")
 
 
 def _tokens(x: bytes) -> np.ndarray:

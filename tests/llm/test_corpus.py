@@ -330,3 +330,38 @@ def test_line_dedup_query_removes_short_passages(spark, tmp_path):
     for p, x in enumerate(passages):
         assert len(got[10 * p]) == len(x) + 2 and got[10 * p + 1] == [line(10_001 + 20 * p), line(11_001 + 20 * p)]
     assert len(got[90]) == len(got[91]) == 3
+
+
+@pytest.mark.parametrize("part", [80, 90])
+def test_ngram_join_repeated_rows(spark, part):
+    rnd = random.Random(part)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for family in range(25):  # a head with close copies, and chains that leave it step by step
+        head = [word() for _ in range(120)]
+        copies = [list(head)]
+        for _ in range(5):
+            w = list(head)
+            w[rnd.randrange(120)] = word()
+            copies.append(w)
+        for _ in range(3):
+            w = list(head)
+            for _ in range(6):
+                for k in rnd.sample(range(120), 1 if part == 90 else 2):
+                    w[k] = word()
+                w = list(w)
+                copies.append(w)
+        rows += [(100 * family + k, " ".join(w)) for k, w in enumerate(copies)]
+    rows = [r for r in rows for _ in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_join(df, ngram_join.Measure(3, part)).collect()}
+    assert got == brute_components(rows, 3, part)
+
+
+def test_ngram_sets_are_made_once(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text)] * 3 + [(2, text + " x"), (2, text + " x")], "doc_id long, text string")
+    measure = ngram_join.Measure(3, 90)
+    described = ngram_join.describe_sets(df, measure)
+    sets = ngram_join.fetch_sets(df, described, described.select("node").distinct(), measure)
+    assert sets.count() == sets.select("node").distinct().count() == 2
