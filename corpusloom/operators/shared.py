@@ -1,4 +1,4 @@
-"""Cutting the lineage of iterative jobs."""
+"""Cutting the lineage of iterative jobs, in the folder that all executors share."""
 
 from __future__ import annotations
 
@@ -9,16 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one on a local master; elsewhere that is an error."""
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not own:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(own)
     return own
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back, so that a lost executor costs no earlier round."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/rounds/{uuid.uuid4().hex}"
+def stash(df: DataFrame, name: str = "rounds") -> DataFrame:
+    """df written to the shared folder and read back, so that a lost executor costs no earlier step."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/stash/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stash_path = path
+    return out
+
+
+def unstash(*tables: DataFrame) -> None:
+    """Free the disk of tables that stash returned and that nothing will read again."""
+    for df in tables:
+        df.sparkSession.range(0).write.mode("overwrite").parquet(df.stash_path)
