@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import shared_dir, stash, unstash  # noqa: F401
+
 #: Words are runs of characters other than these ASCII blanks.
 BLANK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,22 +17,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not own:
-        own = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df to the shared folder as Parquet and read it back."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/stash/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Mark df for broadcast if its counted rows take at most limit bytes; else leave it to a shuffle join.
 

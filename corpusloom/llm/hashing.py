@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240601))
@@ -85,6 +86,16 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(rows), np.concatenate(hashes)) if rows else (np.zeros(0, np.int64), np.zeros(0, _U))
 
 
+def stretches(texts: pa.Array, most: int = 8 << 20) -> Iterator[pa.Array]:
+    """The array in slices of at most so many bytes of text, one row at least."""
+    sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))])
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + most, "right")) - 1)
+        yield texts.slice(at, to - at)
+        at = to
+
+
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     """For each row, the sorted distinct hashes of its word shingles; fewer words than width make one shingle."""
     row, h = word_hashes(texts)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import stash, unstash
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,7 +22,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = small.select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
-        edges = stash(small.select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct(), "links")
+        last, edges = edges, stash(small.select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct(), "links")
+        unstash(last)
         now = _print(edges)
         if now == seen:
             break

@@ -3,18 +3,17 @@
 Documents become sets of distinct word shingles; equal sets are one node. The join is exact:
 
 1. Similar sets fall into groups. The hash range is cut into m parts, one more than two linked sets can
-   differ in, so that linked sets agree in all tokens of some part; sets with an equal part share a group.
-   A set's group count grows with its size only, and passages that many documents share don't open groups
-   because a whole part has to agree.
-2. Each group's head is the member that most groups share (of near copies, their origin). A set is verified
-   against the weightiest head of its groups first: one pair for a set. Sets of one head can link past it only
-   if they share what they differ in from the head, which is rare: they meet in a join on those tokens.
-3. Where a group still spans several components, its sets of different heads are laid in blocks, and the
-   matrix stores each block's token union. A set opens a block only if its overlap with the union meets the
-   bound; its pairs inside opened blocks are verified, each pair once.
-4. The components of the verified links give each document its class.
-
-Sets live in no task as a whole group: shuffles carry (part, node) rows, and blocks have a fixed size.
+   differ in, so that linked sets agree in all tokens of some part; sets that share a part have the part's head
+   in common, the sharer of most parts (of near copies, their origin). A group is a head with all that share a
+   part with it: linked sets are in a common group. Each member is compared with its head once.
+2. The matrix stores the token union of each group whose members don't all hang together yet: each token in
+   which a member differs from the head, with the number of members that it sets apart. A group's union is cut
+   into pieces by token, so that no task holds a large group.
+3. The bound: what a member and a partner differ in from the head must overlap by so many tokens. A member
+   whose overlap with the union of the others falls short has no partner in the group, and doesn't open it.
+4. In opened groups, members meet on the rarest of these tokens that the bound leaves (a prefix filter), only
+   where the holders of a token stand in different components; the pairs so met are verified, each once.
+5. The components of the verified links give each document its class.
 """
 
 from __future__ import annotations
@@ -25,22 +24,19 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stash
-from .hashing import mix, shingle_sets
+from .common import broadcast_if_small, stash, unstash
+from .hashing import mix, shingle_sets, stretches
 from .links import components
 
 _U = np.uint64
-#: Members of a component whose token union makes one row of the matrix.
-BLOCK = 64
-#: Deals of a component's members that are numbered apart, so that a large one takes several tasks.
-DEALS = 8
-#: A set counts as one of its head's if the two differ in at most this many times what linked sets may; others go by groups.
-FAR = 3
+#: Token ids and members of a group that one piece of its union takes in, more or less.
+PIECE_IDS, PIECE_MEMBERS = 4_000_000, 500_000
+#: Bytes of sets or ids that one output batch holds, unless a single one is longer.
+BATCH_BYTES = 8 << 20
 #: Distinct sets that a task remembers, to emit the parts of equal sets once.
 SEEN = 200_000
 
@@ -121,9 +117,10 @@ def describe_sets(docs: DataFrame, measure: Measure) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, node = [], []
-            for s in shingle_sets(b["text"], measure.width):
-                n.append(len(s))
-                node.append(_prints(s)[0] if len(s) else None)
+            for texts in stretches(b["text"]):
+                for s in shingle_sets(texts, measure.width):
+                    n.append(len(s))
+                    node.append(_prints(s)[0] if len(s) else None)
             yield pa.record_batch([b["doc_id"], pa.array(n, pa.int64()), pa.array(node, pa.int64())], ["doc_id", "n_shingles", "node"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long")
@@ -133,32 +130,42 @@ def _part_rows(docs: DataFrame, measure: Measure) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            keys, nodes = [], []
-            for s in shingle_sets(b["text"], measure.width):
-                if not len(s) or (node := _prints(s)[0]) in seen:
-                    continue
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add(node)
-                keys.append(part_keys(s, measure))
-                nodes.append(np.full(len(keys[-1]), node, np.int64))
-            if keys:
-                yield pa.record_batch([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(nodes))], ["part", "node"])
+            for texts in stretches(b["text"]):
+                keys, nodes = [], []
+                for s in shingle_sets(texts, measure.width):
+                    if not len(s) or (node := _prints(s)[0]) in seen:
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(node)
+                    keys.append(part_keys(s, measure))
+                    nodes.append(np.full(len(keys[-1]), node, np.int64))
+                if keys:
+                    yield pa.record_batch([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(nodes))], ["part", "node"])
 
     return docs.select("text").mapInArrow(run, "part long, node long")
 
 
 def similar_groups(docs: DataFrame, measure: Measure) -> DataFrame:
-    """grp, node, place and weight of every member of a group of at least two; place 1 is the head. Groups with the same members are one."""
+    """a and b: every set (a) that shares a part with others, with each head (b) of its parts, itself left out.
+
+    Parts with the same sharers are one. The head of a part is the sharer with the most sharers in all its parts.
+    """
     by = Window.partitionBy("part")
     rows = _part_rows(docs, measure)
     rows = rows.withColumn("again", F.lag("node").over(by.orderBy("node"))).where("again is null or again <> node")
     rows = rows.withColumn("c", F.count("*").over(by)).withColumn("x", F.bit_xor(F.xxhash64("node")).over(by)).where("c > 1")
-    member = rows.groupBy(F.xxhash64("x", "c").alias("grp"), "node").agg(F.count("*").alias("parts"), F.max("c").alias("c"))
-    member = stash(member, "group-members")
-    weight = member.groupBy("node").agg(F.sum(F.col("parts") * (F.col("c") - 1)).alias("weight"))
-    order = Window.partitionBy("grp").orderBy(F.desc("weight"), "node")
-    return stash(member.join(weight, "node").withColumn("place", F.row_number().over(order)).select("grp", "node", "place", "weight"), "groups")
+    sharer = rows.groupBy(F.xxhash64("x", "c").alias("shared"), "node").agg(F.count("*").alias("parts"), F.max("c").alias("c"))
+    sharer = stash(sharer, "sharers")
+    weight = sharer.groupBy("node").agg(F.sum(F.col("parts") * (F.col("c") - 1)).alias("weight"))
+    head = sharer.join(weight, "node").groupBy("shared").agg(F.max_by("node", F.struct("weight", "node")).alias("b"))
+    pairs = stash(sharer.join(head, "shared").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "members")
+    unstash(sharer)
+    return pairs
+
+
+def _tokens(x: pa.Scalar, kind: type = _U) -> np.ndarray:
+    return np.frombuffer(x.as_buffer(), kind)
 
 
 def fetch_sets(docs: DataFrame, described: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
@@ -166,161 +173,200 @@ def fetch_sets(docs: DataFrame, described: DataFrame, nodes: DataFrame, measure:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a in range(0, b.num_rows, 200):
-                sets = [s for s in shingle_sets(b["text"].slice(a, 200), measure.width) if len(s)]
+            for texts in stretches(b["text"], BATCH_BYTES // 2):
+                sets = [s for s in shingle_sets(texts, measure.width) if len(s)]
                 yield pa.record_batch([pa.array([_prints(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "tokens"])
 
-    named = described.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = stash(named.select("doc_id").where("doc_id is not null"), "wanted")
+    # one row for all copies before the join, so that many copies don't meet in one task
+    first = described.groupBy("node").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
+    wanted = stash(first.join(nodes, "node", "left_semi").select("doc_id"), "wanted")
     made = docs.select("doc_id", "text").join(broadcast_if_small(wanted, 16), "doc_id", "left_semi").select("text").mapInArrow(run, "node long, tokens binary")
     # rows that repeat a doc_id make their set once each
-    return stash(made.dropDuplicates(["node"]), "sets")
-
-
-def _tokens(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, _U)
+    sets = stash(made.dropDuplicates(["node"]), "sets")
+    unstash(wanted)
+    return sets
 
 
-def verify(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets link."""
+def compare(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
+    """a, b, linked, n_a, n_b, d and ids of each pair: d tokens stand in one of the two sets only; ids are 32 bits of each, sorted and packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b", "linked", "n_a", "n_b", "d", "ids"]
         for b in batches:
-            keep = []
-            for x, y in zip(b["ta"], b["tb"], strict=True):
-                p, q = _tokens(x.as_py()), _tokens(y.as_py())
-                both = len(p) + len(q) - len(np.union1d(p, q))
-                keep.append(measure.whole * both >= measure.part * (len(p) + len(q) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            linked, na, nb, differ, held, start = [], [], [], [], 0, 0
+            for i, (x, y) in enumerate(zip(b["ta"], b["tb"], strict=True), 1):
+                p, q = _tokens(x), _tokens(y)
+                d = np.setxor1d(p, q, assume_unique=True)
+                both = (len(p) + len(q) - len(d)) // 2
+                linked.append(measure.whole * both >= measure.part * (len(p) + len(q) - both))
+                na.append(len(p))
+                nb.append(len(q))
+                differ.append((d >> _U(32)).astype(np.uint32).tobytes())
+                held += len(differ[-1])
+                if held >= BATCH_BYTES or i == b.num_rows:
+                    cols = [b["a"].slice(start, i - start), b["b"].slice(start, i - start), pa.array(linked, pa.bool_()), pa.array(na, pa.int64()), pa.array(nb, pa.int64())]
+                    yield pa.record_batch([*cols, pa.array([len(x) // 4 for x in differ], pa.int64()), pa.array(differ, pa.binary())], names)
+                    linked, na, nb, differ, held, start = [], [], [], [], 0, i
 
     left, right = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    size = lambda c: F.length(c)
-    near = measure.whole * F.least(size("ta"), size("tb")) >= measure.part * F.greatest(size("ta"), size("tb"))
-    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    heads = right.join(pairs.select("b").distinct(), "b", "left_semi")
+    both = pairs.join(left, "a").join(heads, "b").select("a", "b", "ta", "tb")
+    return both.mapInArrow(run, "a long, b long, linked boolean, n_a long, n_b long, d long, ids binary")
 
 
-def compare(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
-    """a, b, linked, n_a, n_b and differ (the tokens that one of the two sets holds) of each pair."""
+def overlap_bound(measure: Measure, linked: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The fewest differences from the head b that a shares with any partner whose link isn't through the head.
+
+    x and y, that differ in d and e tokens from the head p and share o of these, link only if
+    (whole + part) (d + e - 2 o) <= (whole - part) (n_x + n_y), where n_y <= n_p + e and e >= o. One of them, x, does
+    not link to p. What follows for o is rounded up; for y, which may link to p, o is above its bound.
+    """
+    s, k = measure.whole + measure.part, measure.whole - measure.part
+    apart = -(-(s * d - k * (n_a + n_b)) // (2 * measure.whole))
+    near = (s * d + k * (n_b - n_a)) // (2 * s) + 1
+    return np.where(linked, near, apart)
+
+
+_SLICE = "b long, r int, s int, pieces int, salts int, a long, linked boolean, n_a long, n_b long, d long, ids binary"
+_UNION = pa.schema([("b", pa.int64()), ("r", pa.int32()), ("salts", pa.int32()), ("ids", pa.binary()), ("often", pa.binary())])
+_OPENED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("n_a", pa.int64()), ("d", pa.int64()), ("least", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("often", pa.binary())])
+_ddl = lambda schema: ", ".join(f"{f.name} {({pa.int64(): 'long', pa.int32(): 'int', pa.bool_(): 'boolean', pa.binary(): 'binary'})[f.type]}" for f in schema)
+
+
+def union_slices(compared: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of compared in the groups (b, pieces, salts), their ids cut into pieces (r); large groups' members are dealt to salts (s)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["b", "r", "s", "pieces", "salts", "a", "linked", "n_a", "n_b", "d", "ids"]
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                linked, na, nb, differ = [], [], [], []
-                for x, y in zip(part["ta"], part["tb"], strict=True):
-                    p, q = _tokens(x.as_py()), _tokens(y.as_py())
-                    d = np.setxor1d(p, q, assume_unique=True)
-                    both = (len(p) + len(q) - len(d)) // 2
-                    linked.append(measure.whole * both >= measure.part * (len(p) + len(q) - both))
-                    na.append(len(p))
-                    nb.append(len(q))
-                    differ.append(d.astype(np.int64))
-                cols = [part["a"], part["b"], pa.array(linked, pa.bool_()), pa.array(na, pa.int64()), pa.array(nb, pa.int64()), pa.array(differ, pa.list_(pa.int64()))]
-                yield pa.record_batch(cols, ["a", "b", "linked", "n_a", "n_b", "differ"])
+            pieces, salts = b["pieces"].to_numpy(), b["salts"].to_numpy()
+            s = (mix(b["a"].to_numpy().astype(_U)) % salts.astype(_U)).astype(np.int32)
+            rows, r, ids = [], [], []
+            for i, x in enumerate(b["ids"]):
+                v = _tokens(x, np.uint32)
+                cut = np.concatenate([[0], np.searchsorted(v, [(j << 32) // int(pieces[i]) for j in range(1, int(pieces[i]))]), [len(v)]])
+                for j in np.flatnonzero(np.diff(cut)).tolist():
+                    rows.append(i)
+                    r.append(j)
+                    ids.append(v[cut[j] : cut[j + 1]].tobytes())
+            part = b.take(pa.array(rows, pa.int32()))
+            cols = {"r": pa.array(r, pa.int32()), "s": pa.array(s[rows]), "ids": pa.array(ids, pa.binary())}
+            yield pa.record_batch([cols.get(c, part[c] if c in part.schema.names else None) for c in names], names)
 
-    left, right = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(run, "a long, b long, linked boolean, n_a long, n_b long, differ array<long>")
+    return compared.where("d > 0").join(broadcast_if_small(groups, 24), "b").mapInArrow(run, _SLICE)
 
 
-def pairs_around_heads(compared: DataFrame, measure: Measure) -> DataFrame:
-    """a, b: the pairs of one head's sets that can link though one of them doesn't link to the head.
+def _unite(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    v, often = np.unique(ids, return_counts=True)
+    return v, often.astype(np.uint32)
 
-    Let X and Y be what the two differ in from the head p, and k = (whole - part) / (whole + part). They link only if
-    X and Y share at least (|X| + |Y| - (n_x + n_y) k) / 2 tokens; where x doesn't link to p, that is more than
-    ((n_p - n_y) k + |Y|) / 2, and so more than none. Hence one of the rarest tokens of Y, all but that many, is in X.
-    What near copies differ in is rare, so these joins stay small where a join on what they share would pair them all.
-    """
-    k = (measure.whole - measure.part) / (measure.whole + measure.part)
-    token = compared.select("a", "b", "linked", "n_a", "n_b", F.size("differ").alias("d"), F.explode("differ").alias("token"))
-    often = token.groupBy("b", "token").agg(F.count("*").alias("often"), F.bool_or(~F.col("linked")).alias("asked")).where("often > 1 and asked")
-    token = stash(token.join(often.drop("asked"), ["b", "token"], "left").withColumn("often", F.coalesce("often", F.lit(1).cast("long"))), "differences")
-    least = F.floor(((F.col("n_b") - F.col("n_a")) * k + F.col("d")) / 2 - 1e-9) + 1
-    first = F.row_number().over(Window.partitionBy("a").orderBy("often", "token"))
-    index = token.withColumn("r", first).where((F.col("r") <= F.col("d") - least + 1) & (F.col("often") > 1))
-    index = index.select("b", "token", F.col("a").alias("y"), F.col("n_a").alias("n_y"), F.col("d").alias("d_y"), F.col("linked").alias("linked_y"))
-    asks = token.where("not linked and often > 1").select("b", "token", F.col("a").alias("x"), F.col("n_a").alias("n_x"), F.col("d").alias("d_x"))
-    met = asks.join(index, ["b", "token"]).where("x <> y")
-    can_link = measure.whole * F.least("n_x", "n_y") >= measure.part * F.greatest("n_x", "n_y")
-    return met.where(can_link).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
+def _all(column: pa.ChunkedArray, kind: type = np.uint32) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(_tokens(x, kind) for x in column)])
+
+
+def _opens(members: pa.Table, union: tuple[np.ndarray, np.ndarray], measure: Measure) -> pa.Table:
+    """The members whose overlap with the union of the others can meet their bound, with what of the union they share."""
+    ids = _all(members["ids"])
+    often = union[1][np.searchsorted(union[0], ids)]
+    linked, n_a, n_b, d = (members[c].to_numpy() for c in ("linked", "n_a", "n_b", "d"))
+    size = np.array([len(x.as_buffer()) // 4 for x in members["ids"]])
+    shared, n = often > 1, np.zeros(len(size), np.int64)
+    np.add.at(n, np.repeat(np.arange(len(size)), size), shared)
+    least = overlap_bound(measure, linked, n_a, n_b, d)
+    keep = np.flatnonzero((n > 0) & ((n >= least) | (members["pieces"].to_numpy() > 1)))
+    at = np.concatenate([[0], np.cumsum(size)])
+    of = lambda v: pa.array([v[at[i] : at[i + 1]][shared[at[i] : at[i + 1]]].tobytes() for i in keep], pa.binary())
+    kept = members.take(pa.array(keep))
+    return pa.table([kept["a"], kept["b"], kept["linked"], kept["n_a"], kept["d"], pa.array(least[keep]), pa.array(n[keep]), of(ids), of(often)], _OPENED)
+
+
+def open_groups(slices: DataFrame, measure: Measure) -> DataFrame:
+    """The matrix and its bound: a, b, linked, n_a, d, least, n, ids and often of the members that open their group b, by piece."""
+
+    def whole(members: pa.Table) -> pa.Table:
+        return _opens(members, _unite(_all(members["ids"])), measure)
+
+    def share(members: pa.Table) -> pa.Table:
+        return _row(members, *_unite(_all(members["ids"])))
+
+    def merge(unions: pa.Table) -> pa.Table:
+        v, at = np.unique(_all(unions["ids"]), return_inverse=True)
+        often = np.bincount(at, _all(unions["often"]), len(v)).astype(np.uint32)
+        return _row(unions, v, often)
 
-def union_matrix(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """The matrix: component, block and tokens (the union of the block's sets) for members (node, component, block)."""
+    def _row(of: pa.Table, v: np.ndarray, often: np.ndarray) -> pa.Table:
+        return pa.table([*(of[c].slice(0, 1) for c in ("b", "r", "salts")), pa.array([v.tobytes()], pa.binary()), pa.array([often.tobytes()], pa.binary())], _UNION)
 
-    def unite(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"component": [key[0]], "block": [key[1]], "tokens": [np.unique(np.concatenate([_tokens(x) for x in t["tokens"]])).tobytes()]})
+    def against(members: pa.Table, union: pa.Table) -> pa.Table:
+        return _opens(members, (_all(union["ids"]), _all(union["often"])), measure)
 
-    return members.join(sets, "node").groupBy("component", "block").applyInPandas(unite, "component long, block long, tokens binary")
+    usual = slices.where("salts = 1").groupBy("b", "r").applyInArrow(whole, _ddl(_OPENED))
+    large = slices.where("salts > 1")
+    unions = large.groupBy("b", "r", "s").applyInArrow(share, _ddl(_UNION)).groupBy("b", "r").applyInArrow(merge, _ddl(_UNION))
+    unions = unions.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    return usual.unionByName(large.groupBy("b", "r", "s").cogroup(unions.groupBy("b", "r", "s")).applyInArrow(against, _ddl(_OPENED)))
 
 
-def qualifying(asked: DataFrame, sets: DataFrame, matrix: DataFrame, measure: Measure) -> DataFrame:
-    """The rows (a, component, block) of asked whose block can hold a partner of a by its token union."""
+def rarest_shared(opened: DataFrame) -> DataFrame:
+    """The rarest of the tokens that each opening member shares, as many as its bound leaves: b, id, left (of the shared tokens, this one
+    and those after it), and the member's a, linked, n_a and d."""
+    own = ["b", "a", "linked", "n_a", "d"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b["ta"], b["tokens"], strict=True):
-                p, u = _tokens(x.as_py()), _tokens(y.as_py())
-                at = np.minimum(np.searchsorted(u, p), len(u) - 1)
-                keep.append(measure.whole * int((u[at] == p).sum()) >= measure.part * len(p))
-            yield b.select(["a", "component", "block"]).filter(pa.array(keep, pa.bool_()))
-
-    own = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-    both = asked.join(own, "a").join(matrix, ["component", "block"]).select("a", "component", "block", "ta", "tokens")
-    return both.mapInArrow(run, "a long, component long, block long")
-
-
-def _best_heads(groups: DataFrame) -> DataFrame:
-    """a and b: each member (a) with the weightiest head of its groups (b). One pair for a node, whatever its groups' sizes."""
-    head = groups.where("place = 1").select("grp", F.col("node").alias("b"), F.col("weight").alias("w"))
-    with_head = groups.where("place > 1").select("grp", F.col("node").alias("a")).join(head, "grp")
-    return with_head.groupBy("a").agg(F.max_by("b", F.struct("w", "b")).alias("b"))
-
-
-def _members(live: DataFrame) -> DataFrame:
-    """node, component and block: the members of live groups, in blocks of at most BLOCK of a component."""
-    member = live.select("node", "component").distinct().withColumn("deal", F.pmod(F.xxhash64("node"), F.lit(DEALS)))
-    turn = F.row_number().over(Window.partitionBy("component", "deal").orderBy("node")) - 1
-    return member.withColumn("block", (F.floor(turn / BLOCK) * DEALS + F.col("deal")).cast("long")).drop("deal")
-
-
-def _asks(live: DataFrame, sizes: DataFrame, heads: DataFrame, measure: Measure) -> DataFrame:
-    """a, b and b's component and block for the pairs of members that share a live group, stand in different components,
-    have different heads (node, head) and sizes that can link. A pair is made once, in the first group that both share."""
-    blocks = _members(live).drop("component")
-    own = live.groupBy("node").agg(F.array_sort(F.collect_list("grp")).alias("own"))
-    rows = live.join(own, "node").join(blocks, "node").join(sizes, "node").join(heads, "node", "left")
-    rows = stash(rows.withColumn("head", F.coalesce("head", "node")), "live-rows")
-    left = rows.select("grp", *[F.col(c).alias(f"{c}_a") for c in ("node", "component", "place", "n", "own", "head")])
-    right = rows.select("grp", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "place", "n", "own", "head", "block")])
-    can_link = measure.whole * F.least("n_a", "n_b") >= measure.part * F.greatest("n_a", "n_b")
-    apart = (F.col("place_a") > F.col("place_b")) & (F.col("component_a") != F.col("component_b")) & can_link
-    apart = apart & (F.col("head_a") != F.col("head_b")) & (F.col("head_a") != F.col("node_b")) & (F.col("head_b") != F.col("node_a"))
-    once = F.when(apart, left["grp"] == F.get(F.array_intersect("own_a", "own_b"), F.lit(0))).otherwise(F.lit(False))
-    met = left.join(right, (left["grp"] == right["grp"]) & once)
-    return stash(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("component_b").alias("component"), F.col("block_b").alias("block")), "asks")
+            rows, ids, left = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+            for i, (parts, n, least) in enumerate(zip(b["parts"].to_pylist(), b["n"].to_pylist(), b["least"].to_pylist(), strict=True)):
+                v, often = (np.concatenate([np.frombuffer(x[c], np.uint32) for x in parts]) for c in ("ids", "often"))
+                ids.append(v[np.lexsort([v, often])[: n - least + 1]])
+                rows.append(np.full(len(ids[-1]), i))
+                left.append(n - np.arange(len(ids[-1])))
+            cols = b.select(own).take(pa.array(np.concatenate(rows))).columns
+            yield pa.record_batch([*cols, pa.array(np.concatenate(ids).astype(np.int64)), pa.array(np.concatenate(left))], [*own, "id", "left"])
+
+    first = [F.first(c).alias(c) for c in ("linked", "n_a", "d", "least")]
+    whole = opened.groupBy("a", "b").agg(*first, F.sum("n").alias("n"), F.collect_list(F.struct("ids", "often")).alias("parts"))
+    return whole.where("n >= least").mapInArrow(run, "b long, a long, linked boolean, n_a long, d long, id long, left long")
+
+
+def pairs_to_verify(compared: DataFrame, label: DataFrame, measure: Measure) -> DataFrame:
+    """a, b: the pairs in different components that may link, each once. label: node and component of linked nodes."""
+    component = label.select(F.col("node").alias("a"), "component")
+    placed = lambda df: df.join(component, "a", "left").withColumn("component", F.coalesce("component", "a"))
+    spread = [F.min("component").alias("p"), F.max("component").alias("q")]
+    groups = placed(compared.select("a", "b", "d")).groupBy("b").agg(*spread, F.sum("d").alias("ids"), F.count("*").alias("members")).where("p <> q")
+    pieces, salts = (F.col("ids") / PIECE_IDS).cast("int") + 1, (F.col("members") / PIECE_MEMBERS).cast("int") + 1
+    groups = stash(groups.select("b", pieces.alias("pieces"), salts.alias("salts")), "groups")
+    rare = stash(placed(rarest_shared(open_groups(union_slices(compared, groups), measure))), "rare-tokens")
+    asked = rare.groupBy("b", "id").agg(*spread, F.bool_or(~F.col("linked")).alias("asked")).where("p <> q and asked").select("b", "id")
+    index = rare.join(asked, ["b", "id"], "left_semi")
+    x, y = (index.select("b", "id", *[F.col(c).alias(f"{c}_{side}") for c in ("a", "component", "linked", "n_a", "d", "left")]) for side in "xy")
+    s, k, size = measure.whole + measure.part, measure.whole - measure.part, F.col("n_a_x") + F.col("n_a_y")
+    # the first token on which two members meet leaves room for the overlap that a link needs
+    room = 2 * s * F.least("left_x", "left_y") >= s * (F.col("d_x") + F.col("d_y")) - k * size
+    can_link = measure.whole * F.least("n_a_x", "n_a_y") >= measure.part * F.greatest("n_a_x", "n_a_y")
+    once = F.col("linked_y") | (F.col("a_x") < F.col("a_y"))
+    same = (x["b"] == y["b"]) & (x["id"] == y["id"])
+    met = x.where("not linked_x").join(y, same & once & (F.col("component_x") != F.col("component_y")) & can_link & room)
+    pairs = stash(met.select(F.least("a_x", "a_y").alias("a"), F.greatest("a_x", "a_y").alias("b")).distinct(), "met")
+    unstash(groups, rare)
+    return pairs
 
 
 def link_sets(docs: DataFrame, described: DataFrame, measure: Measure) -> DataFrame:
     """node and component of every node that some link reaches. Each pair that could join two components is verified."""
-    groups = similar_groups(docs, measure)
-    sets = fetch_sets(docs, described, groups.select("node").distinct(), measure)
-    compared = stash(compare(_best_heads(groups), sets, measure), "compared")
-    close = compared.where((measure.whole + measure.part) * F.size("differ") <= FAR * (measure.whole - measure.part) * (F.col("n_a") + F.col("n_b")))
-    near = verify(pairs_around_heads(close, measure), sets, measure)
-    links = stash(compared.where("linked").select("a", "b").unionByName(near), "links")
+    members = similar_groups(docs, measure)
+    nodes = members.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = fetch_sets(docs, described, nodes, measure)
+    compared = stash(compare(members, sets, measure), "compared")
+    links = compared.where("linked").select("a", "b")
     label = components(links)
-    live = groups.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    spread = live.groupBy("grp").agg(F.min("component").alias("p"), F.max("component").alias("q")).where(F.col("p") != F.col("q")).select("grp")
-    live = stash(live.join(spread, "grp", "left_semi"), "live")
-    if live.isEmpty():
-        return label
-    asks = _asks(live, sets.select("node", (F.length("tokens") / 8).cast("long").alias("n")), close.select(F.col("a").alias("node"), F.col("b").alias("head")), measure)
-    matrix = union_matrix(_members(live).join(asks, ["component", "block"], "left_semi"), sets)
-    opened = qualifying(asks.select("a", "component", "block").distinct(), sets, matrix, measure)
-    more = verify(asks.join(opened, ["a", "component", "block"], "left_semi").select("a", "b"), sets, measure)
-    return components(links.unionByName(more))
+    met = pairs_to_verify(compared, label, measure)
+    if not met.isEmpty():
+        label = components(links.unionByName(compare(met, sets, measure).where("linked").select("a", "b")))
+    label = stash(label, "label")
+    unstash(members, sets, compared, met)
+    return label
 
 
 def ngram_jaccard_join(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
@@ -336,8 +382,10 @@ def ngram_jaccard_join(docs: DataFrame, measure: Measure = Measure()) -> DataFra
     label = link_sets(own, described, measure)
     by_node = described.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     by_node = stash(by_node.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "nodes")
+    unstash(label)
     whole = by_node.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("rows").alias("class_size")).where("class_size > 1")
     classes = stash(by_node.join(whole, "component").select("node", "component_id", "class_size"), "classes")
+    unstash(by_node)
     keyed = described.where("node is not null").join(broadcast_if_small(classes, 32), "node", "left")
     alone = described.where("node is null").withColumn("component_id", F.lit(None).cast("long")).withColumn("class_size", F.lit(None).cast("long"))
     return keyed.unionByName(alone).select(

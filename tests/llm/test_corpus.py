@@ -61,9 +61,12 @@ def brute_components(rows, width, part):
     return {r[0]: (len(sets[i]), min(least[find(i)])) for i, r in enumerate(rows)}
 
 
-@pytest.mark.parametrize(("width", "part"), [(3, 90), (5, 80)])
-def test_ngram_join(spark, docs, width, part):
+@pytest.mark.parametrize(("width", "part", "pieces"), [(3, 90, None), (5, 80, None), (5, 80, (300, 7))])
+def test_ngram_join(spark, docs, width, part, pieces, monkeypatch):
     rnd = random.Random(width)
+    if pieces:  # the unions of groups in many pieces, their members dealt out
+        monkeypatch.setattr(ngram_join, "PIECE_IDS", pieces[0])
+        monkeypatch.setattr(ngram_join, "PIECE_MEMBERS", pieces[1])
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
     base = [word() for _ in range(200)]
@@ -86,6 +89,19 @@ def test_ngram_join(spark, docs, width, part):
     assert got == brute_components(rows, width, part)
 
 
+def test_overlap_bound_misses_no_link():
+    rnd, measure = random.Random(4), ngram_join.Measure(3, 80)
+    for _ in range(3000):
+        p = set(rnd.sample(range(60), rnd.randrange(5, 30)))
+        x, y = (set(p) ^ set(rnd.sample(range(60), rnd.randrange(0, 12))) or {1} for _ in "xy")
+        links = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+        if not links(x, y) or links(x, p) and links(y, p):
+            continue
+        for a in (x, y):
+            least = ngram_join.overlap_bound(measure, *(np.array([v]) for v in (links(a, p), len(a), len(p), len(a ^ p))))
+            assert len((x ^ p) & (y ^ p)) >= least[0] >= 1
+
+
 def test_ngram_join_empty(spark, docs):
     assert ngram_join.ngram_jaccard_join(docs.limit(0)).count() == 0
 
