@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .common import worker_state
+
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 SPACE = "▁"
@@ -26,7 +28,6 @@ SPACE = "▁"
 MEMO = 400_000
 #: Log probability, in any language, of a character that the vocabulary lacks.
 UNKNOWN = -18.0
-_state: dict[str, WordScores] = {}
 
 
 @dataclass(frozen=True)
@@ -144,25 +145,24 @@ class WordScores:
         return np.array([self.rows[[self.known[w] for w in s]].sum(axis=0) for s in split])
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
+def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs plus lang_pred and score (the posterior of lang_pred under equal priors, 0 to 1).
 
-    A null text, one without a letter, and any text if the model learned no language is "und" with score 0.
-    Ties go to the first language by name. Columns of docs named lang_pred or score are replaced.
+    A null text, an empty one, one without a letter, and any text if the model learned no language is "und" with
+    score 0. Ties go to the first language by name. Every row is judged by itself, so that repeated rows get the same,
+    and an empty table gives no rows. Texts of any length are scored whole. Columns of docs named lang_pred or score
+    are replaced; all others stay as they are.
     """
     own = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score")])
     schema = StructType([*own.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (key := sent.value.name) not in _state:
-            _state.clear()
-            _state[key] = WordScores(sent.value)
-        scorer, names = _state[key], sent.value.languages
+        scorer, names = worker_state(f"word scores of {sent.value.name}", lambda: WordScores(sent.value)), sent.value.languages
         for b in batches:
             for a in range(0, b.num_rows, 250):
                 part = b.slice(a, 250)
-                texts = [t or "" for t in part["text"].to_pylist()]
+                texts = [t or "" for t in part[text].to_pylist()]
                 pred, score = ["und"] * len(texts), [0.0] * len(texts)
                 good = [i for i, t in enumerate(texts) if names and scorer.letter.search(t)]
                 if good:
@@ -182,6 +182,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def keep_identified(docs: DataFrame, vocabulary: str, least: float = 0.5) -> DataFrame:
-    """The rows of docs whose text has a language: not "und", and of a score of at least least."""
+    """The rows of docs whose text has a language: not "und", and of a score of at least least.
+
+    The model learns from docs (doc_id, text, lang); with no labelled text in docs no row stays, nor does a null or
+    empty text. Rows stay or go one by one, whatever their doc_id; repeated rows fare alike. All columns come back as
+    they are, those named lang_pred or score included.
+    """
     model = learn(docs.where(~held_out(F.col("doc_id"))), vocabulary)
-    return identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(docs.columns)
+    own = [f"own_{i}" for i in range(len(docs.columns))]  # so that no column bears a name of identify's
+    judged = identify(docs.toDF(*own), model, own[docs.columns.index("text")])
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(own).toDF(*docs.columns)

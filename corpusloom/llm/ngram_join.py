@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stash, unstash
+from .common import broadcast_if_small, stash, unstash, worker_state
 from .hashing import mix, shingle_sets, stretches
 from .links import components
 
@@ -115,6 +115,7 @@ def describe_sets(docs: DataFrame, measure: Measure) -> DataFrame:
     """doc_id, n_shingles and node (a 64-bit print of the set; null for an empty set) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("n-gram join", dict)  # lets go of what other operators kept
         for b in batches:
             n, node = [], []
             for texts in stretches(b["text"]):
@@ -128,6 +129,7 @@ def describe_sets(docs: DataFrame, measure: Measure) -> DataFrame:
 
 def _part_rows(docs: DataFrame, measure: Measure) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("n-gram join", dict)  # lets go of what other operators kept
         seen: set[int] = set()
         for b in batches:
             for texts in stretches(b["text"]):

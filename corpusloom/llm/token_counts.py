@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from .common import worker_state
+
 #: Distinct words and blocks that a task remembers; beyond it the memo is begun anew.
 MEMO = 600_000
 #: Characters of text whose counts one output batch holds.
@@ -32,9 +34,6 @@ BATCH_CHARS = 1 << 20
 BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
-_state: dict[str, PrefixCounter] = {}
-
-
 class PrefixCounter:
     """Token counts of all prefixes of a text under a BPE tokenizer file of the tokenizers library with word ends."""
 
@@ -143,12 +142,6 @@ class PrefixCounter:
         return out + np.repeat(before, np.diff(ends, prepend=0)).astype(np.int32)
 
 
-def counter(path: str) -> PrefixCounter:
-    if path not in _state:
-        _state[path] = PrefixCounter(path)
-    return _state[path]
-
-
 def prefix_counts(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """docs with prefix_counts: for each text, the token count after each of its characters as packed
     big-endian 32-bit integers (empty for a null or empty text). The text column is kept.
@@ -160,7 +153,7 @@ def prefix_counts(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFr
     schema = StructType([*own.schema.fields, StructField("prefix_counts", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(tokenizer)
+        count = worker_state(f"prefix counter of {tokenizer}", lambda: PrefixCounter(tokenizer))
         for b in batches:
             out, chars, start = [], 0, 0
             for i, x in enumerate(b[text]):

@@ -21,11 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small
+from .common import broadcast_if_small, worker_state
 from .wavelet import WaveletMatrix
 
-#: Characters of text in a shard, tokens after which a block is closed, distinct runs that a task remembers.
-SHARD_CHARS, BLOCK_TOKENS, MEMO = 24_000_000, 1 << 20, 700_000
+#: Characters of text in a shard (more where that would make over MOST_SHARDS), tokens after which a block is closed, distinct runs that a task remembers.
+SHARD_CHARS, MOST_SHARDS, BLOCK_TOKENS, MEMO = 24_000_000, 50_000, 1 << 20, 700_000
 
 #: White space, and the pattern by which the tokenizer cuts texts before its merges.
 BLANKS = "\t-\r \x85\xa0  -     　"
@@ -40,7 +40,31 @@ _ARROW = pa.schema(
     [("shard", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("n_tokens", pa.int64())]
     + [("zeros", pa.list_(pa.int64())), ("planes", pa.list_(pa.binary())), ("marks", pa.list_(pa.binary()))]
 )
-_state: dict[str, Encoder] = {}
+SPACE = chr(BYTE_LETTERS[32])
+
+
+class Rough(Exception):
+    """The blanks of a text aren't single ones between words."""
+
+
+class Memo(dict):
+    """Ids of the runs met so far, without the blank (lead) that each begins with."""
+
+    def __init__(self, code: Encoder, lead: str):
+        self.code, self.lead = code, lead
+
+    def __missing__(self, run: str) -> bytes:
+        code = self.code
+        if run.isascii() and run.isalpha():  # most runs
+            got = self[run] = array(code.code, [t.id for t in code.merges.tokenize((SPACE if self.lead else "") + run)]).tobytes()
+            return got
+        if self.lead and not run.isalpha():
+            if not run or run[0] in code.blank or run[-1] in code.blank:
+                raise Rough
+            if code.inner.search(run):  # such pairs of words hardly come again
+                return code.by_runs(self.lead + run)
+        got = self[run] = code.encode_run(self.lead + run)
+        return got
 
 
 class Encoder:
@@ -62,53 +86,47 @@ class Encoder:
         self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.code = "H" if self.bits <= 16 else "I"
         self.runs = re.compile(f" ?[^{BLANKS}]++|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]")
+        self.inner = re.compile(f"[{BLANKS}]")
+        self.blank = {c for c in map(chr, range(0x3001)) if self.inner.match(c)}
         self.cut = regex.compile(PATTERN)
         self.odd = re.compile(r"[԰-\U0010ffff\x00-\x08\x0e-\x1f]")
-        self.run: dict[str, bytes] = {}
+        self.spaced, self.bare = Memo(self, " "), Memo(self, "")
 
     def _pack(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
     def _piece(self, p: str) -> bytes:
         """The ids of a piece that the merges never leave."""
-        mapped = p.encode().decode("latin-1").translate(BYTE_LETTERS)
+        mapped = p.replace(" ", SPACE) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(BYTE_LETTERS)
         return self._pack([t.id for t in self.merges.tokenize(mapped)])
 
-    def _run(self, r: str) -> bytes:
-        if not r.isascii() and self.odd.search(r):
-            return self._pack(self.whole.encode(r, add_special_tokens=False).ids)
+    def encode_run(self, r: str) -> bytes:
+        """The ids of one run."""
         word = r[1:] if r[0] == " " else r
-        if word.isalpha():
+        if word.isalpha() and (word.isascii() or not self.odd.search(word)):
             return self._piece(r)
-        if word[-1:] in (".", ",") and word[:-1].isalpha():
-            head = r[:-1]
-            if (known := self.run.get(head)) is None:
-                known = self.run[head] = self._piece(head)
-            return known + self._piece(r[-1])
         if self.odd.search(r):
             return self._pack(self.whole.encode(r, add_special_tokens=False).ids)
+        if word[-1:] in (".", ",") and word[:-1].isalpha():
+            return (self.spaced if r[0] == " " else self.bare)[word[:-1]] + self._piece(r[-1])
         return b"".join([self._piece(p) for p in self.cut.findall(r)])
 
+    def by_runs(self, text: str) -> bytes:
+        spaced, bare = self.spaced, self.bare
+        return b"".join([spaced[r[1:]] if r[0] == " " and len(r) > 1 and r[1] not in self.blank else bare[r] for r in self.runs.findall(text)])
+
     def encode(self, text: str) -> bytes:
         """The packed ids of a whole text."""
         if any(s in text for s in self.specials):
             return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
-        if len(self.run) > MEMO:
-            self.run.clear()
-        runs, known = self.runs.findall(text), self.run
+        if len(self.spaced) + len(self.bare) > MEMO:
+            self.spaced.clear()
+            self.bare.clear()
+        first, *rest = text.split(" ")
         try:
-            return b"".join([known[r] for r in runs])
-        except KeyError:
-            for r in runs:
-                if r not in known:
-                    known[r] = self._run(r)
-            return b"".join([known[r] for r in runs])
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _state:
-        _state[path] = Encoder(path)
-    return _state[path]
+            return b"".join([self.by_runs(first) if first else self.spaced[""], *map(self.spaced.__getitem__, rest)]) if text else b""
+        except Rough:
+            return self.by_runs(text)
 
 
 def write_shards(docs: DataFrame, tokenizer: str, path: str, end: int = 0, shard_chars: int = SHARD_CHARS) -> None:
@@ -119,10 +137,11 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end: int = 0, shard
     bounds a block. An empty table writes a folder without blocks.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    shards = int((rows.agg(F.sum(F.length("text") + 16)).first()[0] or 0) // shard_chars) + 1
+    chars = int(rows.agg(F.sum(F.length("text") + 16)).first()[0] or 0)
+    shards = min(chars // shard_chars + 1, MOST_SHARDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, shard, block = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        code, shard, block = worker_state(f"encoder of {tokenizer}", lambda: Encoder(tokenizer)), TaskContext.get().partitionId(), 0
         tail = np.array([end], code.dtype).tobytes()
         ids, sizes, parts, held = [], [], [], 0
 

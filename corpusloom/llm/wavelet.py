@@ -28,9 +28,9 @@ class WaveletMatrix:
             ones = np.bitwise_count(plane.view(np.uint64)).reshape(-1, STRIDE // 64).sum(axis=1, dtype=np.uint32)
             planes.append(plane)
             marks.append(np.concatenate([np.zeros(1, np.uint32), np.cumsum(ones, dtype=np.uint32)]))
-            low = a[~one]
+            low = a.compress(~one)  # several times as fast as a mask in brackets
             zeros.append(len(low))
-            a = np.concatenate([low, a[one]])
+            a = np.concatenate([low, a.compress(one)])
         return cls(len(ids), zeros, planes, marks)
 
     def pack(self) -> dict:
@@ -115,7 +115,7 @@ class WaveletMatrix:
         for level in range(len(self.zeros) - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             up = np.empty_like(out)
-            up[~one] = out[: self.zeros[level]]
-            up[one] = out[self.zeros[level] :] | out.dtype.type(1 << (len(self.zeros) - 1 - level))
+            up[np.flatnonzero(~one)] = out[: self.zeros[level]]
+            up[np.flatnonzero(one)] = out[self.zeros[level] :] | out.dtype.type(1 << (len(self.zeros) - 1 - level))
             out = up
         return out
