@@ -3,46 +3,49 @@
 A region within e edits of an item of m characters shares at least m + 1 - q (e + 1) of its q-grams, and their
 hits lie on diagonals (place in the text less place in the item) at most e apart. Hits are counted in diagonal
 bands 2 w wide that overlap by w > e; a band that reaches the bound is a region, and banded alignment decides.
+q is 10, or less where an item is so short that the bound would be none.
 
-Texts are compared letter by letter with A-Z lower-cased and white space as blanks, which keeps offsets.
+Texts are compared letter by letter with A-Z lower-cased and white space as blanks, which keeps offsets. Long texts
+are looked at in overlapping windows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
-
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 #: Characters of benchmark text that one pass over the documents looks for; a larger benchmark takes more passes.
 BLOCK_CHARS = 2_000_000
-#: Characters of text that one round of array work takes in, unless a text is longer.
+#: Characters of text that one round of array work takes in; longer texts are looked at in windows of so many.
 SLICE = 400_000
 
 
 @dataclass(frozen=True)
 class Lemma:
-    """q-gram length, and edits allowed per hundred characters of an item."""
+    """q-gram length, edits allowed per hundred characters of an item, and the characters below which an item must stand as whole words."""
 
     q: int = 10
     percent: int = 8
+    words_below: int = 20
 
     def edits(self, m: int) -> int:
-        """Edits allowed for an item of m characters: as given, but no more than leave a bound of one q-gram."""
-        return max(0, min(m * self.percent // 100, m // self.gram(m) - 1))
+        """Edits allowed for an item of m characters."""
+        return 0 if m < self.words_below else m * self.percent // 100
 
     def gram(self, m: int) -> int:
-        return min(self.q, m)
+        """The longest q-gram, up to q, of which a region within the edits must share one."""
+        return min(self.q, m // (self.edits(m) + 1))
 
     def bound(self, m: int) -> int:
-        return max(1, m + 1 - self.gram(m) * (self.edits(m) + 1))
+        return m + 1 - self.gram(m) * (self.edits(m) + 1)
 
 
 def letters(text: str) -> np.ndarray:
@@ -57,17 +60,16 @@ def grams(a: np.ndarray, q: int) -> np.ndarray:
     n = len(a) - q + 1
     if n <= 0:
         return np.zeros(0, _U)
-    have = {1: (a.astype(_U) + _U(1)) * _U(0xD6E8FEB86659FD93)}
-    size, power = 1, _BASE
+    power = lambda k: _U(pow(int(_BASE), k, 2**64))
+    have, size = {1: (a.astype(_U) + _U(1)) * _U(0xD6E8FEB86659FD93)}, 1
     while size * 2 <= q:
         h = have[size]
-        have[size * 2] = h[: len(h) - size] + power * h[size:]
-        size, power = size * 2, power * power
-    out, at, p = np.zeros(n, _U), 0, _U(1)
+        have[size * 2] = h[: len(h) - size] + power(size) * h[size:]
+        size *= 2
+    out, at = np.zeros(n, _U), 0
     for s in sorted(have, reverse=True):
         if q & s:
-            out += p * have[s][at : at + n]
-            p *= _U(pow(int(_BASE), s, 2**64))
+            out += power(at) * have[s][at : at + n]
             at += s
     return out ^ (out >> _U(29))
 
@@ -155,19 +157,22 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) ->
     return (int(cost[d]), max(0, int(start[d])), d + low + m) if cost[d] <= most else None
 
 
-def exact(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
-    """The first whole occurrence of the item that starts on places low to high."""
+def exact(item: np.ndarray, text: np.ndarray, low: int, high: int, words: bool) -> tuple[int, int, int] | None:
+    """The first whole occurrence of the item that starts on places low to high; words: with no letter or digit beside it."""
     low, m = max(low, 0), len(item)
     part = text[low : high + m]
     if len(part) < m:
         return None
-    at = np.flatnonzero((np.lib.stride_tricks.sliding_window_view(part, m) == item).all(axis=1))
-    return (0, low + int(at[0]), low + int(at[0]) + m) if len(at) else None
+    beside = lambda k: 0 <= k < len(text) and chr(text[k]).isalnum()
+    for at in (low + np.flatnonzero((np.lib.stride_tricks.sliding_window_view(part, m) == item).all(axis=1))).tolist():
+        if not words or not beside(at - 1) and not beside(at + m):
+            return 0, at, at + m
+    return None
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
     """The items (item_id, text) in blocks of bounded size."""
-    rows = benchmark.select("item_id", "text").where("item_id is not null and length(trim(text)) > 0")
+    rows = benchmark.select(F.col("item_id").cast("long"), "text").where("length(trim(text)) > 0").distinct()
     block, size = [], 0
     for r in rows.toLocalIterator():
         if block and size + len(r.text) > BLOCK_CHARS:
@@ -179,71 +184,114 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, lemma: Lemma = Lemma(), least_chars: int = 20) -> DataFrame:
+class Scan:
+    """Looks for a block of items in batches of texts."""
+
+    def __init__(self, items: list[tuple[int | None, str]], lemma: Lemma):
+        self.lemma, by_q = lemma, {}
+        for i, t in items:
+            a = letters(t.strip())
+            if len(a):
+                by_q.setdefault(lemma.gram(len(a)), []).append((i, a))
+        self.indexes = [Index(own, q, lemma) for q, own in by_q.items()]
+        # a region lies whole in one window, with what the alignment looks at beside it
+        self.overlap = 2 * max((len(a) + 8 * lemma.edits(len(a)) + 8 for own in by_q.values() for _, a in own), default=0)
+
+    def windows(self, texts: pa.Array) -> Iterator[list[tuple[int, int, bool, np.ndarray]]]:
+        """Row, offset, whether the text ends here, and letters of windows of about SLICE characters together."""
+        step, held, chars = SLICE + self.overlap, [], 0
+        for row, x in enumerate(texts):
+            text, at = x.as_py() or "", 0
+            while at < len(text):
+                last = at + step >= len(text)
+                held.append((row, at, last, letters(text[at : at + step])))
+                chars += len(held[-1][3]) + 1
+                at = len(text) if last else at + SLICE
+                if chars >= SLICE:
+                    yield held
+                    held, chars = [], 0
+        if held:
+            yield held
+
+    def find(self, texts: pa.Array) -> list[tuple[int, int | None, int, int, int]]:
+        """Row, item, edits, start and end of the best region of each item in each text."""
+        best: dict[tuple, tuple[int, int, int]] = {}
+        for held in self.windows(texts):
+            self._look(held, best)
+        return [(r, i, *got) for (r, i, _), got in sorted(best.items(), key=lambda x: (x[0][0], x[0][1] is not None, x[0][1] or 0, x[1]))]
+
+    def _look(self, held: list[tuple[int, int, bool, np.ndarray]], best: dict[tuple, tuple[int, int, int]]) -> None:
+        gap = np.array([0xFFFFFFFF], np.uint32)
+        joined = np.concatenate([x for *_, t in held for x in (t, gap)])
+        window = np.repeat(np.arange(len(held)), [len(t) + 1 for *_, t in held])
+        begin = np.concatenate([[0], np.cumsum([len(t) + 1 for *_, t in held])])
+        for index in self.indexes:
+            for w, i, low in zip(*(x.tolist() for x in index.regions(joined, window)), strict=True):
+                (item_id, item), (row, offset, last, text) = index.items[i], held[w]
+                e = int(index.width[i]) - 1
+                low -= int(begin[w])
+                if (low + 2 * e + 2 < -e) or low > len(text):
+                    continue
+                # items without an id are told apart by what they say
+                key = (row, item_id, item.tobytes() if item_id is None else b"")
+                if best.get(key, (1,))[0] == 0:
+                    continue
+                words = len(item) < self.lemma.words_below
+                got = exact(item, text, low, low + 2 * e + 1, words)
+                if words and got and (got[1] == 0 and offset or got[2] == len(text) and not last):
+                    got = None  # at a window's edge; the window beside it sees what follows
+                if got is None and not words:
+                    got = align(item, text, low - e, low + 3 * e + 1, e)
+                if got:
+                    got = (got[0], got[1] + offset, got[2] + offset)
+                    if key not in best or got[:2] < best[key][:2]:
+                        best[key] = got
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, lemma: Lemma = Lemma()) -> DataFrame:
     """doc_id, item_id, edits, start and end of the best region of each item in each text of docs (doc_id, text).
 
-    Offsets are code points, end exclusive; ties go to the first region. Items of fewer than least_chars letters
-    (outer blanks off) say too little and aren't looked for, nor are those without an item_id. Null and empty texts
-    have no regions. Rows that repeat are looked at each; other columns are not read. Benchmarks of any size
-    are taken in blocks, one pass over docs each.
+    Offsets are code points, end exclusive; ties go to the first region. An item below lemma.words_below characters
+    counts where it stands without edits and with no letter or digit beside it. Items that share an item_id are one
+    item; those without are one each. Null, empty and blank texts and items have no regions, and an empty table gives no
+    rows. Rows that repeat are looked at each; other columns are not read. Benchmarks of any size are taken in blocks,
+    one pass over docs each.
     """
     spark, out = docs.sparkSession, None
     schema = "doc_id long, item_id long, edits long, start long, end long"
+
+    def run(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+        scan = Scan(sent.value, lemma)
+        for b in batches:
+            found = scan.find(b["text"])
+            rows, *rest = zip(*found, strict=True) if found else [()] * 5
+            cols = [b["doc_id"].take(pa.array(rows, pa.int64())), *(pa.array(c, pa.int64()) for c in rest)]
+            yield pa.record_batch(cols, ["doc_id", "item_id", "edits", "start", "end"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null")
     for block in _blocks(benchmark):
-        sent = spark.sparkContext.broadcast([(i, t) for i, t in block if len(t.strip()) >= least_chars])
-        found = docs.select("doc_id", "text").where("text is not null").mapInArrow(_scan(sent, lemma), schema)
-        out = found if out is None else stash(out, "leaks").unionByName(found)
+        found = rows.mapInArrow(partial(run, sent=spark.sparkContext.broadcast(block)), schema)
+        out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def _scan(sent, lemma: Lemma):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_q: dict[int, list] = {}
-        for i, t in sent.value:
-            a = letters(t.strip())
-            by_q.setdefault(lemma.gram(len(a)), []).append((i, a))
-        indexes = [Index(items, q, lemma) for q, items in by_q.items()]
-        for b in batches:
-            ids, texts, a = b["doc_id"].to_pylist(), b["text"], 0
-            while a < b.num_rows:
-                chars, z, held = 0, a, []
-                while z < b.num_rows and (not held or chars < SLICE):
-                    held.append(letters(texts[z].as_py()))
-                    chars += len(held[-1]) + 1
-                    z += 1
-                yield _batch(ids[a:z], _slice(held, indexes, lemma))
-                a = z
-
-    return run
-
-
-def _batch(ids: list, found: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*((ids[r], *rest) for r, *rest in found), strict=True)) or [()] * 5
-    return pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "edits", "start", "end"])
-
-
-def _slice(held: list[np.ndarray], indexes: list[Index], lemma: Lemma) -> list[tuple]:
-    gap = np.array([0xFFFFFFFF], np.uint32)
-    joined = np.concatenate([x for t in held for x in (t, gap)])
-    row = np.repeat(np.arange(len(held)), [len(t) + 1 for t in held])
-    begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in held])])
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for index in indexes:
-        for r, i, low in zip(*(x.tolist() for x in index.regions(joined, row)), strict=True):
-            item_id, item = index.items[i]
-            e, base = int(index.width[i]) - 1, int(begin[r])
-            low -= base
-            if (low + 2 * e + 2 < -e) or low > len(held[r]):
-                continue
-            if best.get((r, item_id), (1,))[0] == 0:
-                continue
-            got = exact(item, held[r], low, low + 2 * e + 1) or align(item, held[r], low - e, low + 3 * e + 1, e)
-            if got and ((r, item_id) not in best or (got[0], got[1]) < best[r, item_id][:2]):
-                best[r, item_id] = got
-    return [(r, item, *got) for (r, item), got in sorted(best.items())]
+def decontaminate(docs: DataFrame, benchmark: DataFrame, lemma: Lemma = Lemma()) -> DataFrame:
+    """The rows of docs that hold no benchmark item, as contaminated finds them.
 
+    Each row is judged by its own text: rows with a null or repeated doc_id stay or go one by one. A null or empty text
+    stays. All columns come back as they are.
+    """
+    own = [f"own_{i}" for i in range(len(docs.columns))]
+    text = own[docs.columns.index("text")]
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, lemma: Lemma = Lemma()) -> DataFrame:
-    """The rows of docs that hold no benchmark item."""
-    hit = stash(contaminated(docs, benchmark, lemma).select("doc_id").distinct(), "leaks")
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+    def run(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+        scan = Scan(sent.value, lemma)
+        for b in batches:
+            clean = np.ones(b.num_rows, bool)
+            clean[[r for r, *_ in scan.find(b[text])]] = False
+            yield b.filter(pa.array(clean))
+
+    rows = docs.toDF(*own)
+    for block in _blocks(benchmark):
+        rows = rows.mapInArrow(partial(run, sent=docs.sparkSession.sparkContext.broadcast(block)), rows.schema)
+    return rows.toDF(*docs.columns)
