@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, let, n_words, stash
+from .common import broadcast_if_small, fresh, let, n_words, stash
 
 
 @dataclass(frozen=True)
@@ -73,18 +73,19 @@ def dedup_lines(docs: DataFrame, rule: Chunks = Chunks()) -> DataFrame:
     """docs with text rid of repeated chunks, plus n_chunks_removed and n_chars_removed.
 
     Of equal chunks the first by doc_id, then place, stays; single lines and short chunks are left alone. A null
-    text stays null. Rows that repeat a doc_id count as one document: a chunk that both hold at the same place
-    stays in both. Columns of docs with these names are replaced.
+    text stays null, an empty one empty, and an empty table gives no rows; texts of any length are cut whole. Rows that repeat
+    a doc_id count as one document: a chunk that both hold at the same place stays in both. Columns of docs with these names are replaced.
     """
-    new = ("n_chunks_removed", "n_chars_removed", "_gone", "_id")
+    new = ("n_chunks_removed", "n_chars_removed")
     own = docs.drop(*[c for c in docs.columns if c.lower() in new])
+    gone_at, id_at, kept_at = (fresh(own, c) for c in ("_gone", "_id", "_kept"))
     gone = repeated_chunks(own.select("doc_id", "text"), rule)
-    gone = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("place", "hash")).alias("_gone"))
-    joined = own.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    gone = gone.groupBy(F.col("doc_id").alias(id_at)).agg(F.collect_set(F.struct("place", "hash")).alias(gone_at))
+    joined = own.join(gone, F.col("doc_id").eqNullSafe(F.col(id_at)), "left")
 
     def strip(chunks: Column) -> Column:
         # an array of the removed places, so that a lookup is one step
-        is_gone = lambda c, i: F.array_contains("_gone", F.struct(i.alias("place"), F.xxhash64(c["text"]).alias("hash")))
+        is_gone = lambda c, i: F.array_contains(gone_at, F.struct(i.alias("place"), F.xxhash64(c["text"]).alias("hash")))
         flags = F.transform(chunks, lambda c, i: F.struct(c["text"].alias("text"), is_gone(c, i).alias("gone")))
         return let(
             flags,
@@ -94,11 +95,11 @@ def dedup_lines(docs: DataFrame, rule: Chunks = Chunks()) -> DataFrame:
             ),
         )
 
-    kept = F.when(F.col("_gone").isNull(), F.struct(F.col("text").alias("text"), F.lit(0).cast("long").alias("n"))).otherwise(strip(chunk_texts(F.col("text"), rule)))
-    out = joined.withColumn("_kept", kept)
-    removed = F.coalesce(F.length("text") - F.length("_kept.text"), F.lit(0)).cast("long")
-    columns = [F.col("_kept.text").alias("text") if c == "text" else F.col(c) for c in own.columns]
-    return out.select(*columns, F.col("_kept.n").alias("n_chunks_removed"), removed.alias("n_chars_removed"))
+    kept = F.when(F.col(gone_at).isNull(), F.struct(F.col("text").alias("text"), F.lit(0).cast("long").alias("n"))).otherwise(strip(chunk_texts(F.col("text"), rule)))
+    out = joined.withColumn(kept_at, kept)
+    removed = F.coalesce(F.length("text") - F.length(F.col(kept_at)["text"]), F.lit(0)).cast("long")
+    columns = [F.col(kept_at)["text"].alias("text") if c == "text" else F.col(c) for c in own.columns]
+    return out.select(*columns, F.col(kept_at)["n"].alias("n_chunks_removed"), removed.alias("n_chars_removed"))
 
 
 @dataclass(frozen=True)
@@ -163,19 +164,20 @@ def dedup_passages(docs: DataFrame, rule: Passages = Passages()) -> DataFrame:
     """docs with text rid of the lines of repeated passages, plus n_chunks_removed (stretches of removed lines) and n_chars_removed.
 
     A line goes if it stands in a run of lines that is worth removing (Passages) and equals an earlier run, by doc_id
-    (null last), then line; runs may overlap. So the first of equal lines stays always. A null text stays null. Rows
-    that repeat a doc_id count as one document: a run that both hold at the same line stays in both. Columns of docs
+    (null last), then line; runs may overlap. So the first of equal lines stays always. A null text stays null, an empty
+    one empty, and an empty table gives no rows; texts of any length are read whole. Rows that repeat a doc_id count as one document: a run that both hold at the same line stays in both. Columns of docs
     with these names are replaced.
     """
-    new = ("n_chunks_removed", "n_chars_removed", "_gone", "_id")
+    new = ("n_chunks_removed", "n_chars_removed")
     own = docs.drop(*[c for c in docs.columns if c.lower() in new])
+    gone_at, id_at, kept_at = (fresh(own, c) for c in ("_gone", "_id", "_kept"))
     gone = repeated_passages(own.select("doc_id", "text"), rule)
-    gone = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("start", "n_lines", "hash")).alias("_gone"))
-    joined = own.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    gone = gone.groupBy(F.col("doc_id").alias(id_at)).agg(F.collect_set(F.struct("start", "n_lines", "hash")).alias(gone_at))
+    joined = own.join(gone, F.col("doc_id").eqNullSafe(F.col(id_at)), "left")
 
     def strip(lines: Column) -> Column:
         # rows that share a doc_id can hold other lines there
-        held = F.filter("_gone", lambda r: F.xxhash64(_run_text(lines, r)) == r["hash"])
+        held = F.filter(gone_at, lambda r: F.xxhash64(_run_text(lines, r)) == r["hash"])
         numbers = F.array_distinct(F.flatten(F.transform(held, lambda r: F.sequence(r["start"], r["start"] + r["n_lines"] - 1))))
         return let(
             numbers,
@@ -186,8 +188,8 @@ def dedup_passages(docs: DataFrame, rule: Passages = Passages()) -> DataFrame:
         )
 
     whole = F.struct(F.col("text").alias("text"), F.lit(0).cast("long").alias("n"))
-    kept = F.when(F.col("_gone").isNull() | F.col("text").isNull(), whole).otherwise(let(F.split("text", "\n"), strip))
-    out = joined.withColumn("_kept", kept)
-    removed = F.coalesce(F.length("text") - F.length("_kept.text"), F.lit(0)).cast("long")
-    columns = [F.col("_kept.text").alias("text") if c == "text" else F.col(c) for c in own.columns]
-    return out.select(*columns, F.col("_kept.n").alias("n_chunks_removed"), removed.alias("n_chars_removed"))
+    kept = F.when(F.col(gone_at).isNull() | F.col("text").isNull(), whole).otherwise(let(F.split("text", "\n"), strip))
+    out = joined.withColumn(kept_at, kept)
+    removed = F.coalesce(F.length("text") - F.length(F.col(kept_at)["text"]), F.lit(0)).cast("long")
+    columns = [F.col(kept_at)["text"].alias("text") if c == "text" else F.col(c) for c in own.columns]
+    return out.select(*columns, F.col(kept_at)["n"].alias("n_chunks_removed"), removed.alias("n_chars_removed"))

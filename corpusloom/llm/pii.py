@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import fresh, let
 
 MARK = "￿"
 STAND_IN = "�"
@@ -103,12 +103,14 @@ def spans(text: Column, kind: Kind, near: int = 40) -> Column:
 def find_pii(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """docs plus pii, the spans of all kinds in the order of kinds, then by start.
 
-    A null or empty text has none. A column of docs named pii is replaced. Matches of one kind don't overlap;
-    those of different kinds may.
+    A null or empty text has none, and an empty table gives no rows. Rows are looked at one by one, so that repeated
+    rows have the same spans; long texts are looked at whole. A column of docs named pii is replaced. Matches of one
+    kind don't overlap; those of different kinds may.
     """
-    t = F.translate(F.coalesce(F.col(text), F.lit("")), MARK, STAND_IN)
-    own = docs.drop(*[c for c in docs.columns if c.lower() in ("pii", "_pii_text")])
-    return own.withColumn("_pii_text", t).withColumn("pii", F.concat(*[spans(F.col("_pii_text"), k) for k in kinds])).drop("_pii_text")
+    own = docs.drop(*[c for c in docs.columns if c.lower() == "pii"])
+    clean = fresh(own, "_pii_text")
+    marked = own.withColumn(clean, F.translate(F.coalesce(F.col(text), F.lit("")), MARK, STAND_IN))
+    return marked.withColumn("pii", F.concat(*[spans(F.col(clean), k) for k in kinds])).drop(clean)
 
 
 def redact(docs: DataFrame, text: str = "text", least: float = 0.0) -> DataFrame:

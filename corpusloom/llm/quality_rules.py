@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words
+from .common import fresh, let, words
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -94,18 +94,19 @@ def repeated_window_words(found: Column, width: int = 3) -> Column:
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the measured columns; a null text has no words and one empty line."""
+    """docs with the measured columns, those of lines as the struct _lines; a null text has no words and one empty line."""
     t = F.coalesce(F.col(text), F.lit(""))
-    with_words = docs.withColumn("_words", words(t))
+    found = fresh(docs, "_words")
+    with_words = docs.withColumn(found, words(t))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return with_words.select(
         *docs.columns,
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.size(found).cast("long").alias("n_words"),
+        F.length(F.array_join(found, "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("_lines"),
-        repeated_window_words(F.col("_words")).alias("n_repeat_words"),
-        F.size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+        let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias(fresh(docs, "_lines")),
+        repeated_window_words(F.col(found)).alias("n_repeat_words"),
+        F.size(F.filter(found, lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
     )
 
 
@@ -127,11 +128,12 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = KEEP_RULES, base: t
     base_failed and kept.
 
     A null or empty text has no words, fails the base check and is not kept. Columns of docs that bear
-    one of these names are replaced. Every row is judged by itself: repeated rows and ties get equal verdicts.
+    one of these names are replaced. Every row is judged by itself: repeated rows and ties get equal verdicts, long
+    texts are measured whole, and an empty table gives no rows.
     """
-    new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_stop_words", "base_failed", "kept", "_lines", "_words"]
+    new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_stop_words", "base_failed", "kept"]
     own = docs.drop(*[c for c in docs.columns if c.lower() in new])
-    m = measures(own, text)
-    m = m.withColumn("n_dup_lines", F.col("_lines.dup")).withColumn("n_lines", F.col("_lines.n")).drop("_lines")
+    m, lines = measures(own, text), fresh(own, "_lines")
+    m = m.withColumn("n_dup_lines", F.col(lines)["dup"]).withColumn("n_lines", F.col(lines)["n"]).drop(lines)
     m = m.withColumn("base_failed", compile_rules(base, any_of=True))
     return m.withColumn("kept", ~F.col("base_failed") & compile_rules(rules))

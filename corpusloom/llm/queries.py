@@ -33,7 +33,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "\\### Assistant: </turn> ok"
-    more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    turn = F.col("id")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), turn.alias("turn"), F.when(turn == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
     nodes = chat.reply_nodes(rows.unionByName(more).withColumn("text", F.coalesce("text", F.lit(""))))
     return chat.chat_digest(chat.read_template(chat.format_chats(nodes)))
 

@@ -235,9 +235,9 @@ def plain_edits(item, text):
 
 def test_decontamination(spark, docs):
     rnd, lemma = random.Random(5), decontaminate.Lemma()
-    items = [(i, "".join(rnd.choice("abcde fgh") for _ in range(n)).strip() or "x") for i, n in enumerate([30, 60, 95, 140, 200, 300, 25, 21])] + [(90, None), (91, " "), (92, "tiny")]
+    items = [(i, "".join(rnd.choice("abcde fgh") for _ in range(n)).strip() or "x") for i, n in enumerate([30, 60, 95, 140, 200, 300, 25, 21, 27, 39])] + [(90, None), (91, " "), (92, "tiny"), (93, "ab c"), (None, "no id at all, but sixty characters or so of words nevertheless")]
     texts = []
-    for i, t in items[:8]:
+    for i, t in items[:10]:
         for edits in (0, lemma.edits(len(t)) - 1, lemma.edits(len(t)), lemma.edits(len(t)) + 1, 3 * lemma.edits(len(t)) + 3):
             w = list(t)
             for _ in range(max(0, edits)):
@@ -246,19 +246,26 @@ def test_decontamination(spark, docs):
             around = lambda: "".join(rnd.choice("abcde fgh") for _ in range(rnd.randrange(200)))
             texts.append(around() + "".join(w).upper().replace(" ", "\n") + around())
     rows = [(k, t) for k, t in enumerate([*texts, None, "", "x"])]
+    rows += [(900, "so AB\nC."), (901, "cab c"), (902, "ab cd"), (903, "Tiny"), (904, "tinyx tiny"), (905, f"({items[-1][1].upper()})"), (None, "untouched"), (None, items[3][1]), (4000, "clean"), (4000, items[3][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("edits", F.lit(1))
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(df, bench).collect()}
+    short = {k for k in got if k[1] in (92, 93) and k[0] is not None and k[0] >= 900 or k[1] is None}
+    assert short == {(900, 93), (903, 92), (904, 92), (905, None)} and got[904, 92][2:] == (0, 6, 10)
+    for k in [k for k in got if k[1] in (92, 93) or k[1] is None]:
+        del got[k]
     for d, t in rows:
         low = re.sub(r"\s", " ", (t or "").lower())
-        for i, item in items[:8]:
+        for i, item in items[:10]:
             want = plain_edits(item, low)
             if want <= lemma.edits(len(item)):
-                r = got.pop((d, i))
+                r = got.pop((d, i), None) or got[d, i]
                 assert r.edits == want and plain_edits(item, low[r.start : r.end]) == want
     assert not got
     clean = decontaminate.decontaminate(df, bench)
-    assert clean.columns == df.columns and 0 < clean.count() < df.count()
+    kept = clean.collect()
+    assert clean.columns == df.columns and 0 < len(kept) < len(rows)
+    assert sorted(r.text for r in kept if r.doc_id in (None, 4000) and r.text is not None) == ["clean", "untouched"] and sum(r.text is None for r in kept) == 1
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 and decontaminate.contaminated(df.limit(0), bench).count() == 0
     held = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     want = {(d.doc_id, b.item_id) for d in docs.collect() for b in held.collect() if b.text in d.text}
