@@ -23,7 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame, name: str = "rounds") -> DataFrame:
     """df written to the shared folder and read back, so that a lost executor costs no earlier step."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/stash/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    spark, clean = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")  # what was shuffled for the table goes as soon as it is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(clean, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stash_path = path
     return out
