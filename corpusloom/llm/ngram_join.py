@@ -5,13 +5,13 @@ Documents become sets of distinct word shingles; equal sets are one node. The jo
 1. Similar sets fall into groups. The hash range is cut into m parts, one more than two linked sets can
    differ in, so that linked sets agree in all tokens of some part; sets that share a part have the part's head
    in common, the sharer of most parts (of near copies, their origin). A group is a head with all that share a
-   part with it: linked sets are in a common group. Each member is compared with its head once.
-2. The matrix stores the token union of each group whose members don't all hang together yet: each token in
-   which a member differs from the head, with the number of members that it sets apart. A group's union is cut
+   part with it: linked sets are in a common group.
+2. The matrix stores each group's token union, with the number of members that hold each token. A union is cut
    into pieces by token, so that no task holds a large group.
-3. The bound: what a member and a partner differ in from the head must overlap by so many tokens. A member
-   whose overlap with the union of the others falls short has no partner in the group, and doesn't open it.
-4. In opened groups, members meet on the rarest of these tokens that the bound leaves (a prefix filter), only
+3. The bound: tokens of a set that no other member holds are lost to any link in the group. A set that has too
+   many of them doesn't open the group. That is tested on a half of the hash range first, then, for the groups that
+   don't hang together yet, on what each remaining member and its head differ in.
+4. In opened groups, members meet on the rarest of the tokens that the bound leaves (a prefix filter), only
    where the holders of a token stand in different components; the pairs so met are verified, each once.
 5. The components of the verified links give each document its class.
 """
@@ -170,6 +170,14 @@ def _tokens(x: pa.Scalar, kind: type = _U) -> np.ndarray:
     return np.frombuffer(x.as_buffer(), kind)
 
 
+def _texts_of(docs: DataFrame, described: DataFrame, nodes: DataFrame) -> DataFrame:
+    """text of one document for each of the nodes named, as often as rows repeat it."""
+    # one row for all copies before the join, so that many copies don't meet in one task
+    first = described.groupBy("node").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
+    wanted = stash(first.join(nodes, "node", "left_semi").select("doc_id"), "wanted")
+    return docs.select("doc_id", "text").join(broadcast_if_small(wanted, 16), "doc_id", "left_semi").select("text")
+
+
 def fetch_sets(docs: DataFrame, described: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
     """node and tokens (sorted 64-bit hashes, packed) for the nodes named; made anew from the text of one document each."""
 
@@ -179,14 +187,8 @@ def fetch_sets(docs: DataFrame, described: DataFrame, nodes: DataFrame, measure:
                 sets = [s for s in shingle_sets(texts, measure.width) if len(s)]
                 yield pa.record_batch([pa.array([_prints(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "tokens"])
 
-    # one row for all copies before the join, so that many copies don't meet in one task
-    first = described.groupBy("node").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
-    wanted = stash(first.join(nodes, "node", "left_semi").select("doc_id"), "wanted")
-    made = docs.select("doc_id", "text").join(broadcast_if_small(wanted, 16), "doc_id", "left_semi").select("text").mapInArrow(run, "node long, tokens binary")
     # rows that repeat a doc_id make their set once each
-    sets = stash(made.dropDuplicates(["node"]), "sets")
-    unstash(wanted)
-    return sets
+    return stash(_texts_of(docs, described, nodes).mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"]), "sets")
 
 
 def compare(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
@@ -229,33 +231,79 @@ def overlap_bound(measure: Measure, linked: np.ndarray, n_a: np.ndarray, n_b: np
     return np.where(linked, near, apart)
 
 
-_SLICE = "b long, r int, s int, pieces int, salts int, a long, linked boolean, n_a long, n_b long, d long, ids binary"
 _UNION = pa.schema([("b", pa.int64()), ("r", pa.int32()), ("salts", pa.int32()), ("ids", pa.binary()), ("often", pa.binary())])
 _OPENED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("n_a", pa.int64()), ("d", pa.int64()), ("least", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("often", pa.binary())])
 _ddl = lambda schema: ", ".join(f"{f.name} {({pa.int64(): 'long', pa.int32(): 'int', pa.bool_(): 'boolean', pa.binary(): 'binary'})[f.type]}" for f in schema)
 
 
-def union_slices(compared: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of compared in the groups (b, pieces, salts), their ids cut into pieces (r); large groups' members are dealt to salts (s)."""
+def _cut(rows: DataFrame) -> DataFrame:
+    """rows with their ids (sorted, packed) cut into as many pieces by value as the column pieces says, one row for each (r) that isn't empty."""
+    out = rows.withColumn("r", F.lit(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["b", "r", "s", "pieces", "salts", "a", "linked", "n_a", "n_b", "d", "ids"]
         for b in batches:
-            pieces, salts = b["pieces"].to_numpy(), b["salts"].to_numpy()
-            s = (mix(b["a"].to_numpy().astype(_U)) % salts.astype(_U)).astype(np.int32)
-            rows, r, ids = [], [], []
-            for i, x in enumerate(b["ids"]):
+            at, r, ids = [], [], []
+            for i, (x, n) in enumerate(zip(b["ids"], b["pieces"].to_pylist(), strict=True)):
                 v = _tokens(x, np.uint32)
-                cut = np.concatenate([[0], np.searchsorted(v, [(j << 32) // int(pieces[i]) for j in range(1, int(pieces[i]))]), [len(v)]])
+                cut = np.concatenate([[0], np.searchsorted(v, [(j << 32) // n for j in range(1, n)]), [len(v)]])
                 for j in np.flatnonzero(np.diff(cut)).tolist():
-                    rows.append(i)
+                    at.append(i)
                     r.append(j)
                     ids.append(v[cut[j] : cut[j + 1]].tobytes())
-            part = b.take(pa.array(rows, pa.int32()))
-            cols = {"r": pa.array(r, pa.int32()), "s": pa.array(s[rows]), "ids": pa.array(ids, pa.binary())}
-            yield pa.record_batch([cols.get(c, part[c] if c in part.schema.names else None) for c in names], names)
+            part, new = b.take(pa.array(at, pa.int32())), {"r": pa.array(r, pa.int32()), "ids": pa.array(ids, pa.binary())}
+            yield pa.record_batch([new[c] if c in new else part[c] for c in b.schema.names], b.schema.names)
+
+    return out.mapInArrow(run, out.schema)
+
+
+def _sized(groups: DataFrame) -> DataFrame:
+    """b, pieces and salts of groups (b, ids: of all members together, members)."""
+    pieces, salts = (F.col("ids") / PIECE_IDS).cast("int") + 1, (F.col("members") / PIECE_MEMBERS).cast("int") + 1
+    return stash(groups.select("b", pieces.alias("pieces"), salts.alias("salts")), "groups")
+
 
-    return compared.where("d > 0").join(broadcast_if_small(groups, 24), "b").mapInArrow(run, _SLICE)
+def sketches(docs: DataFrame, described: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
+    """a, n (tokens of the set) and ids (32 bits of its tokens in the lower half of the hash range) of the nodes named."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for texts in stretches(b["text"]):
+                sets = [s for s in shingle_sets(texts, measure.width) if len(s)]
+                half = [(s[: np.searchsorted(s, _U(1 << 63))] >> _U(31)).astype(np.uint32).tobytes() for s in sets]
+                node = pa.array([_prints(s)[0] for s in sets], pa.int64())
+                yield pa.record_batch([node, pa.array([len(s) for s in sets], pa.int64()), pa.array(half, pa.binary())], ["a", "n", "ids"])
+
+    return _texts_of(docs, described, nodes).mapInArrow(run, "a long, n long, ids binary").dropDuplicates(["a"])
+
+
+def qualifying_members(docs: DataFrame, described: DataFrame, members: DataFrame, measure: Measure) -> DataFrame:
+    """The rows (a, b) of members whose overlap with the union of the other members, head included, allows a link.
+
+    Of a set of n tokens, n part / whole at least are in any set linked to it. Groups of so many members that they are
+    dealt out later stay whole.
+    """
+
+    def own(group: pa.Table) -> pa.Table:
+        ids = _all(group["ids"])
+        v, often = _unite(ids)
+        size = [len(x.as_buffer()) // 4 for x in group["ids"]]
+        alone = np.bincount(np.repeat(np.arange(len(size)), size)[often[np.searchsorted(v, ids)] == 1], minlength=len(size))
+        return pa.table([group["a"], group["b"], group["n"], pa.array(alone, pa.int64())], names=["a", "b", "n", "alone"])
+
+    with_head = members.unionByName(members.select(F.col("b").alias("a"), "b").distinct())
+    size = described.where("node is not null").groupBy(F.col("node").alias("a")).agg(F.first("n_shingles").alias("ids"))
+    groups = _sized(with_head.join(size, "a").groupBy("b").agg(F.sum(F.col("ids") / 2).alias("ids"), F.count("*").alias("members")))
+    placed = with_head.join(broadcast_if_small(groups.where("salts = 1"), 24), "b").select("a", "b", "pieces")
+    sketch = sketches(docs, described, with_head.select(F.col("a").alias("node")).distinct(), measure)
+    alone = _cut(placed.join(sketch, "a")).groupBy("b", "r").applyInArrow(own, "a long, b long, n long, alone long")
+    alone = alone.groupBy("a", "b").agg(F.first("n").alias("n"), F.sum("alone").alias("alone"))
+    few = alone.where((F.col("a") != F.col("b")) & (measure.whole * F.col("alone") <= (measure.whole - measure.part) * F.col("n"))).select("a", "b")
+    # a set without tokens in the lower half has no row above; it is small, and stays
+    unseen = members.join(broadcast_if_small(groups.where("salts > 1"), 24), "b", "left_semi")
+    bare = members.join(alone.select("a").distinct(), "a", "left_anti")
+    out = stash(few.unionByName(unseen).unionByName(bare).distinct(), "qualifying")
+    unstash(groups)
+    return out
 
 
 def _unite(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -337,9 +385,9 @@ def pairs_to_verify(compared: DataFrame, label: DataFrame, measure: Measure) ->
     placed = lambda df: df.join(component, "a", "left").withColumn("component", F.coalesce("component", "a"))
     spread = [F.min("component").alias("p"), F.max("component").alias("q")]
     groups = placed(compared.select("a", "b", "d")).groupBy("b").agg(*spread, F.sum("d").alias("ids"), F.count("*").alias("members")).where("p <> q")
-    pieces, salts = (F.col("ids") / PIECE_IDS).cast("int") + 1, (F.col("members") / PIECE_MEMBERS).cast("int") + 1
-    groups = stash(groups.select("b", pieces.alias("pieces"), salts.alias("salts")), "groups")
-    rare = stash(placed(rarest_shared(open_groups(union_slices(compared, groups), measure))), "rare-tokens")
+    groups = _sized(groups)
+    slices = compared.where("d > 0").join(broadcast_if_small(groups, 24), "b").withColumn("s", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
+    rare = stash(placed(rarest_shared(open_groups(_cut(slices), measure))), "rare-tokens")
     asked = rare.groupBy("b", "id").agg(*spread, F.bool_or(~F.col("linked")).alias("asked")).where("p <> q and asked").select("b", "id")
     index = rare.join(asked, ["b", "id"], "left_semi")
     x, y = (index.select("b", "id", *[F.col(c).alias(f"{c}_{side}") for c in ("a", "component", "linked", "n_a", "d", "left")]) for side in "xy")
@@ -357,7 +405,9 @@ def pairs_to_verify(compared: DataFrame, label: DataFrame, measure: Measure) ->
 
 def link_sets(docs: DataFrame, described: DataFrame, measure: Measure) -> DataFrame:
     """node and component of every node that some link reaches. Each pair that could join two components is verified."""
-    members = similar_groups(docs, measure)
+    sharers = similar_groups(docs, measure)
+    members = qualifying_members(docs, described, sharers, measure)
+    unstash(sharers)
     nodes = members.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = fetch_sets(docs, described, nodes, measure)
     compared = stash(compare(members, sets, measure), "compared")
