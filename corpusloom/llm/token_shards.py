@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, worker_state
 from .wavelet import WaveletMatrix
 
-#: Characters of text in a shard (more where that would make over MOST_SHARDS), tokens after which a block is closed, distinct runs that a task remembers.
-SHARD_CHARS, MOST_SHARDS, BLOCK_TOKENS, MEMO = 24_000_000, 50_000, 1 << 20, 700_000
+#: Bytes of text in a shard (more where that would make over MOST_SHARDS), tokens after which a block is closed, distinct runs that a task remembers.
+SHARD_BYTES, MOST_SHARDS, BLOCK_TOKENS, MEMO = 24_000_000, 50_000, 1 << 20, 700_000
 
 #: White space, and the pattern by which the tokenizer cuts texts before its merges.
 BLANKS = "\t-\r \x85\xa0  -     　"
@@ -108,8 +108,11 @@ class Encoder:
         if self.odd.search(r):
             return self._pack(self.whole.encode(r, add_special_tokens=False).ids)
         if word[-1:] in (".", ",") and word[:-1].isalpha():
-            return (self.spaced if r[0] == " " else self.bare)[word[:-1]] + self._piece(r[-1])
-        return b"".join([self._piece(p) for p in self.cut.findall(r)])
+            return (self.spaced if r[0] == " " else self.bare)[word[:-1]] + self.bare[r[-1]]
+        pieces = self.cut.findall(r)
+        if len(pieces) == 1:
+            return self._piece(r)
+        return b"".join([self.spaced[p[1:]] if p[0] == " " and len(p) > 1 else self.bare[p] for p in pieces])
 
     def by_runs(self, text: str) -> bytes:
         spaced, bare = self.spaced, self.bare
@@ -129,7 +132,7 @@ class Encoder:
             return self.by_runs(text)
 
 
-def write_shards(docs: DataFrame, tokenizer: str, path: str, end: int = 0, shard_chars: int = SHARD_CHARS) -> None:
+def write_shards(docs: DataFrame, tokenizer: str, path: str, end: int = 0, shard_bytes: int = SHARD_BYTES) -> None:
     """Write the ids of docs (doc_id, text), each text followed by the id end, to a new folder.
 
     Order: doc_id ascending, null first, ties by text, null first. A null or empty text has the end id only.
@@ -137,8 +140,8 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end: int = 0, shard
     bounds a block. An empty table writes a folder without blocks.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    chars = int(rows.agg(F.sum(F.length("text") + 16)).first()[0] or 0)
-    shards = min(chars // shard_chars + 1, MOST_SHARDS)
+    size = int(rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0)
+    shards = min(size // shard_bytes + 1, MOST_SHARDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, shard, block = worker_state(f"encoder of {tokenizer}", lambda: Encoder(tokenizer)), TaskContext.get().partitionId(), 0

@@ -162,7 +162,7 @@ def test_token_shards(spark, docs, tmp_path):
     whole = Tokenizer.from_file(BYTE_BPE)
     df = spark.createDataFrame([(5_000 + i, t) for i, t in enumerate(ODD)], "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
     rows = sorted(((r.doc_id, r.text) for r in df.collect()), key=lambda r: r[0])
-    token_shards.write_shards(df.withColumn("start", F.lit(1)), BYTE_BPE, str(tmp_path / "shards"), shard_chars=60_000)
+    token_shards.write_shards(df.withColumn("start", F.lit(1)), BYTE_BPE, str(tmp_path / "shards"), shard_bytes=60_000)
     shards = token_shards.read_shards(spark, str(tmp_path / "shards"))
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_shards.documents(shards).collect()}
     at, every = 0, []
