@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -20,27 +21,47 @@ def _run(stream: DataFrame, each, at: str, mode: str = "append") -> None:
     stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start().awaitTermination()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def _written(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table that earlier batches wrote, if there is one."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def _totals(totals: DataFrame, at: str) -> DataFrame:
+    """The newest state of a running aggregate. Each batch writes a folder of its own; a restart with nothing new reads the last one."""
+    spark = totals.sparkSession
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/totals/batch={number}")
+
+    _run(totals, keep, at, "complete")
+    have = _written(spark, f"{at}/totals")
+    if have is None:
+        return spark.createDataFrame([], totals.schema)
+    return have.where(F.col("batch") == (have.agg(F.max("batch")).first()[0])).select(totals.columns)
 
 
 def incremental_postings(spark: SparkSession, path: str, schema: StructType, at: str, key: str = "doc_id") -> DataFrame:
     """Postings (doc_key, term, tf) of the documents under path, added batch by batch; a key that is in the index is passed over.
 
-    Each batch overwrites its own folder, so that a batch that is run again leaves no doubles.
+    Each batch overwrites its own folder, so that a batch that is run again leaves no doubles. With nothing new since
+    the last run the index comes back as it is; without any document it is empty.
     """
     index = f"{at}/index"
 
     def add(batch: DataFrame, number: int) -> None:
         new = batch.dropDuplicates([key])
-        if _exists(spark, index):
-            have = spark.read.parquet(index).where(F.col("batch") != number).select(F.col("doc_key").alias(key)).distinct()
-            new = new.join(have, key, "left_anti")
+        if (have := _written(spark, index)) is not None:
+            new = new.join(have.where(F.col("batch") != number).select(F.col("doc_key").alias(key)).distinct(), key, "left_anti")
         chunk_terms(new, F.col(key), "text").write.mode("overwrite").parquet(f"{index}/batch={number}")
 
     _run(spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path), add, at)
-    return spark.read.parquet(index).select("doc_key", "term", "tf")
+    have = _written(spark, index)
+    return spark.createDataFrame([], "doc_key long, term string, tf long") if have is None else have.select("doc_key", "term", "tf")
 
 
 def changed_files(spark: SparkSession, path: str, schema: StructType, at: str) -> DataFrame:
@@ -49,8 +70,8 @@ def changed_files(spark: SparkSession, path: str, schema: StructType, at: str) -
 
     def add(batch: DataFrame, number: int) -> None:
         new = batch.select("path", "mtime").distinct()
-        if _exists(spark, log):
-            new = new.join(spark.read.parquet(log).where(F.col("batch") != number).select("path", "mtime"), ["path", "mtime"], "left_anti")
+        if (have := _written(spark, log)) is not None:
+            new = new.join(have.where(F.col("batch") != number).select("path", "mtime"), ["path", "mtime"], "left_anti")
         new.write.mode("overwrite").parquet(f"{log}/batch={number}")
 
     _run(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path), add, at)
@@ -64,28 +85,12 @@ def task_states(events: DataFrame, at: str, terminal: tuple[str, ...] = ("failed
     """
     row = F.struct("ts", "event_id", "status", "progress")
     state = events.groupBy("task_id").agg(F.min(F.when(F.col("status").isin(*terminal), row)).alias("ended"), F.max(row).alias("last"))
-    spark = events.sparkSession
-
-    def keep(batch: DataFrame, number: int) -> None:
-        s = F.coalesce("ended", "last")
-        batch.select("task_id", s.alias("s")).select("task_id", "s.event_id", "s.status", "s.progress").write.mode("overwrite").parquet(f"{at}/states-{number}")
-        done.append(number)
-
-    done: list[int] = []
-    _run(state, keep, at, "complete")
-    return spark.read.parquet(f"{at}/states-{done[-1]}")
+    s = F.coalesce("ended", "last")
+    return _totals(state, at).select("task_id", s.alias("s")).select("task_id", "s.event_id", "s.status", "s.progress")
 
 
 def event_counts(events: DataFrame, at: str) -> DataFrame:
     """event_type, n and n_keys of a stream (event_type, props as JSON)."""
-    spark = events.sparkSession
     typed = events.withColumn("k", F.from_json("props", "k long")["k"])
     counts = typed.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.coalesce("k", F.lit(0))).alias("k_total"))
-    done: list[int] = []
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/counts-{number}")
-        done.append(number)
-
-    _run(counts, keep, at, "complete")
-    return spark.read.parquet(f"{at}/counts-{done[-1]}")
+    return _totals(counts, at)
