@@ -61,12 +61,12 @@ def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @reg.add(f"""
-WITH RECURSIVE t AS (SELECT conv_id AS id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, trim(text[1:1900], E' \\t\\n') AS p FROM conversations),
+WITH RECURSIVE t AS (SELECT conv_id AS id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, trim(text, E' \\t\\n') AS p FROM conversations),
   {pack_sql('t', 2000, "E'\\n\\n'", 150)}
 SELECT id AS conv_id, chunk, length(content) AS n_chars, md5(content) AS digest FROM o
 """)
 def paragraph_chunks(spark: SparkSession, d: str) -> DataFrame:
-    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.left("text", F.lit(1900)).alias("t")))).alias("r"))
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("t")))).alias("r"))
     text = F.array_join(F.transform("r", lambda x: x["t"]), "\n\n")
     c = turns.select("conv_id", F.posexplode(K.paragraphs(text)).alias("chunk", "content"))
     return c.select("conv_id", "chunk", F.length("content").alias("n_chars"), F.md5("content").alias("digest"))
