@@ -25,6 +25,16 @@ IMPORTANT_NAMES = (
     ".pylintrc mypy.ini go.mod go.sum Cargo.toml Cargo.lock pom.xml build.gradle build.gradle.kts composer.json composer.lock Gemfile Gemfile.lock"
 ).split()
 README_NAMES = ("README.md", "readme.md", "README.rst", "README.txt")
+SCAN_SKIP_DIRS = ("node_modules", "__pycache__", "venv", "env")
+ENTRY_NAMES = (
+    "main.py", "app.py", "index.py", "__main__.py", "manage.py", "wsgi.py", "asgi.py", "index.ts", "index.tsx", "index.js", "index.jsx", "main.ts", "main.tsx", "app.ts", "app.tsx",
+    "server.ts", "server.js", "page.tsx", "layout.tsx", "route.ts", "route.tsx", "api.py", "routes.py", "urls.py", "views.py",
+)
+CONFIG_NAMES = (
+    "package.json", "tsconfig.json", "next.config.js", "next.config.ts", "vite.config.ts", "vite.config.js", "webpack.config.js", "pyproject.toml", "setup.py", "requirements.txt",
+    ".env.example", "docker-compose.yml", "Dockerfile",
+)
+MARKDOWN_EXTENSIONS = ("md", "mdx", "markdown", "rst")
 MOST_BYTES = 2 << 20
 
 
@@ -72,6 +82,42 @@ def excluded(path: Column, globs: list[str]) -> Column:
     return F.exists(above, lambda a: a.rlike(p)) | F.exists(F.split(path, "/"), lambda a: a.rlike(p))
 
 
+def included(path: Column, globs: list[str]) -> Column:
+    """Whether the name matches one of the globs; without globs every file does."""
+    return name_of(path).rlike(glob_regex(globs)) if globs else F.lit(True)
+
+
+def scanned(path: Column) -> Column:
+    """Whether a scan for source files takes the path: nothing hidden, no installed packages, no virtual environment."""
+    parts = F.split(path, "/")
+    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    return ~F.exists(parts, lambda x: x.startswith(".")) & ~F.arrays_overlap(folders, F.array(*[F.lit(x) for x in SCAN_SKIP_DIRS]))
+
+
+def listing(paths: DataFrame, extensions: list[str] | None = None) -> DataFrame:
+    """The paths outside of skipped directories, of the given extensions if any, in order."""
+    folders = F.split(folder_of(F.col("path")), "/")
+    out = paths.where(~F.arrays_overlap(folders, F.array(*[F.lit(x) for x in SEARCH_SKIP_DIRS])))
+    return (out.where(extension(F.col("path")).isin(*extensions)) if extensions else out).select("path").orderBy("path")
+
+
+def named_files(paths: DataFrame, pattern: str, most: int = 10) -> DataFrame:
+    """The first paths whose name matches a glob."""
+    return paths.where(included(F.col("path"), [pattern])).select("path").orderBy("path").limit(most)
+
+
+def project_files(paths: DataFrame) -> DataFrame:
+    """kind (entry or config) and path of the files that start or set up a program."""
+    name = name_of(F.col("path"))
+    kinds = F.array_compact(F.array(F.when(name.isin(*ENTRY_NAMES), "entry"), F.when(name.isin(*CONFIG_NAMES), "config")))
+    return listing(paths).select(F.explode(kinds).alias("kind"), "path").distinct()
+
+
+def split_route(path: Column) -> Column:
+    """markdown or plain_text, by extension."""
+    return F.when(extension(path).isin(*MARKDOWN_EXTENSIONS), "markdown").otherwise("plain_text")
+
+
 def kept(path: Column) -> Column:
     """Not under a directory of version control, nor a legal text by name."""
     return ~F.arrays_overlap(F.slice(F.split(path, "/"), F.lit(1), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0))), F.array(*[F.lit(x) for x in SKIP_DIRS])) & ~F.lower(name_of(path)).isin(SKIP_NAMES)

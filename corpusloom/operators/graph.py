@@ -144,6 +144,40 @@ def pagerank(edges: DataFrame, nodes: DataFrame, personal: DataFrame | None = No
     return state.select("id", "rank")
 
 
+def name_pagerank(defs: DataFrame, refs: DataFrame, nodes: DataFrame, personal: DataFrame | None = None, rounds: int = 10, damping: float = 0.85) -> DataFrame:
+    """id and rank as pagerank gives them over all edges from a referring file to a defining one, an edge for each name.
+
+    defs and refs (id, name, distinct). A frequent name has as many edges as its referring files times its defining
+    ones, so rank goes through the name: a round's work grows with the references, whatever the names. An edge from a
+    file to itself doesn't count: what a file would give itself is taken off again.
+    """
+    refs = stash(refs.join(defs.select("name").distinct(), "name", "left_semi").select("id", "name"))
+    defs = stash(defs.where("name is not null").select("id", "name"))
+    holders = defs.groupBy("name").agg(F.count("*").alias("n_defs"))
+    own = refs.join(defs, ["id", "name"]).groupBy("id").agg(F.count("*").alias("own"))
+    out = refs.join(holders, "name").groupBy("id").agg(F.sum("n_defs").alias("links"))
+    n = nodes.count()
+    base = nodes.select("id")
+    base = base.join(personal, "id", "left").fillna(0.0, ["share"]) if personal is not None else base.withColumn("share", F.lit(1.0 / max(n, 1)))
+    base = base.join(out, "id", "left").join(own, "id", "left").select("id", "share", F.coalesce("own", F.lit(0)).alias("own"), (F.coalesce("links", F.lit(0)) - F.coalesce("own", F.lit(0))).alias("links"))
+    base = stash(base)
+    state = base.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    for _ in range(rounds):
+        each = state.where("links > 0").select("id", (F.col("rank") / F.col("links")).alias("each"))
+        lost = state.where("links = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("s")).first()[0]
+        names = refs.join(each, "id").groupBy("name").agg(F.sum("each").alias("through"))
+        got = defs.join(names, "name").groupBy("id").agg(F.sum("through").alias("got"))
+        back = F.when(F.col("links") > 0, F.col("own") * F.col("rank") / F.col("links")).otherwise(0.0)
+        new = damping * (F.coalesce("got", F.lit(0.0)) - back + lost * F.col("share")) + (1 - damping) * F.col("share")
+        state = stash(state.join(got, "id", "left").select("id", "share", "own", "links", new.alias("rank")))
+    return state.select("id", "rank")
+
+
+def file_order(tags: DataFrame) -> DataFrame:
+    """tags (file, name, rank) with top, the highest rank of their file, by which files are shown."""
+    return tags.withColumn("top", F.max("rank").over(Window.partitionBy("file")))
+
+
 def ranked_tags(tags: DataFrame, ranks: DataFrame, boosted_names: list[str], boosted_files: list[str], chat_files: list[str], least: float | None = None) -> DataFrame:
     """Definition tags (file, line, name) with rank: the file's, times 10 for a mentioned name, 5 for a mentioned file, 20 for one in the chat."""
     boost = F.when(F.col("name").isin(*boosted_names), 10.0).otherwise(1.0) * F.when(F.col("file").isin(*boosted_files), 5.0).otherwise(1.0) * F.when(F.col("file").isin(*chat_files), 20.0).otherwise(1.0)
