@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .shared import stash
 
+BROADCAST_BYTES = 8 << 20
+
 
 def build_nodes(files: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, type, name, file) and contains edges (src, dst, type) of files (file) and symbols (file, name, kind).
@@ -153,9 +155,11 @@ def name_pagerank(defs: DataFrame, refs: DataFrame, nodes: DataFrame, personal:
     """
     refs = stash(refs.join(defs.select("name").distinct(), "name", "left_semi").select("id", "name"))
     defs = stash(defs.where("name is not null").select("id", "name"))
-    holders = defs.groupBy("name").agg(F.count("*").alias("n_defs"))
+    holders = stash(defs.groupBy("name").agg(F.count("*").alias("n_defs")))
+    size = holders.agg(F.coalesce(F.sum(F.length("name") * 4 + 40), F.lit(0))).first()[0]
+    few = F.broadcast if size <= BROADCAST_BYTES else (lambda df: df)  # a row for each name, at most four bytes a character
     own = refs.join(defs, ["id", "name"]).groupBy("id").agg(F.count("*").alias("own"))
-    out = refs.join(holders, "name").groupBy("id").agg(F.sum("n_defs").alias("links"))
+    out = refs.join(few(holders), "name").groupBy("id").agg(F.sum("n_defs").alias("links"))
     n = nodes.count()
     base = nodes.select("id")
     base = base.join(personal, "id", "left").fillna(0.0, ["share"]) if personal is not None else base.withColumn("share", F.lit(1.0 / max(n, 1)))
@@ -166,7 +170,7 @@ def name_pagerank(defs: DataFrame, refs: DataFrame, nodes: DataFrame, personal:
         each = state.where("links > 0").select("id", (F.col("rank") / F.col("links")).alias("each"))
         lost = state.where("links = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("s")).first()[0]
         names = refs.join(each, "id").groupBy("name").agg(F.sum("each").alias("through"))
-        got = defs.join(names, "name").groupBy("id").agg(F.sum("through").alias("got"))
+        got = defs.join(few(names), "name").groupBy("id").agg(F.sum("through").alias("got"))
         back = F.when(F.col("links") > 0, F.col("own") * F.col("rank") / F.col("links")).otherwise(0.0)
         new = damping * (F.coalesce("got", F.lit(0.0)) - back + lost * F.col("share")) + (1 - damping) * F.col("share")
         state = stash(state.join(got, "id", "left").select("id", "share", "own", "links", new.alias("rank")))

@@ -135,48 +135,88 @@ def graph_overview(spark: SparkSession, d: str) -> DataFrame:
     return counts.join(first)
 
 
-TAGS = r"""tk AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_\x{4e00}-\x{9fff}]+')) AS name FROM documents),
-  rare AS (SELECT name FROM tk GROUP BY name HAVING count(*) BETWEEN 2 AND 20), rf AS (SELECT doc_id, name FROM tk JOIN rare USING (name)),
+TAGS = r"""rf AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_\x{4e00}-\x{9fff}]+')) AS name FROM documents),
   df AS (SELECT doc_id, regexp_extract_all(lower(text), '[A-Za-z0-9_\x{4e00}-\x{9fff}]+')[1] AS name FROM documents),
+  hd AS (SELECT name, count(*) AS n_defs FROM df WHERE name IS NOT NULL GROUP BY name),
   ed AS (SELECT rf.doc_id AS src, df.doc_id AS dst, CAST(count(*) AS DOUBLE) AS weight FROM rf JOIN df USING (name) WHERE rf.doc_id <> df.doc_id GROUP BY ALL)"""
 
 
 def tags_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Definitions (the first word of a document) and references (words that 2 to 20 documents hold), doc_id and name each."""
+    """Definitions (the first word of a document) and references (all its words), doc_id and name each."""
     docs = table(spark, d, "documents").select("doc_id", X.tokenize(F.col("text")).alias("t"))
-    words = docs.select("doc_id", F.explode(F.array_distinct("t")).alias("name"))
-    rare = words.groupBy("name").agg(F.count("*").alias("n")).where("n between 2 and 20").select("name")
-    return docs.select("doc_id", F.get("t", F.lit(0)).alias("name")), words.join(rare, "name")
+    return docs.select("doc_id", F.get("t", F.lit(0)).alias("name")), docs.select("doc_id", F.explode(F.array_distinct("t")).alias("name"))
 
 
-def reference_edges(spark: SparkSession, d: str) -> DataFrame:
-    defs, refs = tags_of(spark, d)
-    both = refs.select(F.col("doc_id").alias("src"), "name").join(defs.select(F.col("doc_id").alias("dst"), "name"), "name").where("src <> dst")
-    return both.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
-
-
-@reg.add(f"WITH {TAGS} SELECT src, dst, weight FROM ed")
+@reg.add(f"WITH {TAGS} SELECT doc_id, name, n_defs - CASE WHEN EXISTS (SELECT 1 FROM df WHERE df.doc_id = rf.doc_id AND df.name = rf.name) THEN 1 ELSE 0 END AS n_targets FROM rf JOIN hd USING (name)")
 def reference_graph(spark: SparkSession, d: str) -> DataFrame:
-    return reference_edges(spark, d)
+    """References with the number of other documents that define the name: the edges of a name in one row, as a
+    frequent name has as many edges as its referring documents times its defining ones."""
+    defs, refs = tags_of(spark, d)
+    own = defs.where("name is not null").select("doc_id", "name", F.lit(1).alias("own"))
+    holders = own.groupBy("name").agg(F.count("*").alias("n_defs"))
+    rows = refs.join(holders, "name").join(own, ["doc_id", "name"], "left")
+    return rows.select("doc_id", "name", (F.col("n_defs") - F.coalesce("own", F.lit(0))).alias("n_targets"))
 
 
-def pagerank_sql(rounds: int = 10) -> str:
-    steps = ["r0 AS (SELECT doc_id AS id, 1.0 / (SELECT count(*) FROM documents) AS rank FROM documents)"]
+def pagerank_sql(rounds: int = 10, share: str = "1.0 / (SELECT count(*) FROM documents)") -> str:
+    steps = [f"r0 AS (SELECT doc_id AS id, 1.0 / (SELECT count(*) FROM documents) AS rank, {share} AS share FROM documents)"]
     for k in range(1, rounds + 1):
         steps.append(f"""s{k} AS (SELECT dst AS id, sum(weight / w * rank) AS got FROM ed JOIN ow USING (src) JOIN r{k - 1} ON r{k - 1}.id = src GROUP BY dst),
-  r{k} AS (SELECT doc_id AS id, 0.85 * (coalesce(got, 0) + (SELECT coalesce(sum(rank), 0) FROM r{k - 1} WHERE id NOT IN (SELECT src FROM ow)) / (SELECT count(*) FROM documents)) + 0.15 / (SELECT count(*) FROM documents) AS rank FROM documents LEFT JOIN s{k} ON s{k}.id = doc_id)""")
+  r{k} AS (SELECT o.id, 0.85 * (coalesce(got, 0) + (SELECT coalesce(sum(rank), 0) FROM r{k - 1} WHERE id NOT IN (SELECT src FROM ow)) * share) + 0.15 * share AS rank, share FROM r0 o LEFT JOIN s{k} ON s{k}.id = o.id)""")
     return f"WITH {TAGS}, ow AS (SELECT src, sum(weight) AS w FROM ed GROUP BY src), " + ",\n  ".join(x.replace(" AS (", " AS MATERIALIZED (", 1) for x in steps)
 
 
+def document_ranks(spark: SparkSession, d: str, personal: DataFrame | None = None) -> DataFrame:
+    defs, refs = (x.withColumnRenamed("doc_id", "id") for x in tags_of(spark, d))
+    return G.name_pagerank(defs, refs, table(spark, d, "documents").select(F.col("doc_id").alias("id")), personal)
+
+
 @reg.add(pagerank_sql() + " SELECT id, round(rank, 9) AS rank FROM r10")
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
-    ids = table(spark, d, "documents").select(F.col("doc_id").alias("id"))
-    return G.pagerank(reference_edges(spark, d), ids).select("id", F.round("rank", 9).alias("rank"))
+    return document_ranks(spark, d).select("id", F.round("rank", 9).alias("rank"))
+
+
+@reg.add(pagerank_sql(share="CASE WHEN lang = 'en' THEN 1.0 / (SELECT count(*) FROM documents WHERE lang = 'en') ELSE 0.0 END") + " SELECT id, round(rank, 9) AS rank FROM r10")
+def personal_pagerank(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks where all jumps lead to English documents."""
+    english = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"))
+    shares = english.withColumn("share", F.lit(1.0 / max(english.count(), 1)))
+    return document_ranks(spark, d, shares).select("id", F.round("rank", 9).alias("rank"))
+
+
+_BOOSTED = "rank * CASE WHEN fn.name IN ('The', 'La') THEN 10 ELSE 1 END * CASE WHEN r10.id = 7 THEN 5 ELSE 1 END * CASE WHEN r10.id = 9 THEN 20 ELSE 1 END"
+
+
+@reg.add(pagerank_sql() + f""", {SYMS}, t AS (SELECT r10.id AS file, fn.name, fn.line, {_BOOSTED} AS rank FROM r10 JOIN files ON doc_id = r10.id JOIN fn ON fn.file = files.file)
+SELECT file, name, line, round(rank, 9) AS rank, round(max(rank) OVER (PARTITION BY file), 9) AS top FROM t WHERE rank > 1e-4""")
+def ranked_files(spark: SparkSession, d: str) -> DataFrame:
+    """Functions by the rank of their file and what a question mentions, with the rank that orders the files."""
+    tags = functions_of(spark, d).join(files_of(spark, d), "file").select(F.col("doc_id").alias("file"), "name", "line")
+    ranked = G.file_order(G.ranked_tags(tags, document_ranks(spark, d), ["The", "La"], [7], [9], least=1e-4))
+    return ranked.select("file", "name", "line", F.round("rank", 9).alias("rank"), F.round("top", 9).alias("top"))
+
+
+@reg.add(f"WITH {SYMS}, w AS (SELECT DISTINCT file FROM files JOIN documents USING (doc_id) WHERE lang = 'de') SELECT file AS id, 'file' AS type, file FROM w UNION ALL SELECT file || ':' || name, kind, file FROM sy WHERE file IN (SELECT file FROM w)")
+def file_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """All nodes of the German files."""
+    nodes, _ = G.build_nodes(files_of(spark, d), symbols_of(spark, d))
+    wanted = files_of(spark, d).join(table(spark, d, "documents").where("lang = 'de'").select("doc_id"), "doc_id", "left_semi")
+    return nodes.join(wanted.select("file"), "file", "left_semi").select("id", "type", "file")
+
+
+@reg.add(f"""WITH {CALLS}, li AS (SELECT src AS a, dst AS b FROM ie UNION ALL SELECT split_part(src, ':', 1), split_part(dst, ':', 1) FROM ce),
+  pr AS (SELECT least(a, b) AS a, greatest(a, b) AS b, count(*) AS n FROM li WHERE a <> b GROUP BY ALL), dg AS (SELECT f, count(*) AS deg FROM (SELECT a AS f FROM pr UNION ALL SELECT b FROM pr) GROUP BY f), lm AS (SELECT greatest(3 * avg(deg), 5) AS lim FROM dg)
+SELECT a, b, round(CASE WHEN greatest(x.deg, y.deg) > lim THEN n * sqrt(lim / greatest(x.deg, y.deg)) ELSE n END, 6) AS weight FROM pr JOIN dg x ON x.f = a JOIN dg y ON y.f = b JOIN lm ON true""")
+def symbol_file_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Links between files, from their imports and calls."""
+    file = lambda c: F.get(F.split(c, ":"), F.lit(0))
+    links = import_edges(spark, d).unionByName(call_edges(spark, d)).select(file(F.col("src")).alias("a"), file(F.col("dst")).alias("b"))
+    return G.file_edges(links).select("a", "b", F.round("weight", 6).alias("weight"))
 
 
 def repo_map(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    ranks = G.pagerank(reference_edges(spark, d), docs.select(F.col("doc_id").alias("id")))
+    ranks = document_ranks(spark, d)
     tags = docs.select(F.col("doc_id").alias("file"), F.get(X.tokenize(F.col("text")), F.lit(0)).alias("name"))
     ranked = G.ranked_tags(tags, ranks, ["the", "la"], [], [])
     entry = F.concat(F.col("file").cast("string"), F.lit(": "), F.coalesce("name", F.lit("")))
