@@ -13,6 +13,7 @@ import json
 import os
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -53,8 +54,7 @@ class PrefixCounter:
         self.alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.blocks = re.compile(f"[{BLANKS}]*+[^{BLANKS}]*+[{BLANKS}]*+")
         self.pieces = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{BLANKS}\p{{L}}\p{{N}}]+")
-        self.joining = regex.compile(r"[\p{M}\u1100-\u11ffΣİ]")
-        self.settled = regex.compile(r"(?<=\p{N})[^\p{M}]|(?<=\p{L})[\p{N}\p{P}--']", regex.V1)
+        self.clusters = regex.compile(r"[\p{M}\u1160-\u11ff]+|[^\p{M}\u1160-\u11ff][\p{M}\u1160-\u11ff]*")
         self.words: dict[str, int] = {}
         self.memo: dict[str, bytes] = {}
         self.fits = lru_cache(maxsize=MEMO)(self._fits)
@@ -80,21 +80,40 @@ class PrefixCounter:
             return [self._word("'"), *([2] if len(piece) == 3 else []), self._word(piece)]
         if len(piece) <= 32:
             return [self._word(piece[:k]) for k in range(1, len(piece) + 1)]
-        m, out = "", []
-        ends = set(np.cumsum([len(self._mapped(c)) for c in piece]).tolist())
-        m = self._mapped(piece)
-        token, count = [""] * (len(m) + 1), [0] * (len(m) + 1)
-        for i in range(1, len(m) + 1):
-            for last in (False, True) if i in ends else (False,):
-                for a in range(i - 1, max(-1, i - self.longest - 1), -1):
-                    t = m[a:i]
-                    if (t + self.end if last else t) in self.vocab and (not a or self.fits(token[a], t, last)):
-                        if last:
-                            out.append(count[a] + 1)
-                        else:
-                            token[i], count[i] = t, count[a] + 1
-                        break
-        return out
+        return self._long(piece)[0]
+
+    def _long(self, piece: str, tails: list[tuple[int, str]] = ()) -> tuple[list[int], list[int]]:
+        """Token counts of a piece's prefixes, by a program over pairs of tokens that fit; and those of the prefixes
+        that stop after `at` characters and go on with another text, for each (at, text) of tails, in order of `at`."""
+        m, ends = self._mapped(piece), [0, *np.cumsum([len(self._mapped(c)) for c in piece]).tolist()]
+        token, count, out, beside = [""], [0], [], []
+
+        def best(m: str, base: int, i: int, last: bool) -> tuple[str, int]:
+            for a in range(i - 1, max(-1, i - self.longest - 1), -1):
+                t = m[a - base : i - base]
+                if (t + self.end if last else t) in self.vocab and (not a or self.fits(token[a], t, last)):
+                    return t, count[a] + 1
+            raise ValueError("no row of tokens fits")  # every byte is a token, so there is one
+
+        def grow(m: str, base: int, until: int) -> None:
+            for i in range(len(token), until + 1):
+                t, n = best(m, base, i, False)
+                token.append(t)
+                count.append(n)
+
+        k = 0
+        for c, end in enumerate(ends):
+            grow(m, 0, end)
+            if c:
+                out.append(best(m, 0, end, True)[1])
+            while k < len(tails) and tails[k][0] == c:
+                base = max(0, end - self.longest)
+                other = m[base:end] + self._mapped(tails[k][1])
+                grow(other, base, base + len(other))
+                beside.append(best(other, base, base + len(other), True)[1])
+                del token[end + 1 :], count[end + 1 :]
+                k += 1
+        return out, beside
 
     def _plain(self, text: str) -> np.ndarray:
         """Counts after each character of a text without control strings whose characters normalise one by one."""
@@ -115,13 +134,52 @@ class PrefixCounter:
                 done = (int(before[-1]) if a else 0) + 1
                 return np.concatenate([before, within, np.array([done], np.int32), rest + np.int32(done)])
         low = block.lower()
-        if block.isascii() or len(low) == len(block) and unicodedata.is_normalized("NFC", block) and not self.joining.search(block):
+        if block.isascii() or len(low) == len(block) and "Σ" not in block and unicodedata.is_normalized("NFC", block):
             return self._plain(low)
-        out, base, at = np.zeros(len(block), np.int32), 0, 0
-        for k in range(1, len(block) + 1):  # marks may join what stands before them: encode, from the last settled place on
-            out[k - 1] = base + len(self.whole.encode(block[at:k], add_special_tokens=False).ids)
-            if k - at > 64 and (cut := [m.start() for m in self.settled.finditer(block, at + 1, k - 4)]):
-                base, at = int(out[cut[-1] - 1]), cut[-1]
+        return self._composed(block)
+
+    def _composed(self, block: str) -> np.ndarray:
+        """Counts after each character of a block whose characters may join to others, or become several.
+
+        Only marks, and Korean vowels and finals, join to what stands before them, so a prefix reads as the block does up to its last
+        cluster, and that cluster's part may read otherwise (e for the e of a later é).
+        """
+        def form(x: str) -> str:
+            return "".join(c.lower() for c in unicodedata.normalize("NFC", x))
+
+        text, size, at, other = [], 0, [], []  # other: place in the block, place in the text, what stands there instead
+        for m in self.clusters.finditer(block):
+            whole = form(m[0])
+            for k in range(1, len(m[0])):
+                part = form(m[0][:k])
+                if not whole.startswith(part):
+                    other.append((len(at), size, part))
+                at.append(size + len(part))
+            text.append(whole)
+            size += len(whole)
+            at.append(size)
+        text = "".join(text)
+        plain = self._plain(text)
+        at = np.array(at)
+        out = plain[np.minimum(at, size) - 1]
+        starts = [m.start() for m in self.pieces.finditer(text)]
+        tails: dict[int, list[tuple[int, int, str, int]]] = {}
+        for place, end, part in other:
+            i = bisect_left(starts, end) - 1
+            start = starts[i] if i >= 0 else 0
+            if end - start <= 32:  # short pieces are counted anew, with the quotation mark that may join them
+                start -= int(start > 0 and text[start - 1] == "'")
+                out[place] = (plain[start - 1] if start else 0) + self._plain(text[start:end] + part)[-1]
+            elif (n := len(self.pieces.match(text[end - 1] + part)[0]) - 1) == 0:
+                out[place] = plain[end - 1] + self._plain(part)[-1]
+            else:
+                rest = int(self._plain(part[n:])[-1]) if part[n:] else 0
+                tails.setdefault(start, []).append((end - start, place, part[:n], rest))
+        for start, asked in tails.items():
+            piece = self.pieces.match(text, start)[0]
+            found = self._long(piece, [(n, part) for n, _, part, _ in asked])[1]
+            for (_, place, _, rest), n in zip(asked, found):
+                out[place] = (plain[start - 1] if start else 0) + n + rest
         return out
 
     def counts(self, text: str) -> np.ndarray:

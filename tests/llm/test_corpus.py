@@ -156,6 +156,18 @@ def test_prefix_counts(spark, docs):
     assert token_counts.prefix_counts(df.limit(0), WORD_BPE).count() == 0
 
 
+def test_prefix_counts_of_joining_characters():
+    counter, rnd = token_counts.PrefixCounter(WORD_BPE), random.Random(3)
+    kinds = ["\u0e01\u0e02\u0e07\u0e47\u0e48\u0e49\u0e34", "eaA\u1eb8\u0301\u0300\u0302oO\u0308\u03a3\u03c3\u0130I", "\u0915\u0916\u093f\u094d\u0902\u093c", "\uac00\u1100\u1161\u11a8\ud55c", "' lsrev!.\u0338\u0301=<", "\u212b\ufb01\u0958\u0344ab"]
+    for _ in range(150):
+        kind = rnd.choice(kinds) + rnd.choice(["", *kinds])
+        t = "".join(rnd.choice(kind) for _ in range(rnd.randint(1, 90)))
+        assert counter.counts(t).tolist() == [len(counter.whole.encode(t[:n], add_special_tokens=False).ids) for n in range(1, len(t) + 1)], t
+    for kind in (kinds[0], "e\u0301a\u0300", "\u1112\u1161\u11ab"):  # long blocks without a blank, in parts that compose
+        t = kind * 2000
+        assert counter.counts(t)[-1] == len(counter.whole.encode(t, add_special_tokens=False).ids)
+
+
 def test_token_shards(spark, docs, tmp_path):
     from tokenizers import Tokenizer
 
