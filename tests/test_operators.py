@@ -119,3 +119,25 @@ def test_scan_tree(spark, tmp_path):
         (tmp_path / name).write_bytes(body)
     good, bad = stores.decoded(stores.scan_tree(spark, str(tmp_path)))
     assert {r.path: r.text for r in good.collect()} == {"a.py": "x = 1\n", "d/c.txt": "é"} and [r.path for r in bad.collect()] == ["bad.txt"]
+
+
+def test_ranks_through_names_are_those_of_all_edges(spark):
+    from corpusloom.operators import graph as G
+
+    defs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "c"), (4, None)], "id long, name string")
+    refs = spark.createDataFrame([(1, "a"), (1, "c"), (2, "a"), (2, "b"), (3, "a"), (4, "z")], "id long, name string")
+    nodes = spark.createDataFrame([(i,) for i in range(1, 6)], "id long")
+    edges = refs.withColumnRenamed("id", "src").join(defs.withColumnRenamed("id", "dst"), "name").where("src <> dst").groupBy("src", "dst").count().withColumnRenamed("count", "weight")
+    want = {r.id: round(r["rank"], 9) for r in G.pagerank(edges, nodes).collect()}
+    assert {r.id: round(r["rank"], 9) for r in G.name_pagerank(defs, refs, nodes).collect()} == want
+    assert G.name_pagerank(defs.limit(0), refs, nodes).count() == 5 and G.name_pagerank(defs, refs, nodes.limit(0)).count() == 0
+
+
+def test_values_from_outside(spark):
+    from corpusloom.functions import values as V
+
+    raws = [None, "", "{", "{} x", "{}}", "{}]", '{},{"a":1}', "{},null", "[{}]", '"{}"', " {\"a\": [1]} ", "{}"]
+    got = [r.o for r in spark.createDataFrame(list(enumerate(raws)), "i int, raw string").orderBy("i").select(V.json_object(F.col("raw")).alias("o")).collect()]
+    assert got == ["{}"] * 10 + raws[10:]
+    stars = spark.createDataFrame([(" 12 ",), ("-3",), ("--3",), ("3.5",), ("",), (None,), ("9" * 30,)], "s string").select(V.star_count(F.col("s")).alias("n")).collect()
+    assert [r.n for r in stars] == [12, -3, None, None, None, None, None]
