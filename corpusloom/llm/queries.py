@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, chat, decontaminate, language_id, line_dedup, mixing, ngram_join, pii, quality_rules, token_counts, token_shards
+from . import alignment, bpe, chat, decontaminate, language_id, line_dedup, mixing, ngram_join, pii, quality_rules, token_counts, token_shards, vector_codes
 from .common import shared_dir, table
 
 #: Files of the public tokenizers that the queries use.
@@ -72,6 +72,13 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, codebooks = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    code = F.concat_ws("", F.transform("entries", lambda e: F.lpad(F.lower(F.hex(e)), 2, "0")))
+    summed = vector_codes.label_errors(coded)
+    return summed.select("vec_id", code.alias("code"), "error", "label_error", F.lit(vector_codes.codebook_digest(codebooks)).alias("codebooks_sha256"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     aligned = alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE, PIECES)
     digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
@@ -89,6 +96,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mixing, op2_ngram_jaccard, op3_decontamination, op4_chat_formatting, op5_token_shards,
-        op6_quality_rules, op7_token_counts, op8_language_id, op9_line_dedup, op10_personal_data, op12_alignment, op13_bpe,
+        op6_quality_rules, op7_token_counts, op8_language_id, op9_line_dedup, op10_personal_data, op11_vector_codes, op12_alignment, op13_bpe,
     )
 }
