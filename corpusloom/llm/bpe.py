@@ -5,7 +5,8 @@ of distinct words. The lists meet by hash buckets of words, where each distinct
 of blocks and documents that hold it. The ids come back to the block and are put where the words stood. No stage grows
 with the occurrences of a word: a word comes once from each block.
 
-Decoding is a join of the ids with the table of id and piece, which the vocabulary file bounds.
+Decoding is a join of ids with the table of id and piece, which the vocabulary file bounds. The texts' own decoding joins the ids
+of the distinct words, not of all tokens; what a word decodes to is put where the word stood, as its ids are.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from .blocks import loose, pack, spans, squeeze, unpack
-from .common import fresh, stash, worker_state
+from .common import fresh, stash_by, worker_state
 
-#: Hash buckets of words, distinct words after which a block is closed, words that a row of a block's documents holds.
-BUCKETS, BLOCK_WORDS, ROW_WORDS = 4096, 600_000, 1 << 20
+#: Hash buckets of words, distinct words and words after which a block is closed, words that a row of a block's documents holds.
+BUCKETS, BLOCK_WORDS, BLOCK_TOTAL, ROW_WORDS = 4096, 600_000, 6_000_000, 1 << 20
 #: Distinct runs between blanks that a task remembers.
 MEMO = 800_000
 
@@ -117,7 +118,7 @@ def split_words(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = worker_state(f"words of {tokenizer}", lambda: Words(tokenizer))
         words.reset()
-        block, part, ids, sizes, held, n = TaskContext.get().partitionId() << 24, 0, [], [], [], 0
+        block, part, ids, sizes, held, n, total = TaskContext.get().partitionId() << 24, 0, [], [], [], 0, 0
 
         def row() -> dict:
             return {"kind": 1, "block": block, "part": part, "doc_ids": ids, "sizes": sizes, "places": pack(np.frombuffer(b"".join(held), "<u4")), "words": None}
@@ -140,10 +141,10 @@ def split_words(docs: DataFrame, tokenizer: str) -> DataFrame:
                 n += sizes[-1]
                 if n >= ROW_WORDS or len(ids) >= 20_000:
                     yield pa.RecordBatch.from_pylist([row()], _SPLIT)
-                    part, ids, sizes, held, n = part + 1, [], [], [], 0
-                    if len(words.place) >= BLOCK_WORDS:
+                    part, ids, sizes, held, n, total = part + 1, [], [], [], 0, total + n
+                    if len(words.place) >= BLOCK_WORDS or total >= BLOCK_TOTAL:
                         yield from close()
-                        block, part = block + 1, 0
+                        block, part, total = block + 1, 0, 0
         if ids:
             yield pa.RecordBatch.from_pylist([row()], _SPLIT)
         if ids or part:
@@ -153,13 +154,14 @@ def split_words(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
-    """The rows of kind 0 with the words' ids in place of the words: sizes in a row, and all ids in places after the words'."""
+    """block, part, places, sizes (how many ids each word has) and ids (of all words in a row) of the rows of kind 0."""
+    schema = "block long, part int, places binary, sizes array<int>, ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, bucket, known = worker_state(f"codes of {tokenizer}", lambda: Codes(tokenizer)), None, {}
         for b in batches:
-            out = []
-            for block, part, places, own in zip(*(b[c].to_pylist() for c in ("block", "part", "places", "words")), strict=True):
+            sizes, flat = [], []
+            for part, own in zip(b["part"].to_pylist(), b["words"].to_pylist(), strict=True):
                 if part != bucket:
                     bucket, known = part, {}
                 got = []
@@ -168,45 +170,53 @@ def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
                     if ids is None:
                         ids = known[w] = code(w)
                     got.append(ids)
-                flat = np.array([i for ids in got for i in ids], "<u4")
-                out.append({"kind": 0, "block": block, "part": part, "doc_ids": None, "sizes": [len(x) for x in got], "places": places, "words": pack(flat)})
-            yield pa.RecordBatch.from_pylist(out, _SPLIT)
+                sizes.append([len(x) for x in got])
+                flat.append([i for ids in got for i in ids])
+            cols = [b["block"], b["part"], b["places"], *(pa.array(x, pa.list_(pa.int32())) for x in (sizes, flat))]
+            yield pa.RecordBatch.from_arrays(cols, ["block", "part", "places", "sizes", "ids"])
 
-    met = words.repartition("part").sortWithinPartitions("part", "block")
-    return met.mapInArrow(run, SPLIT)
+    return words.repartition("part").sortWithinPartitions("part", "block").mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, decoded: bool = False) -> DataFrame:
     """doc_id and ids, the token ids of each text of docs (doc_id, text), as the tokenizers library gives them without special tokens.
 
+    decoded: also what the ids decode to, with special tokens, for a file without a decoder: their pieces with a blank between.
     tokenizer is the path, on every executor, of a byte-level BPE file of that library that splits words off as PATTERN does.
     A null, empty or blank text has no ids. Each row is encoded by itself, so rows with a null or repeated doc_id come back
-    one by one; an empty table gives no rows; other columns are not read. A text is not cut: the longest bounds a row of a block.
+    one by one; an empty table gives no rows; other columns are not read. A text is not cut: the longest bounds a block.
     """
-    blocks = stash(split_words(docs, tokenizer), "words")
-    own = blocks.where("kind = 0").select("block", "part", "places", "words")
-    met = blocks.where("kind = 1").unionByName(encode_words(own, tokenizer))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, lists, first, size, flat = None, [], None, None, None
-        for b in batches:
-            for r in b.to_pylist():
-                if r["block"] != block:
-                    block, lists, first = r["block"], [], None
-                if r["kind"] == 0:
-                    lists.append((unpack(r["places"]), np.array(r["sizes"], np.int64), unpack(r["words"])))
-                    continue
-                if first is None:  # the whole list is here, as it sorts before the documents
-                    at, many, ids = (np.concatenate(x) if lists else np.zeros(0, np.int64) for x in (zip(*lists, strict=True) if lists else [()] * 3))
-                    first, size = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-                    first[at], size[at], flat, lists = np.cumsum(many) - many, many, ids.astype(np.int32), []
-                word = unpack(r["places"])
-                many = size[word]
-                ends = np.concatenate([[0], np.cumsum(many)])[np.cumsum(r["sizes"])]
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat[spans(first[word], many)], pa.int32()))
-                yield pa.record_batch([pa.array(r["doc_ids"], pa.int64()), ids], ["doc_id", "ids"])
-
-    return met.repartition("block").sortWithinPartitions("block", "kind", "part").mapInArrow(run, "doc_id long, ids array<int>")
+    blocks = stash_by(split_words(docs, tokenizer), "words", "block")
+    lists = encode_words(blocks.where("kind = 0").select("block", "part", "places", "words"), tokenizer)
+    lists = decode(lists.withColumn("own", F.col("ids")), tokenizer) if decoded else lists.withColumnRenamed("ids", "own")
+
+    def fill(docs: pa.Table, words: pa.Table) -> pa.Table:
+        """The block's documents, with the ids of its words where these stood."""
+        at = np.concatenate([np.zeros(0, np.int64), *map(unpack, words["places"].to_pylist())]).astype(np.int64)
+        many, flat = (words[c].combine_chunks().flatten().to_numpy().astype(np.int64) for c in ("sizes", "own"))
+        first, size, said = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), [""] * len(at)
+        first[at], size[at], flat = np.cumsum(many) - many, many, flat.astype(np.int32)
+        if decoded:
+            pieces = [p for row in words["decoded"].to_pylist() if row for p in row.split(" ")]
+            for place, a, n in zip(at.tolist(), first[at].tolist(), many.tolist(), strict=True):
+                said[place] = pieces[a] if n == 1 else " ".join(pieces[a : a + n])
+        doc_ids, ids, texts = [], [], []
+        for r in docs.to_pylist():
+            word = unpack(r["places"])
+            ends = np.concatenate([[0], np.cumsum(r["sizes"])])
+            many = size[word]
+            offsets = np.concatenate([[0], np.cumsum(many)])[ends]
+            ids.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[spans(first[word], many)])))
+            doc_ids += r["doc_ids"]
+            if decoded:
+                words_of = [said[w] for w in word.tolist()]
+                texts += [" ".join(words_of[a:z]) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        cols = [pa.array(doc_ids, pa.int64()), pa.chunked_array(ids, pa.list_(pa.int32()))]
+        return pa.table(cols + [pa.array(texts, pa.string())] if decoded else cols, ["doc_id", "ids"] + ["decoded"] * decoded)
+
+    own = blocks.where("kind = 1").select("block", "doc_ids", "sizes", "places")
+    schema = "doc_id long, ids array<int>" + ", decoded string" * decoded
+    return own.groupBy("block").cogroup(lists.groupBy("block")).applyInArrow(fill, schema)
 
 
 def id_to_piece(spark: SparkSession, tokenizer: str) -> DataFrame:

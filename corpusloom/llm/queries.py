@@ -86,10 +86,9 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE)
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE, decoded=True)
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
-    coded = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), "ids")
-    return bpe.decode(coded, WORD_BPE).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
