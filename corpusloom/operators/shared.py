@@ -39,3 +39,8 @@ def unstash(*tables: DataFrame) -> None:
     """Free the disk of tables that stash returned and that nothing will read again."""
     for df in tables:
         df.sparkSession.range(0).write.mode("overwrite").parquet(df.stash_path)
+
+
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/places/{name}-{uuid.uuid4().hex}"
