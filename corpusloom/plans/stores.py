@@ -87,7 +87,7 @@ SELECT task_id, event_id, status, progress FROM e WHERE n = 1""")
 def stream_task_states(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     stream = spark.readStream.schema(e.schema).parquet(f"{d}/events.parque[t]")
-    return J.task_states(tasks_of_frame(stream), J.place(spark, "tasks"))
+    return J.task_states(tasks_of_frame(stream), J.place(spark, "tasks"), late="90 days", idle="180 days")
 
 
 def tasks_of_frame(e: DataFrame) -> DataFrame:
@@ -100,3 +100,10 @@ def tasks_of_frame(e: DataFrame) -> DataFrame:
 def stream_event_counts(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     return J.event_counts(spark.readStream.schema(e.schema).parquet(f"{d}/events.parque[t]").select("event_type", "props"), J.place(spark, "counts"))
+
+
+@reg.add("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(coalesce(json_extract_string(props, '$.k'), '0') AS BIGINT)) AS BIGINT) AS k_total FROM events GROUP BY ALL")
+def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    stream = spark.readStream.schema(e.schema).parquet(f"{d}/events.parque[t]").select("ts", "event_type", "props")
+    return J.event_counts(stream, J.place(spark, "daily"), every="1 day", late="90 days")

@@ -88,19 +88,19 @@ def open_index(spark: SparkSession, path: str) -> Index:
 
 
 def add_documents(index: Index, docs: DataFrame, tokens: Callable[[Column], Column] = tokenize) -> None:
-    """Add docs (id, text, part columns). Ids that the index has, or that come twice, count once: the first by text stays.
+    """Add docs (id, text, part columns). What the index has (by id and part), or what comes twice, counts once: the first by text stays.
 
     A null or blank text adds to the number of documents, without postings. Rows without an id are passed over. A part column may
     be null: those documents are a part of their own that no search by part finds.
     """
     batch, part = uuid.uuid4().hex, list(index.part)
     new = docs.where("id is not null").select("id", F.coalesce("text", F.lit("")).alias("text"), *part)
-    if not new.groupBy("id").count().where("count > 1").isEmpty():
-        new = new.groupBy("id").agg(F.min(F.struct("text", *part)).alias("d")).select("id", "d.*")
+    if not new.groupBy("id", *part).count().where("count > 1").isEmpty():
+        new = new.groupBy("id", *part).agg(F.min("text").alias("text"))
     done = index.done()
     if done:
         have = index.spark.read.parquet(f"{index.path}/ids").where(F.col("batch").isin(done))
-        new = new.join(have.select("id"), "id", "left_anti")
+        new = new.join(have, [new[c].eqNullSafe(have[c]) for c in ("id", *part)], "left_anti")
     each = new.select("id", *part, tokens(F.col("text")).alias("t")).select("id", *part, F.size("t").alias("dl"), F.explode("t").alias("term"))
     each = each.groupBy("id", *part, "dl", "term").agg(F.count("*").cast("int").alias("tf"))
     slice_ = F.pmod(F.xxhash64("id"), F.lit(index.slices))
@@ -149,6 +149,11 @@ def search(index: Index, questions: DataFrame, tokens: Callable[[Column], Column
     return hits.groupBy("qid", *part, "id").agg(F.sum(gain).alias("score")).where("score > 0")
 
 
+def term_totals(index: Index) -> DataFrame:
+    """part columns, term and n, how often the term stands in the documents."""
+    return index.table("postings").groupBy(*index.part, "term").agg(F.sum("tf").alias("n"))
+
+
 def drop_names(index: Index) -> None:
     """Take the index's tables out of this session's catalog; its files stay."""
     for kind in ("postings", "terms"):
