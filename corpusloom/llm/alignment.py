@@ -16,9 +16,10 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,11 @@ from .common import stash, worker_state
 #: Characters of a range of a long text, characters beside its end that may belong to the stretch it cuts, fragments that a task composes.
 RANGE, BESIDE, FAN = 1 << 16, 1 << 13, 32
 #: Hash buckets of pairs, pairs after which a block is closed, links that a row of a block's documents holds, stretches that a task remembers.
-BUCKETS, BLOCK_PAIRS, ROW_LINKS, MEMO = 1024, 1_000_000, 1 << 20, 250_000
+BUCKETS, BLOCK_PAIRS, ROW_LINKS, MEMO = 1024, 1_000_000, 1 << 20, 350_000
+
+
+#: Letters, and marks that both tokenizers may split off letters.
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", ".,;:!?)"
 
 
 class Rough(Exception):
@@ -58,26 +63,28 @@ class Tokens:
             piece = self.b.id_to_piece(i)
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.blank = self.b.piece_to_id("▁")
-        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size()) if not self.b.is_byte(i)]
-        if any(re.search("[^▁]▁|\n", p) for p in pieces):
+        pieces = "\0".join(self.b.id_to_piece(i) for i in range(self.b.get_piece_size()) if not self.b.is_byte(i))
+        if re.search("[^▁\0]▁|\n", pieces):
             raise ValueError(f"{b} has pieces that reach over blanks")
-
-    def __call__(self, stretch: str) -> tuple[list[int], list[int], list[int], list[int], bool]:
-        """Ids and ends (in bytes) of A, and of B, and whether the tokens of both are the stretch. It begins with a blank or a line end."""
-        word = stretch[1:]
-        if stretch[0] == " " and word.isascii() and word.isalpha():  # most stretches
-            a = [t.id for t in self.merges.tokenize(self.space + word)]
-        else:
-            a = self.a.encode(stretch, add_special_tokens=False).ids
-        if stretch == " ":
-            b = [self.blank]
-        elif stretch[0] == " ":
-            b = self.b.encode(word)
-        else:
-            b = self.b.encode(stretch)[1:]  # without the blank that B adds, which no line end joins
-        said = stretch.encode()
-        ends_a, ends_b = list(accumulate(map(self.length_a.__getitem__, a))), list(accumulate([len(self.bytes_b[i]) for i in b]))
-        return a, ends_a, b, ends_b, ends_a[-1] == len(said) and b"".join([self.bytes_b[i] for i in b]) == said
+        marks = [m for m in MARKS if not re.search(f"[{LETTERS}]{re.escape(m)}", pieces)]
+        self.cut = re.compile(r"(?<=\S)(?=[ \n])" + (f"|(?<=[{LETTERS}])(?=[{re.escape(''.join(marks))}])" if marks else ""))
+
+    def __call__(self, stretches: list[str]) -> Iterator[tuple[list[int], list[int], list[int], list[int], bool]]:
+        """Ids and ends (in bytes) of A, and of B, and whether the tokens of both are the stretch, of each stretch (as cut gives them)."""
+        word = [s[0] == " " and s[1:].isalpha() and s.isascii() for s in stretches]
+        rest = iter(self.a.encode_batch_fast([s for s, w in zip(stretches, word, strict=True) if not w], add_special_tokens=False))
+        tokenize, space = self.merges.tokenize, self.space
+        # B adds a blank; what begins otherwise is read after a line end, which nothing joins
+        asked = [s[1:] if s[0] == " " else s if s[0] == "\n" else "\n" + s for s in stretches]
+        for s, w, b in zip(stretches, word, self.b.encode(asked, num_threads=1), strict=True):
+            a = [t.id for t in tokenize(space + s[1:])] if w else next(rest).ids
+            if s[0] != " ":
+                b = b[1:] if s[0] == "\n" else b[2:]
+            elif s == " ":
+                b = [self.blank]
+            said, shown = s.encode(), [self.bytes_b[i] for i in b]
+            ends_a, ends_b = list(accumulate(map(self.length_a.__getitem__, a))), list(accumulate(map(len, shown)))
+            yield a, ends_a, b, ends_b, ends_a[-1] == len(said) and b"".join(shown) == said
 
 
 @dataclass
@@ -154,19 +161,22 @@ def fragment(a: list[int], ends_a: list[int], b: list[int], ends_b: list[int], b
     return Fragment(True, head, tail, [shown(x, y) for x, y in closed], counts, [linked(x, y) for x, y in closed], same)
 
 
+pack_number = struct.Struct("<I").pack
+
+
 class Aligner(dict):
     """Aligns texts. It remembers stretches: the number of each, packed."""
 
     def __init__(self, a: str, b: str):
         self.tokens = Tokens(a, b)
-        self.cut = re.compile(r"(?<=\S)(?=[ \n])")
+        self.cut = self.tokens.cut
         self.reset()
 
     def reset(self) -> None:
         self.clear()
         self.stretch: dict[str, int] = {}
         self.shown: list[str] = []
-        self.new: list[tuple] = []
+        self.new: list[str] = []  # numbered, not tokenized yet
         #: of each stretch: whether its tokens give it back, counts, first pair, number of pairs; and all pairs and times
         self.arrays = (np.zeros(0, bool), np.zeros((0, 4), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
@@ -175,31 +185,28 @@ class Aligner(dict):
         if len(self.shown) > MEMO:
             self.reset()
 
+    def _number(self, stretch: str) -> int:
+        self.new.append(stretch)
+        return len(self.shown) + len(self.new) - 1
+
     def number(self, stretch: str) -> int:
         n = self.stretch.get(stretch)
         if n is None:
-            a, ends_a, b, ends_b, same = self.tokens(stretch)
-            n = self.stretch[stretch] = len(self.shown)
-            closed = groups(a, ends_a, b, ends_b)[:-1] if same else []
-            links = sum([len(x) * len(y) for x, y in closed])
-            if links <= 64:
-                pairs = [i << 32 | j for x, y in closed for i in x for j in y]
-                times = [1] * links
-            else:
-                pairs, times = (np.concatenate(c).tolist() for c in zip(*[linked(x, y) for x, y in closed], strict=True))
-            self.shown.append(";".join([shown(x, y) for x, y in closed]))
-            self.new.append((same, (len(a), len(b), len(closed), links), pairs, times))
+            n = self.stretch[stretch] = self._number(stretch)
         return n
 
     def __missing__(self, part: str) -> bytes:
         """The numbers of the stretches of a blank and a part."""
+        if part.isascii() and part.isalpha():  # most parts
+            got = self[part] = pack_number(self._number(" " + part))
+            return got
         if not part or part[0].isspace() or part[-1].isspace():
             raise Rough
-        found = self.cut.split(" " + part)
-        packed = np.array([self.number(s) for s in found], "<u4").tobytes()
-        if len(found) == 1:
-            self[part] = packed
-        return packed
+        first, *rest = self.cut.split(" " + part)
+        if rest:
+            return self[first[1:]] + b"".join([pack_number(self.number(s)) for s in rest])
+        got = self[part] = pack_number(self._number(first))
+        return got
 
     def numbers(self, text: str) -> np.ndarray:
         """The numbers of the stretches of a blank and the text."""
@@ -210,11 +217,38 @@ class Aligner(dict):
 
     def columns(self) -> tuple[np.ndarray, ...]:
         if self.new:
-            same, counts, pairs, times = zip(*self.new, strict=True)
-            size = np.array(list(map(len, pairs)), np.int64)
-            first = np.cumsum(size) - size + len(self.arrays[4])
-            flat = [np.fromiter(chain.from_iterable(x), np.int64, int(size.sum())) for x in (pairs, times)]
-            more = (np.array(same, bool), np.array(counts, np.int64), first, size, *flat)
+            sames, counts, sizes, flat, often = [], [], [], [], []
+            for a, ends_a, b, ends_b, same in self.tokens(self.new):
+                sames.append(same)
+                begun = len(flat)
+                if not same:
+                    self.shown.append("")
+                    n = links = 0
+                elif len(a) == 1 or len(b) == 1:  # most stretches; the one token ends with the other's last
+                    self.shown.append(shown(a, b))
+                    flat += [i << 32 | j for i in a for j in b]
+                    n, links = 1, len(a) * len(b)
+                else:
+                    n, links, said = 0, 0, []
+                    for x, y in groups(a, ends_a, b, ends_b)[:-1]:
+                        n, m = n + 1, len(x) * len(y)
+                        said.append(f"{x[0]}|{y[0]}" if m == 1 else shown(x, y))
+                        links += m
+                        if m == 1:
+                            flat.append(x[0] << 32 | y[0])
+                        elif m <= 64:
+                            flat += [i << 32 | j for i in x for j in y]
+                        else:
+                            often += [1] * (len(flat) - len(often))
+                            pairs, times = linked(x, y)
+                            flat += pairs.tolist()
+                            often += times.tolist()
+                    self.shown.append(";".join(said))
+                sizes.append(len(flat) - begun)
+                counts.append((len(a), len(b), n, links))
+            often += [1] * (len(flat) - len(often))
+            size = np.array(sizes, np.int64)
+            more = (np.array(sames, bool), np.array(counts, np.int64), np.cumsum(size) - size + len(self.arrays[4]), size, np.array(flat, np.int64), np.array(often, np.int64))
             self.arrays, self.new = tuple(np.concatenate(x) for x in zip(self.arrays, more, strict=True)), []
         return self.arrays
 
@@ -249,16 +283,16 @@ class Aligner(dict):
 
     def _within(self, stretch: str, at: int, low: int, high: int) -> Fragment:
         """The tokens of a stretch that end after low and not after high."""
-        a, ends_a, b, ends_b, same = self.tokens(stretch)
+        ((a, ends_a, b, ends_b, same),) = self.tokens([stretch])
         inside = lambda ids, ends: zip(*[(i, e) for i, e in zip(ids, ends, strict=True) if low < at + e <= high], strict=True)
         (a, ends_a), (b, ends_b) = (list(map(list, inside(*x))) or ([], []) for x in ((a, ends_a), (b, ends_b)))
         return fragment(a, ends_a, b, ends_b, at >= low, same)
 
 
 def ranges(text: str, size: int, beside: int) -> Iterator[tuple[str, int, int]]:
-    """A blank and the text in ranges of about size characters, each with the whole stretches that it cuts: (text, lead, span).
+    """A blank and the text in ranges of about size characters, each with the text around its ends up to blanks: (text, lead, span).
 
-    Where no stretch ends beside a range's end, the range goes on to the next place where one does.
+    Where no blank is beside a range's end, the range goes on to the next one.
     """
     text, cut, at, back = " " + text, re.compile(r"(?<=\S)(?=[ \n])"), 0, 0
     while at < len(text):
@@ -274,13 +308,13 @@ def ranges(text: str, size: int, beside: int) -> Iterator[tuple[str, int, int]]:
         at, back = to, before
 
 
-SHORT = "doc_id long, same boolean, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<int>"
+SHORT = "doc_id long, same boolean, n_a long, n_b long, n_groups long, n_links long, groups string, links binary"
 LONG = "row long, at int, cut boolean, head_a array<int>, head_b array<int>, tail_a array<int>, tail_b array<int>, " + SHORT
 _LONG = pa.schema(
     [("row", pa.int64()), ("at", pa.int32()), ("cut", pa.bool_()), *((c, pa.list_(pa.int32())) for c in ("head_a", "head_b", "tail_a", "tail_b")), ("doc_id", pa.int64()), ("same", pa.bool_())]
-    + [(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")] + [("groups", pa.string()), ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))]
+    + [(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")] + [("groups", pa.string()), ("links", pa.binary())]
 )
-_SHORT = pa.schema([_LONG.field(c) for c in ("doc_id", "same", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times")])
+_SHORT = pa.schema([_LONG.field(c) for c in ("doc_id", "same", "n_a", "n_b", "n_groups", "n_links", "groups", "links")])
 
 
 def _counted(f: Fragment) -> tuple[np.ndarray, np.ndarray]:
@@ -294,23 +328,34 @@ def _counted(f: Fragment) -> tuple[np.ndarray, np.ndarray]:
     return pairs[first], np.add.reduceat(times[order], first) if len(first) else first
 
 
-def _packed(f: Fragment) -> dict:
+def _links(f: Fragment) -> bytes:
+    """Distinct pairs and how often each is linked, packed: A's ids, B's ids, times."""
     pairs, times = _counted(f)
+    return pack(np.concatenate([pairs >> 32, pairs & 0xFFFFFFFF, times]))
+
+
+def links_of(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs, as a << 32 | b, and times that links holds."""
+    a, b, times = unpack(packed).reshape(3, -1).astype(np.int64)
+    return a << 32 | b, times
+
+
+def _packed(f: Fragment) -> dict:
     return {
         "cut": f.cut, "head_a": list(f.head[0]), "head_b": list(f.head[1]), "tail_a": list(f.tail[0]), "tail_b": list(f.tail[1]), "same": f.same,
-        **dict(zip(("n_a", "n_b", "n_groups", "n_links"), f.counts.tolist(), strict=True)), "groups": ";".join(f.groups), "pairs": pairs, "times": times,
+        **dict(zip(("n_a", "n_b", "n_groups", "n_links"), f.counts.tolist(), strict=True)), "groups": ";".join(f.groups), "links": _links(f),
     }
 
 
 def _loose(r: dict) -> Fragment:
-    counts, pairs = np.array([r["n_a"], r["n_b"], r["n_groups"], r["n_links"]]), (np.array(r["pairs"], np.int64), np.array(r["times"], np.int64))
+    counts, pairs = np.array([r["n_a"], r["n_b"], r["n_groups"], r["n_links"]]), links_of(r["links"])
     groups = [r["groups"]] if r["groups"] else []
     return Fragment(r["cut"], (r["head_a"], r["head_b"]), (r["tail_a"], r["tail_b"]), groups, counts, [pairs] if len(pairs[0]) else [], r["same"])
 
 
 def align(docs: DataFrame, a: str, b: str, size: int = RANGE, beside: int = BESIDE) -> DataFrame:
     """The alignment of each text of docs (doc_id, text): doc_id, n_a, n_b (tokens), n_groups, n_links, groups (`a1,a2|b1;a3|b2`: ids of A and
-    B by group), pairs (distinct linked ids, as a << 32 | b) and times (how often each is linked).
+    B by group) and links (its id pairs and how often each is linked, as links_of reads them).
 
     a is the path of a byte-level BPE file of the tokenizers library, which reads a blank and the text; b of a sentencepiece model,
     which adds that blank itself; both on every executor. Control strings in texts are text. A null or empty text, or one that the
@@ -377,11 +422,9 @@ def align(docs: DataFrame, a: str, b: str, size: int = RANGE, beside: int = BESI
 def _short(rows: list[tuple[int | None, Fragment]]) -> pa.RecordBatch:
     rows = [(doc, f if f.same else Fragment()) for doc, f in rows]
     counts = np.array([f.counts for _, f in rows])
-    pairs, times = zip(*[_counted(f) for _, f in rows], strict=True)
-    ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in pairs])]), pa.int32())
-    lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), t)) for x, t in ((pairs, pa.int64()), (times, pa.int32()))]
     cols = [pa.array([d for d, _ in rows], pa.int64()), pa.array([f.same for _, f in rows]), *(pa.array(counts[:, k]) for k in range(4))]
-    return pa.RecordBatch.from_arrays([*cols, pa.array([";".join(f.groups) for _, f in rows], pa.string()), *lists], schema=_SHORT)
+    cols += [pa.array([";".join(f.groups) for _, f in rows], pa.string()), pa.array([_links(f) for _, f in rows], pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, schema=_SHORT)
 
 
 BLOCKS = "kind int, block long, part int, doc_ids array<long>, sizes array<int>, places binary, times binary, rest binary, pairs array<long>, many array<int>"
@@ -391,55 +434,67 @@ _BLOCKS = pa.schema(
 )
 
 
+class Known:
+    """The distinct pairs of a block in order, the place of each (by first appearance), and, by place, how many documents hold it."""
+
+    def __init__(self):
+        self.pairs, self.place, self.many = (np.zeros(0, np.int64) for _ in range(3))
+
+    def places(self, pairs: np.ndarray) -> np.ndarray:
+        """The places of the pairs of some documents, which have each pair once."""
+        own, at, many = np.unique(pairs, return_inverse=True, return_counts=True)
+        k = np.searchsorted(self.pairs, own)
+        here = np.zeros(len(own), bool)
+        here[k < len(self.pairs)] = self.pairs[k[k < len(self.pairs)]] == own[k < len(self.pairs)]
+        place = np.zeros(len(own), np.int64)
+        place[here] = self.place[k[here]]
+        place[~here] = len(self.many) + np.arange(int((~here).sum()))
+        self.pairs, self.place = np.insert(self.pairs, k[~here], own[~here]), np.insert(self.place, k[~here], place[~here])
+        self.many = np.concatenate([self.many, np.zeros(int((~here).sum()), np.int64)])
+        self.many[place] += many
+        return place[at]
+
+
 def in_blocks(aligned: DataFrame) -> DataFrame:
     """Blocks of documents: rows of kind 0 have a block's distinct pairs in one hash bucket of A's ids (part), how many of its documents hold
     each, and its place in the block; rows of kind 1 have documents with their pairs' places, times, and the other columns (rest)."""
-    others = [c for c in aligned.columns if c not in ("doc_id", "pairs", "times")]
+    others = [c for c in aligned.columns if c not in ("doc_id", "links")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, part, known, many, held, links = TaskContext.get().partitionId() << 24, 0, {}, np.zeros(0, np.int64), [], 0
+        block, part, known, held, said, links = TaskContext.get().partitionId() << 24, 0, Known(), [], [], 0
 
         def row() -> pa.RecordBatch:
-            nonlocal many
             table = pa.Table.from_batches(held).combine_chunks()
-            pairs, size = table["pairs"].combine_chunks(), table["pairs"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
-            own, place = np.unique(pairs.flatten().to_numpy(), return_inverse=True)
-            own = np.array([known.setdefault(p, len(known)) for p in own.tolist()], np.int64)
-            many = np.concatenate([many, np.zeros(len(known) - len(many), np.int64)])
-            place = own[place]
-            np.add.at(many, place, 1)
+            pairs, times = (np.concatenate(x) for x in zip(*said, strict=True))
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.select(others).schema) as w:
                 w.write_table(table.select(others))
-            rest = pa.compress(sink.getvalue(), "zstd", asbytes=True)
-            times = pack(table["times"].combine_chunks().flatten().to_numpy())
-            fields = {"kind": 1, "block": block, "part": part, "doc_ids": table["doc_id"].to_pylist(), "sizes": size, "places": pack(place), "times": times}
-            fields["rest"] = len(sink.getvalue()).to_bytes(8, "little") + rest
-            return pa.RecordBatch.from_pylist([fields], _BLOCKS)
+            rest = len(sink.getvalue()).to_bytes(8, "little") + pa.compress(sink.getvalue(), "zstd", asbytes=True)
+            fields = {"kind": 1, "block": block, "part": part, "doc_ids": table["doc_id"].to_pylist(), "sizes": [len(x) for x, _ in said]}
+            return pa.RecordBatch.from_pylist([{**fields, "places": pack(known.places(pairs)), "times": pack(times), "rest": rest}], _BLOCKS)
 
         def close() -> pa.RecordBatch:
-            pairs = np.fromiter(known, np.int64, len(known))
-            bucket = (pairs >> 32) % BUCKETS
-            order = np.lexsort([pairs, bucket])
+            bucket = (known.pairs >> 32) % BUCKETS
+            order = np.argsort(bucket, kind="stable")
             rows = []
-            for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(pairs) else []:
-                rows.append({"kind": 0, "block": block, "part": int(bucket[at[0]]), "places": pack(at), "pairs": pairs[at], "many": many[at]})
+            for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+                rows.append({"kind": 0, "block": block, "part": int(bucket[at[0]]), "places": pack(known.place[at]), "pairs": known.pairs[at], "many": known.many[known.place[at]]})
             return pa.RecordBatch.from_pylist(rows, _BLOCKS)
 
         for b in batches:
-            size = b["pairs"].value_lengths().to_numpy(zero_copy_only=False)
             at = 0
-            while at < b.num_rows:
-                to = at + max(1, int(np.searchsorted(np.cumsum(size[at:]), ROW_LINKS - links, "right")))
-                held.append(b.slice(at, to - at))
-                links += int(size[at:to].sum())
-                at = to
-                if links >= ROW_LINKS or at < b.num_rows or sum(x.num_rows for x in held) >= 20_000:
+            for k, packed in enumerate(b["links"].to_pylist()):
+                said.append(links_of(packed))
+                links += len(said[-1][0])
+                if links >= ROW_LINKS or k == b.num_rows - 1:
+                    held.append(b.slice(at, k + 1 - at))
+                    at = k + 1
+                if links >= ROW_LINKS or k == b.num_rows - 1 and len(said) >= 20_000:
                     yield row()
-                    part, held, links = part + 1, [], 0
-                    if len(known) >= BLOCK_PAIRS:
+                    part, held, said, links = part + 1, [], [], 0
+                    if len(known.pairs) >= BLOCK_PAIRS:
                         yield close()
-                        block, part, known, many = block + 1, 0, {}, np.zeros(0, np.int64)
+                        block, part, known = block + 1, 0, Known()
         if held:
             yield row()
         if held or part:
@@ -458,11 +513,11 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
 
 
 def link_counts(aligned: DataFrame) -> DataFrame:
-    """aligned (as align gives it) without pairs and times, with n_best: links whose pair is linked in as many documents as any of its A id,
+    """aligned (as align gives it) without links, with n_best: links whose pair is linked in as many documents as any of its A id,
     and count_sum: these numbers of documents, over all links. Other columns of aligned come back as they are; every row comes back."""
     blocks = stash(in_blocks(aligned), "links")
     counts = stash(pair_counts(blocks).withColumn("part", F.col("a") % BUCKETS), "pair-counts")
-    others = [c for c in aligned.columns if c not in ("doc_id", "pairs", "times")]
+    others = [c for c in aligned.columns if c not in ("doc_id", "links")]
     schema = aligned.select("doc_id", *others).schema.add("n_best", "long").add("count_sum", "long")
 
     asked = blocks.where("kind = 0").select(F.lit(1).alias("kind"), "block", "part", "places", "pairs", F.lit(None).cast("long").alias("documents"), F.lit(None).cast("boolean").alias("best"))

@@ -31,7 +31,7 @@ from .blocks import loose, pack, spans, squeeze, unpack
 from .common import fresh, stash_by, worker_state
 
 #: Hash buckets of words, distinct words and words after which a block is closed, words that a row of a block's documents holds.
-BUCKETS, BLOCK_WORDS, BLOCK_TOTAL, ROW_WORDS = 4096, 600_000, 6_000_000, 1 << 20
+BUCKETS, BLOCK_WORDS, BLOCK_TOTAL, ROW_WORDS = 4096, 600_000, 1 << 24, 1 << 19
 #: Distinct runs between blanks that a task remembers.
 MEMO = 800_000
 
@@ -39,9 +39,9 @@ MEMO = 800_000
 BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
-SPLIT = "kind int, block long, part int, doc_ids array<long>, sizes array<int>, places binary, words binary"
+SPLIT = "kind int, block long, part int, doc_ids array<long>, sizes array<int>, places binary, words binary, decoded string"
 _SPLIT = pa.schema(
-    [("kind", pa.int32()), ("block", pa.int64()), ("part", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("places", pa.binary()), ("words", pa.binary())]
+    [("kind", pa.int32()), ("block", pa.int64()), ("part", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("places", pa.binary()), ("words", pa.binary()), ("decoded", pa.string())]
 )
 
 
@@ -154,8 +154,8 @@ def split_words(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
-    """block, part, places, sizes (how many ids each word has) and ids (of all words in a row) of the rows of kind 0."""
-    schema = "block long, part int, places binary, sizes array<int>, ids array<int>"
+    """block, part, places, sizes (how many ids each word has) and ids (of all words in a row, and packed as words) of the rows of kind 0."""
+    schema = "block long, part int, places binary, sizes array<int>, words binary, ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, bucket, known = worker_state(f"codes of {tokenizer}", lambda: Codes(tokenizer)), None, {}
@@ -172,8 +172,8 @@ def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
                     got.append(ids)
                 sizes.append([len(x) for x in got])
                 flat.append([i for ids in got for i in ids])
-            cols = [b["block"], b["part"], b["places"], *(pa.array(x, pa.list_(pa.int32())) for x in (sizes, flat))]
-            yield pa.RecordBatch.from_arrays(cols, ["block", "part", "places", "sizes", "ids"])
+            cols = [b["block"], b["part"], b["places"], pa.array(sizes, pa.list_(pa.int32())), pa.array([pack(np.array(x, "<u4")) for x in flat], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(flat, pa.list_(pa.int32()))], ["block", "part", "places", "sizes", "words", "ids"])
 
     return words.repartition("part").sortWithinPartitions("part", "block").mapInArrow(run, schema)
 
@@ -186,37 +186,43 @@ def encode(docs: DataFrame, tokenizer: str, decoded: bool = False) -> DataFrame:
     A null, empty or blank text has no ids. Each row is encoded by itself, so rows with a null or repeated doc_id come back
     one by one; an empty table gives no rows; other columns are not read. A text is not cut: the longest bounds a block.
     """
-    blocks = stash_by(split_words(docs, tokenizer), "words", "block")
+    blocks, buckets = stash_by(split_words(docs, tokenizer), "words", "block")
     lists = encode_words(blocks.where("kind = 0").select("block", "part", "places", "words"), tokenizer)
-    lists = decode(lists.withColumn("own", F.col("ids")), tokenizer) if decoded else lists.withColumnRenamed("ids", "own")
-
-    def fill(docs: pa.Table, words: pa.Table) -> pa.Table:
-        """The block's documents, with the ids of its words where these stood."""
-        at = np.concatenate([np.zeros(0, np.int64), *map(unpack, words["places"].to_pylist())]).astype(np.int64)
-        many, flat = (words[c].combine_chunks().flatten().to_numpy().astype(np.int64) for c in ("sizes", "own"))
-        first, size, said = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), [""] * len(at)
-        first[at], size[at], flat = np.cumsum(many) - many, many, flat.astype(np.int32)
+    lists = decode(lists, tokenizer) if decoded else lists.withColumn("decoded", F.lit(None).cast("string"))
+    lists = lists.select(F.lit(0).alias("kind"), "block", "part", F.lit(None).cast("array<bigint>").alias("doc_ids"), "sizes", "places", "words", "decoded")
+    # no column may change on the side in buckets, or Spark loses sight of them
+    met = blocks.where("kind = 1").unionByName(lists.select(blocks.columns).repartition(buckets, "block"))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block's documents, with the ids of its words where these stood. Documents wait, packed, until the whole list is there."""
+        lists, pieces, docs = [], [], []
+        for b in batches:
+            for r in b.to_pylist():
+                if r["kind"]:
+                    docs.append((r["doc_ids"], r["sizes"], r["places"]))
+                    continue
+                lists.append((unpack(r["places"]), np.array(r["sizes"], np.int64), unpack(r["words"])))
+                if r["decoded"]:
+                    pieces += r["decoded"].split(" ")
+        at, many, flat = map(np.concatenate, zip(*lists, strict=True)) if lists else (np.zeros(0, np.int64),) * 3
+        first, size, said, lists, flat = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), [""] * len(at), [], flat.astype(np.int32)
+        first[at], size[at] = np.cumsum(many) - many, many
         if decoded:
-            pieces = [p for row in words["decoded"].to_pylist() if row for p in row.split(" ")]
             for place, a, n in zip(at.tolist(), first[at].tolist(), many.tolist(), strict=True):
                 said[place] = pieces[a] if n == 1 else " ".join(pieces[a : a + n])
-        doc_ids, ids, texts = [], [], []
-        for r in docs.to_pylist():
-            word = unpack(r["places"])
-            ends = np.concatenate([[0], np.cumsum(r["sizes"])])
+            del pieces
+        for doc_ids, sizes, places in docs:
+            word, ends = unpack(places), np.concatenate([[0], np.cumsum(sizes)])
             many = size[word]
             offsets = np.concatenate([[0], np.cumsum(many)])[ends]
-            ids.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[spans(first[word], many)])))
-            doc_ids += r["doc_ids"]
+            cols = [pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[spans(first[word], many)]))]
             if decoded:
-                words_of = [said[w] for w in word.tolist()]
-                texts += [" ".join(words_of[a:z]) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-        cols = [pa.array(doc_ids, pa.int64()), pa.chunked_array(ids, pa.list_(pa.int32()))]
-        return pa.table(cols + [pa.array(texts, pa.string())] if decoded else cols, ["doc_id", "ids"] + ["decoded"] * decoded)
+                words = [said[w] for w in word.tolist()]
+                cols.append(pa.array([" ".join(words[a:z]) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string()))
+            yield pa.record_batch(cols, ["doc_id", "ids", "decoded"][: len(cols)])
 
-    own = blocks.where("kind = 1").select("block", "doc_ids", "sizes", "places")
     schema = "doc_id long, ids array<int>" + ", decoded string" * decoded
-    return own.groupBy("block").cogroup(lists.groupBy("block")).applyInArrow(fill, schema)
+    return met.groupBy("block").applyInArrow(fill, schema)
 
 
 def id_to_piece(spark: SparkSession, tokenizer: str) -> DataFrame:

@@ -28,13 +28,14 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYT
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
-def stash_by(df: DataFrame, name: str, key: str) -> DataFrame:
-    """df written to the shared folder in buckets of key, and read back: groupings by key read it without a shuffle."""
+def stash_by(df: DataFrame, name: str, key: str) -> tuple[DataFrame, int]:
+    """df written to the shared folder in buckets of key, and read back, and the number of buckets. Groupings by key, of it or of its union
+    with what is dealt to as many partitions by key, read it without a shuffle."""
     spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = f"{shared_dir(spark).rstrip('/')}/stash/{table}"
     df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(table)
-    return spark.table(table)
+    return spark.table(table), buckets
 
 
 _held: dict[str, object] = {}
