@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import collected, nothing, push, stash
 
 HEAD, MIDDLE, TAIL = "### ", ": ", "</turn>\n"
 NODES = ["tree", "node", "parent", "role", "text", "score"]
@@ -108,19 +108,22 @@ def write_template(replies: DataFrame) -> DataFrame:
     by_path = replies.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     head = lambda t: F.concat(F.lit(HEAD), escape_role(t["role"]), F.lit(MIDDLE))
     pieces = F.transform("turns", lambda t: F.struct(head(t).alias("head"), escape(t["text"]).alias("body"), (t["role"] == "assistant").alias("loss")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long>>").alias("mask"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), *nothing())
 
     def step(acc: Column, p: Column) -> Column:
         a = acc["at"] + F.length(p["head"])
         z = a + F.length(p["body"])
-        mask = F.when(p["loss"], F.concat(acc["mask"], F.array(F.struct(a.alias("start"), z.alias("end"))))).otherwise(acc["mask"])
-        return F.struct((z + len(TAIL)).alias("at"), mask.alias("mask"))
+        return F.struct((z + len(TAIL)).alias("at"), *push(acc, F.concat_ws(" ", a.cast("string"), z.cast("string")), p["loss"]))
+
+    def read(acc: Column) -> Column:
+        said = F.transform(collected(acc), lambda x: F.split(x, " "))
+        return F.transform(said, lambda x: F.struct(x[0].cast("long").alias("start"), x[1].cast("long").alias("end")))
 
     return by_path.select("tree", "leaf", pieces.alias("pieces")).select(
         "tree",
         "leaf",
         F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit(TAIL))), "").alias("formatted"),
-        F.aggregate("pieces", start, step, lambda acc: acc["mask"]).alias("loss_mask"),
+        F.aggregate("pieces", start, step, read).alias("loss_mask"),
     )
 
 

@@ -64,6 +64,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def push(acc: Column, item: Column, keep: Column) -> tuple[Column, Column]:
+    """The fields recent and older of a fold's state, with item, a string without semicolons, added where keep holds. collected(acc) is all
+    that was added.
+
+    An array or a string that takes in one item at a time is copied for each; of these two, one stays short and the other is
+    copied once for each 4,000 bytes.
+    """
+    full = F.octet_length(acc["recent"]) >= 4000
+    recent = F.when(keep, F.concat(F.when(full, "").otherwise(acc["recent"]), item, F.lit(";"))).otherwise(acc["recent"])
+    return recent.alias("recent"), F.when(keep & full, F.concat(acc["older"], acc["recent"])).otherwise(acc["older"]).alias("older")
+
+
+def nothing() -> tuple[Column, Column]:
+    """The fields recent and older at the start of a fold that collects items."""
+    return F.lit("").alias("recent"), F.lit("").alias("older")
+
+
+def collected(acc: Column) -> Column:
+    """The items that a fold collected."""
+    return F.array_remove(F.split(F.concat(acc["older"], acc["recent"]), ";"), "")
+
+
 def words(text: Column) -> Column:
     """The words of a text, null as none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANK), "")

@@ -85,19 +85,37 @@ def spans(text: Column, kind: Kind, near: int = 40) -> Column:
     a context word stands within near characters before the span.
     """
     empty = F.array().cast("array<struct<kind:string,start:long,end:long,score:double>>")
-    parts = F.split(F.regexp_replace(text, f"({kind.pattern})", f"{MARK}$1{MARK}"), MARK)
-    start_at = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"), F.lit("").alias("before"), F.lit(False).alias("inside"))
     trust = 0.5 if kind.name == "email" else 0.75
     context = "(?i)(?:^|[^a-z])(?:" + "|".join(kind.context) + ")(?:[^a-z]|$)"
 
     def step(acc: Column, part: Column) -> Column:
         end = acc["at"] + F.length(part)
-        score = F.lit(trust) + F.when(F.right(acc["before"], F.lit(near)).rlike(context), 0.25).otherwise(0.0)
-        span = F.struct(F.lit(kind.name).alias("kind"), acc["at"].alias("start"), end.alias("end"), score.alias("score"))
-        out = F.when(acc["inside"] & confirmed(kind.name, part), F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+        told = F.when(F.right(acc["before"], F.lit(near)).rlike(context), "1").otherwise("0")
+        span = F.concat_ws(" ", acc["at"].cast("string"), end.cast("string"), told, F.lit(";"))
+        out = F.when(acc["inside"] & confirmed(kind.name, part), F.concat(acc["out"], span)).otherwise(acc["out"])
         return F.struct(end.alias("at"), out.alias("out"), part.alias("before"), (~acc["inside"]).alias("inside"))
 
-    return F.when(text.rlike(kind.needs) if kind.needs != "@" else text.contains("@"), F.aggregate(parts, start_at, step, lambda acc: acc["out"])).otherwise(empty)
+    def block(parts: Column) -> Column:
+        """The length of some parts, of which the first is no match, and the confirmed spans in them as text."""
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"), F.lit("").alias("before"), F.lit(False).alias("inside"))
+        return F.aggregate(parts, start, step, lambda acc: F.struct(acc["at"].alias("at"), acc["out"].alias("out")))
+
+    def placed(blocks: Column) -> Column:
+        before = F.transform(blocks, lambda _, k: F.aggregate(F.slice(blocks, F.lit(1), k), F.lit(0).cast("long"), lambda n, b: n + b["at"]))
+        return F.flatten(F.zip_with(blocks, before, lambda b, n: F.transform(F.array_remove(F.split(b["out"], ";"), ""), lambda x: let(F.split(x, " "), lambda v: span(v, n)))))
+
+    def span(v: Column, n: Column) -> Column:
+        score = F.lit(trust) + F.when(v[2] == "1", 0.25).otherwise(0.0)
+        return F.struct(F.lit(kind.name).alias("kind"), (v[0].cast("long") + n).alias("start"), (v[1].cast("long") + n).alias("end"), score.alias("score"))
+
+    def found(parts: Column) -> Column:
+        # a fold copies its state at each step, so many parts are folded in blocks: an even number of parts each, a thousand blocks at most
+        size = F.greatest(F.lit(512), (F.ceil(F.size(parts) / 2000) * 2).cast("int"))
+        cut = F.transform(F.sequence(F.lit(0), ((F.size(parts) - 1) / size).cast("int")), lambda k: block(F.slice(parts, k * size + 1, size)))
+        return F.when(F.size(parts) <= 512, placed(F.array(block(parts)))).otherwise(let(cut, placed))
+
+    marked = F.split(F.regexp_replace(text, f"({kind.pattern})", f"{MARK}$1{MARK}"), MARK)
+    return F.when(text.rlike(kind.needs) if kind.needs != "@" else text.contains("@"), let(marked, found)).otherwise(empty)
 
 
 def find_pii(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
