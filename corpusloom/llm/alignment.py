@@ -19,7 +19,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,9 @@ from .common import stash, worker_state
 #: Characters of a range of a long text, characters beside its end that may belong to the stretch it cuts, fragments that a task composes.
 RANGE, BESIDE, FAN = 1 << 16, 1 << 13, 32
 #: Hash buckets of pairs, pairs after which a block is closed, links that a row of a block's documents holds, stretches that a task remembers.
-BUCKETS, BLOCK_PAIRS, ROW_LINKS, MEMO = 1024, 1_000_000, 1 << 20, 350_000
+BUCKETS, BLOCK_PAIRS, ROW_LINKS, MEMO = 1024, 1_000_000, 1 << 20, 250_000
+#: Links of a group above which its equal pairs are put together at once.
+BIG = 4096
 
 
 #: Letters, and marks that both tokenizers may split off letters.
@@ -57,34 +59,42 @@ class Tokens:
         self.merges = self.a.model
         self.space = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(" ")[0][0]
         self.b = sentencepiece.SentencePieceProcessor(model_file=b)
-        self.length_a = {i: len(t) for t, i in self.a.get_vocab().items()}
+        self.length_a = np.zeros(self.a.get_vocab_size(True), np.int64)
+        for t, i in self.a.get_vocab(True).items():
+            self.length_a[i] = len(t)  # a letter stands for a byte
         self.bytes_b = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
+        self.length_b = np.array(list(map(len, self.bytes_b)))
         self.blank = self.b.piece_to_id("▁")
         pieces = "\0".join(self.b.id_to_piece(i) for i in range(self.b.get_piece_size()) if not self.b.is_byte(i))
         if re.search("[^▁\0]▁|\n", pieces):
             raise ValueError(f"{b} has pieces that reach over blanks")
-        marks = [m for m in MARKS if not re.search(f"[{LETTERS}]{re.escape(m)}", pieces)]
+        marks = self.marks = [m for m in MARKS if not re.search(f"[{LETTERS}]{re.escape(m)}", pieces)]
         self.cut = re.compile(r"(?<=\S)(?=[ \n])" + (f"|(?<=[{LETTERS}])(?=[{re.escape(''.join(marks))}])" if marks else ""))
 
-    def __call__(self, stretches: list[str]) -> Iterator[tuple[list[int], list[int], list[int], list[int], bool]]:
-        """Ids and ends (in bytes) of A, and of B, and whether the tokens of both are the stretch, of each stretch (as cut gives them)."""
+    def batch(self, stretches: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """The ids of A and of B of each stretch (as cut gives them)."""
         word = [s[0] == " " and s[1:].isalpha() and s.isascii() for s in stretches]
-        rest = iter(self.a.encode_batch_fast([s for s, w in zip(stretches, word, strict=True) if not w], add_special_tokens=False))
+        others = [s for s, w in zip(stretches, word, strict=True) if not w]
+        several = (self.a.encode_batch_fast(others[k : k + 1024], add_special_tokens=False) for k in range(0, len(others), 1024))
+        rest = (e.ids for es in several for e in es)
         tokenize, space = self.merges.tokenize, self.space
+        a = [[t.id for t in tokenize(space + s[1:])] if w else next(rest) for s, w in zip(stretches, word, strict=True)]
         # B adds a blank; what begins otherwise is read after a line end, which nothing joins
         asked = [s[1:] if s[0] == " " else s if s[0] == "\n" else "\n" + s for s in stretches]
-        for s, w, b in zip(stretches, word, self.b.encode(asked, num_threads=1), strict=True):
-            a = [t.id for t in tokenize(space + s[1:])] if w else next(rest).ids
+        b = self.b.encode(asked, num_threads=1)
+        for k, s in enumerate(stretches):
             if s[0] != " ":
-                b = b[1:] if s[0] == "\n" else b[2:]
+                b[k] = b[k][1:] if s[0] == "\n" else b[k][2:]
             elif s == " ":
-                b = [self.blank]
-            said, shown = s.encode(), [self.bytes_b[i] for i in b]
-            ends_a, ends_b = list(accumulate(map(self.length_a.__getitem__, a))), list(accumulate(map(len, shown)))
-            yield a, ends_a, b, ends_b, ends_a[-1] == len(said) and b"".join(shown) == said
+                b[k] = [self.blank]
+        return a, b
+
+    def is_text(self, a: list[int], b: list[int], said: bytes) -> bool:
+        """Whether the tokens of both are the text."""
+        return sum(self.length_a[i] for i in a) == len(said) and b"".join([self.bytes_b[i] for i in b]) == said
 
 
 @dataclass
@@ -202,6 +212,8 @@ class Aligner(dict):
             return got
         if not part or part[0].isspace() or part[-1].isspace():
             raise Rough
+        if part[-1] in self.tokens.marks and (word := part[:-1]).isascii() and word.isalpha():
+            return self[word] + pack_number(self.number(part[-1]))
         first, *rest = self.cut.split(" " + part)
         if rest:
             return self[first[1:]] + b"".join([pack_number(self.number(s)) for s in rest])
@@ -216,40 +228,50 @@ class Aligner(dict):
             return np.array([self.number(s) for s in self.cut.split(" " + text)], "<u4")
 
     def columns(self) -> tuple[np.ndarray, ...]:
-        if self.new:
-            sames, counts, sizes, flat, often = [], [], [], [], []
-            for a, ends_a, b, ends_b, same in self.tokens(self.new):
-                sames.append(same)
-                begun = len(flat)
-                if not same:
-                    self.shown.append("")
-                    n = links = 0
-                elif len(a) == 1 or len(b) == 1:  # most stretches; the one token ends with the other's last
-                    self.shown.append(shown(a, b))
-                    flat += [i << 32 | j for i in a for j in b]
-                    n, links = 1, len(a) * len(b)
-                else:
-                    n, links, said = 0, 0, []
-                    for x, y in groups(a, ends_a, b, ends_b)[:-1]:
-                        n, m = n + 1, len(x) * len(y)
-                        said.append(f"{x[0]}|{y[0]}" if m == 1 else shown(x, y))
-                        links += m
-                        if m == 1:
-                            flat.append(x[0] << 32 | y[0])
-                        elif m <= 64:
-                            flat += [i << 32 | j for i in x for j in y]
-                        else:
-                            often += [1] * (len(flat) - len(often))
-                            pairs, times = linked(x, y)
-                            flat += pairs.tolist()
-                            often += times.tolist()
-                    self.shown.append(";".join(said))
-                sizes.append(len(flat) - begun)
-                counts.append((len(a), len(b), n, links))
-            often += [1] * (len(flat) - len(often))
-            size = np.array(sizes, np.int64)
-            more = (np.array(sames, bool), np.array(counts, np.int64), np.cumsum(size) - size + len(self.arrays[4]), size, np.array(flat, np.int64), np.array(often, np.int64))
-            self.arrays, self.new = tuple(np.concatenate(x) for x in zip(self.arrays, more, strict=True)), []
+        if not self.new:
+            return self.arrays
+        t, (a, b), said = self.tokens, self.tokens.batch(self.new), [s.encode() for s in self.new]
+        many_a, many_b, size = (np.array(list(map(len, x)), np.int64) for x in (a, b, said))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((a, many_a), (b, many_b)))
+        if b"".join(map(t.bytes_b.__getitem__, flat_b.tolist())) == b"".join(said) and int(t.length_a[flat_a].sum()) == int(size.sum()):
+            same = np.ones(len(said), bool)
+            same &= np.add.reduceat(t.length_a[flat_a], np.cumsum(many_a) - many_a) == size
+            same &= np.add.reduceat(t.length_b[flat_b], np.cumsum(many_b) - many_b) == size
+        else:
+            same = np.zeros(len(said), bool)
+        for k in np.flatnonzero(~same).tolist():
+            same[k] = t.is_text(a[k], b[k], said[k])
+        a, b = flat_a[np.repeat(same, many_a)], flat_b[np.repeat(same, many_b)]
+        ends_a, ends_b = np.cumsum(t.length_a[a]), np.cumsum(t.length_b[b])
+        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        to_a, to_b = (np.searchsorted(e, both, "right") for e in (ends_a, ends_b))
+        of = np.flatnonzero(same)[np.searchsorted(np.cumsum(size[same]), both)]  # the stretch of each group
+        n, m = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        from_a, from_b = to_a - n, to_b - m
+        links = n * m
+        few = np.where(links > BIG, 0, links)
+        k = spans(np.zeros(len(few), np.int64), few)
+        pairs = a[np.repeat(from_a, few) + k // np.repeat(m, few)] << 32 | b[np.repeat(from_b, few) + k % np.repeat(m, few)]
+        times, group = np.ones(len(pairs), np.int64), np.repeat(np.arange(len(few)), few)
+        for g in np.flatnonzero(links > BIG).tolist():
+            more = linked(a[from_a[g] : to_a[g]].tolist(), b[from_b[g] : to_b[g]].tolist())
+            pairs, times = np.concatenate([pairs, more[0]]), np.concatenate([times, more[1]])
+            group = np.concatenate([group, np.full(len(more[0]), g)])
+        order = np.argsort(group, kind="stable") if len(group) > few.sum() else slice(None)
+        each = np.bincount(of[group], minlength=len(said))
+        sum_of = lambda x: np.bincount(of, x, len(said)).astype(np.int64)
+        counts = np.stack([many_a, many_b, sum_of(np.ones(len(of))), sum_of(links)], axis=1)
+        self.arrays = tuple(
+            np.concatenate(x) for x in zip(self.arrays, (same, counts, np.cumsum(each) - each + len(self.arrays[4]), each, pairs[order], times[order]), strict=True)
+        )
+        sa, sb = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        text = [
+            f"{sa[p]}|{sb[q]}" if r - p == 1 and s - q == 1 else ",".join(sa[p:r]) + "|" + ",".join(sb[q:s])
+            for p, r, q, s in zip(from_a.tolist(), to_a.tolist(), from_b.tolist(), to_b.tolist(), strict=True)
+        ]
+        ends = np.cumsum(counts[:, 2]).tolist()
+        self.shown += [text[x] if y - x == 1 else ";".join(text[x:y]) for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+        self.new = []
         return self.arrays
 
     def whole(self, numbers: np.ndarray) -> Fragment:
@@ -283,7 +305,9 @@ class Aligner(dict):
 
     def _within(self, stretch: str, at: int, low: int, high: int) -> Fragment:
         """The tokens of a stretch that end after low and not after high."""
-        ((a, ends_a, b, ends_b, same),) = self.tokens([stretch])
+        (a,), (b,) = self.tokens.batch([stretch])
+        same = self.tokens.is_text(a, b, stretch.encode())
+        ends_a, ends_b = np.cumsum(self.tokens.length_a[a]).tolist(), np.cumsum(self.tokens.length_b[b]).tolist()
         inside = lambda ids, ends: zip(*[(i, e) for i, e in zip(ids, ends, strict=True) if low < at + e <= high], strict=True)
         (a, ends_a), (b, ends_b) = (list(map(list, inside(*x))) or ([], []) for x in ((a, ends_a), (b, ends_b)))
         return fragment(a, ends_a, b, ends_b, at >= low, same)
@@ -378,7 +402,7 @@ def align(docs: DataFrame, a: str, b: str, size: int = RANGE, beside: int = BESI
                 ids.append(doc)
                 held.append(one.numbers(text) if text and "▁" not in text else np.zeros(0, np.int64))
                 chars += len(text)
-                if chars > 4 << 20 or k == batch.num_rows - 1:
+                if chars > 2 << 20 or k == batch.num_rows - 1:
                     yield _short([(doc, one.whole(n)) for doc, n in zip(ids, held, strict=True)])
                     one.trim()
                     ids, held, chars = [], [], 0
@@ -461,6 +485,7 @@ def in_blocks(aligned: DataFrame) -> DataFrame:
     others = [c for c in aligned.columns if c not in ("doc_id", "links")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("blocks of links", dict)  # lets go of an aligner that this worker had
         block, part, known, held, said, links = TaskContext.get().partitionId() << 24, 0, Known(), [], [], 0
 
         def row() -> pa.RecordBatch:
