@@ -19,7 +19,7 @@ Documents become sets of distinct word shingles; equal sets are one node. The jo
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stash, unstash, worker_state
+from .common import broadcast_if_small, fresh, stash, unstash, worker_state
 from .hashing import mix, shingle_sets, stretches
 from .links import components
 
@@ -170,12 +170,21 @@ def _tokens(x: pa.Scalar, kind: type = _U) -> np.ndarray:
     return np.frombuffer(x.as_buffer(), kind)
 
 
-def _texts_of(docs: DataFrame, described: DataFrame, nodes: DataFrame) -> DataFrame:
-    """text of one document for each of the nodes named, as often as rows repeat it."""
+def _of_texts(docs: DataFrame, described: DataFrame, nodes: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """What run makes (first column: the node) of the text of one document for each of the nodes named.
+
+    Nodes that only rows without doc_id have are looked for among all of those rows.
+    """
+    key = schema.split()[0]
     # one row for all copies before the join, so that many copies don't meet in one task
-    first = described.groupBy("node").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
-    wanted = stash(first.join(nodes, "node", "left_semi").select("doc_id"), "wanted")
-    return docs.select("doc_id", "text").join(broadcast_if_small(wanted, 16), "doc_id", "left_semi").select("text")
+    first = stash(described.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node", "left_semi").select("node", "doc_id"), "wanted")
+    wanted, lone = first.where("doc_id is not null").select("doc_id"), first.where("doc_id is null").select(F.col("node").alias(key))
+    made = docs.select("doc_id", "text").join(broadcast_if_small(wanted, 16), "doc_id", "left_semi").select("text").mapInArrow(run, schema)
+    if not lone.isEmpty():
+        unnamed = docs.where("doc_id is null").select("text").mapInArrow(run, schema)
+        made = made.unionByName(unnamed.join(broadcast_if_small(lone, 16), key, "left_semi"))
+    # rows that repeat a doc_id make their set once each
+    return made.dropDuplicates([key])
 
 
 def fetch_sets(docs: DataFrame, described: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
@@ -187,8 +196,7 @@ def fetch_sets(docs: DataFrame, described: DataFrame, nodes: DataFrame, measure:
                 sets = [s for s in shingle_sets(texts, measure.width) if len(s)]
                 yield pa.record_batch([pa.array([_prints(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "tokens"])
 
-    # rows that repeat a doc_id make their set once each
-    return stash(_texts_of(docs, described, nodes).mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"]), "sets")
+    return stash(_of_texts(docs, described, nodes, run, "node long, tokens binary"), "sets")
 
 
 def compare(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
@@ -273,7 +281,7 @@ def sketches(docs: DataFrame, described: DataFrame, nodes: DataFrame, measure: M
                 node = pa.array([_prints(s)[0] for s in sets], pa.int64())
                 yield pa.record_batch([node, pa.array([len(s) for s in sets], pa.int64()), pa.array(half, pa.binary())], ["a", "n", "ids"])
 
-    return _texts_of(docs, described, nodes).mapInArrow(run, "a long, n long, ids binary").dropDuplicates(["a"])
+    return _of_texts(docs, described, nodes, run, "a long, n long, ids binary")
 
 
 def qualifying_members(docs: DataFrame, described: DataFrame, members: DataFrame, measure: Measure) -> DataFrame:
@@ -403,8 +411,15 @@ def pairs_to_verify(compared: DataFrame, label: DataFrame, measure: Measure) ->
     return pairs
 
 
+def same_document(described: DataFrame) -> DataFrame:
+    """a, b: the nodes of documents whose rows have different texts, each with the least of its document."""
+    per = described.where("doc_id is not null and node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    several = per.where("a <> b").select("doc_id", "a")
+    return described.where("node is not null").select("doc_id", F.col("node").alias("b")).join(several, "doc_id").where("a <> b").select("a", "b").distinct()
+
+
 def link_sets(docs: DataFrame, described: DataFrame, measure: Measure) -> DataFrame:
-    """node and component of every node that some link reaches. Each pair that could join two components is verified."""
+    """node and component of every node that some link reaches. Each pair that could join two components is verified. Rows of one doc_id hang together."""
     sharers = similar_groups(docs, measure)
     members = qualifying_members(docs, described, sharers, measure)
     unstash(sharers)
@@ -416,29 +431,38 @@ def link_sets(docs: DataFrame, described: DataFrame, measure: Measure) -> DataFr
     met = pairs_to_verify(compared, label, measure)
     if not met.isEmpty():
         label = components(links.unionByName(compare(met, sets, measure).where("linked").select("a", "b")))
+    same = same_document(described)
+    if not same.isEmpty():
+        label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(same))
     label = stash(label, "label")
     unstash(members, sets, compared, met)
     return label
 
 
-def ngram_jaccard_join(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included) and class_size of every row of docs (doc_id, text).
-
-    A null or blank text has an empty set, no links, and is its own component. Rows that repeat a doc_id are
-    one document in the components. A row without doc_id links through an equal set only. Other columns of docs are
-    not read. Nodes are 64-bit prints of sets: of a billion different sets, the chance that
-    any two share a print is about 3 %.
-    """
-    own = docs.select("doc_id", "text")
+def _classes(own: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame]:
+    """describe_sets of own, and node, component, component_id (the least doc_id of the component) and class_size of the nodes in components of several rows."""
     described = stash(describe_sets(own, measure), "described")
     label = link_sets(own, described, measure)
     by_node = described.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     by_node = stash(by_node.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "nodes")
     unstash(label)
     whole = by_node.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("rows").alias("class_size")).where("class_size > 1")
-    classes = stash(by_node.join(whole, "component").select("node", "component_id", "class_size"), "classes")
+    classes = stash(by_node.join(whole, "component").select("node", "component", "component_id", "class_size"), "classes")
     unstash(by_node)
-    keyed = described.where("node is not null").join(broadcast_if_small(classes, 32), "node", "left")
+    return described, classes
+
+
+def ngram_jaccard_join(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included) and class_size of every row of docs (doc_id, text).
+
+    A null or blank text has an empty set, no links, and is its own component. Rows that repeat a doc_id are one document: what any of
+    them links to is in one component with the others. A row without doc_id is a document of its own and links like any other; where a
+    component has no doc_id at all its component_id is null. A long text is one set, looked at whole by one task; an empty table gives
+    no rows. Other columns of docs are not read. Nodes are 64-bit prints of sets: of a billion different sets, the chance that
+    any two share a print is about 3 %.
+    """
+    described, classes = _classes(docs.select("doc_id", "text"), measure)
+    keyed = described.where("node is not null").join(broadcast_if_small(classes.drop("component"), 32), "node", "left")
     alone = described.where("node is null").withColumn("component_id", F.lit(None).cast("long")).withColumn("class_size", F.lit(None).cast("long"))
     return keyed.unionByName(alone).select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size")
@@ -446,13 +470,38 @@ def ngram_jaccard_join(docs: DataFrame, measure: Measure = Measure()) -> DataFra
 
 
 def keep_one_of_each(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
-    """The rows of docs without those that link to one of a smaller doc_id; of rows that repeat a doc_id one stays.
+    """One row of docs for each component of ngram_jaccard_join, with all its columns: of the smallest doc_id.
 
-    Rows without doc_id stay unless they equal, as sets, one that has it.
+    Of rows that repeat that doc_id, and of a component without any doc_id, the row with the smallest hash of its columns stays (equal
+    rows are one), so that reruns agree. Rows without words and without doc_id all stay; those of one doc_id are one document. An empty
+    table stays empty; long texts are looked at whole.
     """
-    classed = ngram_jaccard_join(docs, measure)
-    kept = stash(classed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).count(), "kept")
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    if kept.where("_id is not null and count > 1").isEmpty():
-        return out
-    return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    own = docs.select("doc_id", "text")
+    described, classes = _classes(own, measure)
+    keyed = described.join(broadcast_if_small(classes.drop("class_size"), 32), "node", "left")
+    ids = keyed.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("component_id", "doc_id")).alias("least"), F.count("*").alias("rows"))
+    kept = stash(ids.where("doc_id = least").select(F.col("doc_id").alias("_id"), "rows"), "kept")
+    single, repeated = kept.where("rows = 1").select("_id"), kept.where("rows > 1").select("_id")
+    once = docs.join(broadcast_if_small(single, 8), docs["doc_id"] == single["_id"], "left_semi")
+    unnamed = own.where("doc_id is null").isEmpty()
+    if unnamed and repeated.isEmpty():
+        return once
+    # what doc_id can't tell apart goes by a hash of its columns
+    mark = fresh(docs, "mark")
+    marked = docs.withColumn(mark, F.xxhash64(*[F.col(f"`{c}`") if t[:3] != "map" else F.map_entries(F.col(f"`{c}`")) for c, t in docs.dtypes]))
+    several = marked.join(repeated, marked["doc_id"] == repeated["_id"], "left_semi")
+    first = several.groupBy(F.col("doc_id").alias("_id")).agg(F.min(mark).alias("_mark"))
+    out = several.join(first, (several["doc_id"] == first["_id"]) & (several[mark] == first["_mark"]), "left_semi").dropDuplicates(["doc_id", mark])
+    if not unnamed:
+        out = out.unionByName(_of_unnamed(marked.where("doc_id is null"), mark, classes, measure))
+    return once.unionByName(out.drop(mark))
+
+
+def _of_unnamed(rows: DataFrame, mark: str, classes: DataFrame, measure: Measure) -> DataFrame:
+    """The rows without doc_id that stay: those without words, and one of each component that has no doc_id."""
+    placed = describe_sets(rows.select(F.col(mark).alias("doc_id"), "text"), measure).distinct()
+    placed = placed.join(broadcast_if_small(classes.drop("class_size"), 32), "node", "left").where("component_id is null")
+    best = placed.where("node is not null").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("doc_id").alias("_mark")).select("_mark").distinct()
+    worded = rows.join(best, rows[mark] == best["_mark"], "left_semi").dropDuplicates([mark])
+    blank = placed.where("node is null").select(F.col("doc_id").alias("_mark"))
+    return worded.unionByName(rows.join(blank, rows[mark] == blank["_mark"], "left_semi"))
