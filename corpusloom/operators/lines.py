@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What a symbol's definition looks like in common languages; {} is the escaped name.
@@ -34,20 +35,55 @@ def line_test(text: Column, pattern: str, regex: bool = False, case_sensitive: b
     return text.rlike(pattern if case_sensitive else f"(?i){pattern}")
 
 
-def grep(lines: DataFrame, test: Column, context: int = 2) -> DataFrame:
-    """path, line, text, before and after (the neighbouring lines) of every matching line.
+def file_lines(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """path and lines, the array of a file's lines. What follows works inside of these rows, so that no line is shuffled."""
+    return files.select(F.col(path).alias("path"), F.split(text, "\n").alias("lines"))
 
-    Neighbours come from one window over each file, so matches need no range join.
-    """
-    w = Window.partitionBy("path").orderBy("line")
-    near = lambda a, z: F.array_join(F.collect_list("text").over(w.rowsBetween(a, z)), "\n")
-    return lines.withColumns({"before": near(-context, -1), "after": near(1, context)}).where(test)
+
+def _from_to(lines: Column, first: Column, last: Column) -> Column:
+    """Lines first to last (from 0) that exist, joined."""
+    low, high = F.greatest(first, F.lit(0)), F.least(last, F.size(lines) - 1)
+    return F.when(low <= high, F.array_join(F.transform(F.sequence(low, high), lambda i: F.get(lines, i)), "\n")).otherwise("")
+
+
+def _places(lines: Column, test: Callable[[Column], Column]) -> Column:
+    """Places (from 0) of the lines that the test holds for."""
+    return F.filter(F.transform(lines, lambda t, i: F.when(test(t), i)), lambda i: i.isNotNull())
+
+
+def grep(files: DataFrame, test: Callable[[Column], Column], context: int = 2) -> DataFrame:
+    """path, line, text, before and after (the neighbouring lines) of every matching line of files (path, lines)."""
+    lines = F.col("lines")
+    hit = lambda i: F.struct((i + 1).alias("line"), F.get(lines, i).alias("text"), _from_to(lines, i - context, i - 1).alias("before"), _from_to(lines, i + 1, i + context).alias("after"))
+    return files.select("path", F.transform(_places(lines, test), hit).alias("hits")).select("path", F.inline("hits"))
 
 
-def enclosing(lines: DataFrame, definition: Column) -> DataFrame:
-    """lines with scope: the last definition on or above each line of its file."""
-    w = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("scope", F.last(definition, ignorenulls=True).over(w))
+def enclosing(files: DataFrame, definition: Callable[[Column], Column]) -> DataFrame:
+    """path, line and scope: the last definition on or above each line of files (path, lines); definition gives a line's, or null."""
+    lines, defined = F.col("lines"), lambda t: definition(t).isNotNull()
+    at = files.select("path", "lines", _places(lines, defined).alias("at"))
+    # stretches from each definition to the next, and one before the first
+    after = lambda k: F.coalesce(F.get("at", k + 1), F.size(lines)) - 1
+    named = lambda first, last, name: F.when(first <= last, F.transform(F.sequence(first, last), lambda i: F.struct((i + 1).alias("line"), name.alias("scope")))).otherwise(F.array().cast("array<struct<line:int,scope:string>>"))
+    first = named(F.lit(0), F.coalesce(F.get("at", F.lit(0)), F.size(lines)) - 1, F.lit(None).cast("string"))
+    rest = F.flatten(F.transform("at", lambda i, k: named(i, after(k), definition(F.get(lines, i)))))
+    return at.select("path", F.inline(F.concat(first, rest)))
+
+
+def shown_from(files: DataFrame, name: Callable[[Column], Column], most: int = 10) -> DataFrame:
+    """path, line, symbol and shown: each line that name gives a symbol for (not null or empty), with the lines after it, most in all."""
+    lines = F.col("lines")
+    hit = lambda i: F.struct((i + 1).alias("line"), name(F.get(lines, i)).alias("symbol"), _from_to(lines, i, i + most - 1).alias("shown"))
+    return files.select("path", F.transform(_places(lines, lambda t: F.coalesce(name(t), F.lit("")) != ""), hit).alias("hits")).select("path", F.inline("hits"))
+
+
+def match_summary(files: DataFrame, test: Callable[[Column], Column], most: int) -> tuple[Column, DataFrame]:
+    """The first most + 1 matches (path, line) of files (path, lines), of each task before they meet, so that a search for a common word ends early.
+
+    Which matches these are depends on the tasks; whether there are more than most doesn't.
+    """
+    hits = files.select("path", F.explode(_places(F.col("lines"), test)).alias("i")).select("path", (F.col("i") + 1).alias("line")).limit(most + 1)
+    return F.count("*") > most, hits
 
 
 def definitions(lines: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -60,8 +96,8 @@ def definitions(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     both = words.join(symbols, "symbol")
     forms = F.lit("|".join(f"(?:{f})" for f in DEFINITION_FORMS))
     hit = both.where(F.regexp_like("text", F.replace(forms, F.lit("{}"), F.col("symbol"))))
-    order = Window.partitionBy("symbol").orderBy(F.coalesce(F.col("path") == F.col("hint"), F.lit(False)).desc(), "path", "line")
-    return hit.withColumn("n", F.row_number().over(order)).where("n = 1").select("symbol", "path", "line")
+    first = F.min(F.struct((~F.coalesce(F.col("path") == F.col("hint"), F.lit(False))).alias("far"), "path", "line")).alias("d")
+    return hit.groupBy("symbol").agg(first).select("symbol", "d.path", "d.line")
 
 
 def references(lines: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import graph as G
 from ..operators import lines as L
+from ..operators.budget import running_total, within_tokens
 from .common import Registry, table
 from .lines import CODE, LINES, code_of
 
@@ -220,15 +221,9 @@ def repo_map(spark: SparkSession, d: str) -> DataFrame:
     tags = docs.select(F.col("doc_id").alias("file"), F.get(X.tokenize(F.col("text")), F.lit(0)).alias("name"))
     ranked = G.ranked_tags(tags, ranks, ["the", "la"], [], [])
     entry = F.concat(F.col("file").cast("string"), F.lit(": "), F.coalesce("name", F.lit("")))
-    rows = ranked.withColumns({"entry": entry, "rank": F.round("rank", 9)}).withColumn("cost", F.length("entry"))
-    # the budget's prefix is cut by parts of the rank order, so that no task sees all rows
-    rows = rows.repartitionByRange(8, F.desc("rank"), "file").withColumn("part", F.spark_partition_id())
-    from ..operators.shared import stash
-
-    rows = stash(rows)
-    before = rows.groupBy("part").agg(F.sum("cost").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    used = F.sum("cost").over(Window.partitionBy("part").orderBy(F.desc("rank"), "file").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
-    return rows.join(before.select("part", "before"), "part").withColumn("used", used).where("used <= 4096").select("file", "name", "rank", "used")
+    rows = ranked.select("file", "name", F.round("rank", 9).alias("rank"), F.length(entry).alias("cost"))
+    mapped = running_total(rows, [F.desc("rank"), F.asc("file")], "cost")
+    return mapped.where("used <= 4096").select("file", "name", "rank", "used")
 
 
 reg.add(pagerank_sql() + """, t AS (SELECT r10.id AS file, df.name, round(rank * CASE WHEN df.name IN ('the', 'la') THEN 10 ELSE 1 END, 9) AS rank FROM r10 JOIN df ON df.doc_id = r10.id)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lines as L
@@ -14,6 +14,10 @@ QUERIES, ORACLES = reg.queries, reg.oracles
 LINES = "l AS (SELECT doc_id AS path, unnest(range(1, len(x) + 1)) AS line, unnest(x) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))"
 
 
+def files_of(spark: SparkSession, d: str) -> DataFrame:
+    return L.file_lines(table(spark, d, "documents"), "doc_id")
+
+
 def lines_of(spark: SparkSession, d: str) -> DataFrame:
     return L.line_table(table(spark, d, "documents"), "doc_id")
 
@@ -24,7 +28,7 @@ WITH {LINES}, c AS (SELECT *, coalesce(string_agg(text, chr(10)) OVER (PARTITION
 SELECT path, line, text, before, after FROM c WHERE contains(lower(text), 'license')
 """)
 def grep_literal(spark: SparkSession, d: str) -> DataFrame:
-    return L.grep(lines_of(spark, d), L.line_test(F.col("text"), "License"))
+    return L.grep(files_of(spark, d), lambda t: L.line_test(t, "License"))
 
 
 @reg.add(rf"WITH {LINES} SELECT path, line, text FROM l WHERE regexp_matches(text, '(?i)tion[a-z]* the (he|of)')")
@@ -46,8 +50,7 @@ def grep_summary(spark: SparkSession, d: str) -> DataFrame:
 WITH {LINES} SELECT path, line, last_value(CASE WHEN length(text) > 200 THEN regexp_extract(text, '^\w+') END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS scope FROM l
 """)
 def enclosing_scope(spark: SparkSession, d: str) -> DataFrame:
-    name = F.when(F.length("text") > 200, F.regexp_extract("text", r"^\w+", 0))
-    return L.enclosing(lines_of(spark, d), name).select("path", "line", "scope")
+    return L.enclosing(files_of(spark, d), lambda t: F.when(F.length(t) > 200, F.regexp_extract(t, r"^\w+", 0)))
 
 
 CODE = r"""code AS (SELECT path, line, CASE (path + line) % 6 WHEN 0 THEN 'def ' || w || '(self):' WHEN 1 THEN 'export class ' || w || ' {' WHEN 2 THEN 'const ' || w || ' = 1' WHEN 3 THEN 'type ' || w || ' = x' WHEN 4 THEN '  return ' || w || '(1)' ELSE text END AS text
@@ -56,10 +59,13 @@ CODE = r"""code AS (SELECT path, line, CASE (path + line) % 6 WHEN 0 THEN 'def '
 
 def code_of(spark: SparkSession, d: str) -> DataFrame:
     """The documents' lines dressed as code."""
-    w, k = F.regexp_extract("text", "[A-Za-z]+", 0), (F.col("path") + F.col("line")) % 6
+    return lines_of(spark, d).select("path", "line", dressed(F.col("text"), F.col("path"), F.col("line")).alias("text"))
+
+
+def dressed(text: Column, path: Column, line: Column) -> Column:
+    w, k = F.regexp_extract(text, "[A-Za-z]+", 0), (path + line) % 6
     dress = lambda a, z: F.concat(F.lit(a), w, F.lit(z))
-    text = F.when(k == 0, dress("def ", "(self):")).when(k == 1, dress("export class ", " {")).when(k == 2, dress("const ", " = 1")).when(k == 3, dress("type ", " = x")).when(k == 4, dress("  return ", "(1)")).otherwise(F.col("text"))
-    return lines_of(spark, d).select("path", "line", text.alias("text"))
+    return F.when(k == 0, dress("def ", "(self):")).when(k == 1, dress("export class ", " {")).when(k == 2, dress("const ", " = 1")).when(k == 3, dress("type ", " = x")).when(k == 4, dress("  return ", "(1)")).otherwise(text)
 
 
 @reg.add(rf"""
@@ -101,9 +107,15 @@ WITH {LINES}, {CODE}, h AS (SELECT path, line, regexp_extract(text, '^def (\w+)'
 SELECT path, line, symbol, shown FROM h WHERE symbol <> ''
 """)
 def hover_text(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("path").orderBy("line").rowsBetween(0, 9)
-    shown = code_of(spark, d).withColumns({"shown": F.array_join(F.collect_list("text").over(w), "\n"), "symbol": F.regexp_extract("text", r"^def (\w+)", 1)})
-    return shown.where("symbol <> ''").select("path", "line", "symbol", "shown")
+    code = files_of(spark, d).select("path", F.transform("lines", lambda t, i: dressed(t, F.col("path"), i + 1)).alias("lines"))
+    return L.shown_from(code, lambda t: F.regexp_extract(t, r"^def (\w+)", 1))
+
+
+@reg.add(f"WITH {LINES} SELECT least(n, 51) AS n_shown, n > 50 AS truncated FROM (SELECT count(*) AS n FROM l WHERE contains(lower(text), 'license'))")
+def grep_early(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a word stands in more than 50 lines, without counting them all."""
+    more, hits = L.match_summary(files_of(spark, d), lambda t: L.line_test(t, "license"), 50)
+    return hits.agg(F.count("*").alias("n_shown"), more.alias("truncated"))
 
 
 @reg.add(f"WITH {LINES} SELECT path, string_agg(lpad(CAST(line AS VARCHAR), 4, ' ') || ' | ' || text, chr(10) ORDER BY line) AS numbered FROM l WHERE line BETWEEN 2 AND 4 GROUP BY path")
