@@ -59,12 +59,12 @@ def grep(files: DataFrame, test: Callable[[Column], Column], context: int = 2) -
 
 
 def enclosing(files: DataFrame, definition: Callable[[Column], Column]) -> DataFrame:
-    """path, line and scope: the last definition on or above each line of files (path, lines); definition gives a line's, or null."""
+    """path, line, text and scope (the last definition on or above it) of each line of files (path, lines); definition gives a line's, or null."""
     lines, defined = F.col("lines"), lambda t: definition(t).isNotNull()
     at = files.select("path", "lines", _places(lines, defined).alias("at"))
     # stretches from each definition to the next, and one before the first
     after = lambda k: F.coalesce(F.get("at", k + 1), F.size(lines)) - 1
-    named = lambda first, last, name: F.when(first <= last, F.transform(F.sequence(first, last), lambda i: F.struct((i + 1).alias("line"), name.alias("scope")))).otherwise(F.array().cast("array<struct<line:int,scope:string>>"))
+    named = lambda first, last, name: F.when(first <= last, F.transform(F.sequence(first, last), lambda i: F.struct((i + 1).alias("line"), F.get(lines, i).alias("text"), name.alias("scope")))).otherwise(F.array().cast("array<struct<line:int,text:string,scope:string>>"))
     first = named(F.lit(0), F.coalesce(F.get("at", F.lit(0)), F.size(lines)) - 1, F.lit(None).cast("string"))
     rest = F.flatten(F.transform("at", lambda i, k: named(i, after(k), definition(F.get(lines, i)))))
     return at.select("path", F.inline(F.concat(first, rest)))

@@ -10,7 +10,7 @@ from ..operators import graph as G
 from ..operators import lines as L
 from ..operators.budget import running_total, within_tokens
 from .common import Registry, table
-from .lines import CODE, LINES, code_of
+from .lines import CODE, LINES, code_files_of, code_of
 
 reg = Registry()
 QUERIES, ORACLES = reg.queries, reg.oracles
@@ -55,7 +55,7 @@ def symbols_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def calls_of(spark: SparkSession, d: str) -> DataFrame:
-    scope = L.enclosing(code_of(spark, d), F.when(F.col("text").startswith("def "), F.regexp_extract("text", r"^def (\w+)", 1)))
+    scope = L.enclosing(code_files_of(spark, d), lambda t: F.when(t.startswith("def "), F.regexp_extract(t, r"^def (\w+)", 1)))
     called = scope.select(F.col("path").alias("doc_id"), "scope", F.explode(F.regexp_extract_all("text", F.lit(r"return ([A-Za-z_]\w*)\("), F.lit(1))).alias("name")).where("scope <> ''")
     return called.join(files_of(spark, d), "doc_id").select("file", F.concat("file", F.lit(":"), "scope").alias("caller"), "name")
 
@@ -70,6 +70,29 @@ def import_resolution(spark: SparkSession, d: str) -> DataFrame:
     return import_edges(spark, d)
 
 
+SCRIPTS = r"""sf AS (SELECT doc_id, source || '/' || CASE doc_id % 4 WHEN 0 THEN 'lib/' ELSE '' END || 'm' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' WHEN 2 THEN '.js' WHEN 3 THEN '/index.ts' ELSE '.mjs' END AS file FROM documents WHERE source IS NOT NULL),
+  im AS (SELECT file, source || '/' || CASE WHEN t % 4 = 0 THEN 'lib/' ELSE '' END || 'm' || t AS base FROM (SELECT sf.*, source, doc_id // 2 AS t FROM sf JOIN documents USING (doc_id)) WHERE doc_id % 3 < 2)"""
+
+
+def scripts_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Script files of the documents, and their statements that import a module of the same source, by a path from where the file is, or a package."""
+    i, folder = F.col("doc_id"), lambda k: F.when(k % 4 == 0, "lib/").otherwise("")
+    end = F.when(i % 5 == 0, ".ts").when(i % 5 == 1, ".tsx").when(i % 5 == 2, ".js").when(i % 5 == 3, "/index.ts").otherwise(".mjs")
+    files = table(spark, d, "documents").where("source is not null").select("doc_id", F.concat("source", F.lit("/"), folder(i), F.lit("m"), i.cast("string"), end).alias("file"))
+    other, up = F.expr("doc_id div 2"), F.repeat(F.lit("../"), F.when(i % 4 == 0, 1).otherwise(0) + F.when(i % 5 == 3, 1).otherwise(0))
+    path = F.concat(F.when(up == "", "./").otherwise(up), folder(other), F.lit("m"), other.cast("string"))
+    said = lambda a, z: F.concat(F.lit(a), path, F.lit(z))
+    say = F.when(i % 3 == 0, said("import { thing } from '", "';")).when(i % 3 == 1, said("const x = require('", "');")).otherwise("import React from 'react';")
+    return files.select("file"), files.select("file", G.module_of(say).alias("module"))
+
+
+@reg.add(f"""WITH {SCRIPTS}, c AS (SELECT im.file AS src, sf.file AS dst, list_position(['.ts', '.tsx', '.js', '.jsx', '.mjs', '/index.ts'], substring(sf.file, length(base) + 1)) AS n FROM im JOIN sf ON starts_with(sf.file, base))
+SELECT DISTINCT src, arg_min(dst, n) AS dst, 'imports' AS type FROM c WHERE n IS NOT NULL AND src <> dst GROUP BY src""")
+def script_import_resolution(spark: SparkSession, d: str) -> DataFrame:
+    files, imports = scripts_of(spark, d)
+    return G.resolve_imports(imports, files)
+
+
 CALLS = rf"""{SYMS},
   sc AS (SELECT path, text, last_value(CASE WHEN starts_with(text, 'def ') THEN regexp_extract(text, '^def (\w+)', 1) END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS scope FROM code),
   ca AS (SELECT DISTINCT file, file || ':' || scope AS caller, regexp_extract(text, 'return ([A-Za-z_]\w*)\(', 1) AS name FROM sc JOIN files ON doc_id = path WHERE scope <> '' AND regexp_matches(text, 'return [A-Za-z_]\w*\(')),
@@ -127,13 +150,14 @@ def module_dependencies(spark: SparkSession, d: str) -> DataFrame:
     return G.module_dependencies(import_edges(spark, d).unionByName(call_edges(spark, d)), nodes)
 
 
-@reg.add(f"WITH {SYMS} SELECT (SELECT count(*) FROM files) + (SELECT count(*) FROM sy) AS n_nodes, (SELECT count(*) FROM files) AS n_files, count(*) FILTER (kind = 'class') AS n_classes, count(*) FILTER (kind = 'function') AS n_functions, array_to_string(list(DISTINCT name ORDER BY name)[1:15], ',') AS first_names FROM sy")
+@reg.add(f"WITH {CALLS} SELECT (SELECT count(*) FROM files) + (SELECT count(*) FROM sy) AS n_nodes, (SELECT count(*) FROM sy) + (SELECT count(*) FROM ie) + (SELECT count(*) FROM ce) AS n_edges, (SELECT count(*) FROM files) AS n_files, count(*) FILTER (kind = 'class') AS n_classes, count(*) FILTER (kind = 'function') AS n_functions, array_to_string(list(DISTINCT name ORDER BY name)[1:15], ',') AS first_names FROM sy")
 def graph_overview(spark: SparkSession, d: str) -> DataFrame:
-    nodes, _ = G.build_nodes(files_of(spark, d), symbols_of(spark, d))
+    nodes, contains = G.build_nodes(files_of(spark, d), symbols_of(spark, d))
+    edges = contains.unionByName(import_edges(spark, d)).unionByName(call_edges(spark, d)).agg(F.count("*").alias("n_edges"))
     of = lambda k: F.count_if(F.col("type") == k)
     first = nodes.where("type <> 'file'").select("name").distinct().orderBy("name").limit(15).agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("first_names"))
     counts = nodes.agg(F.count("*").alias("n_nodes"), of("file").alias("n_files"), of("class").alias("n_classes"), of("function").alias("n_functions"))
-    return counts.join(first)
+    return counts.join(first).join(edges)  # one row each
 
 
 TAGS = r"""rf AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_\x{4e00}-\x{9fff}]+')) AS name FROM documents),
@@ -260,19 +284,12 @@ def file_graph(spark: SparkSession, d: str) -> DataFrame:
     return G.file_edges(supplier_pairs(spark, d)).select("a", "b", F.round("weight", 6).alias("weight"))
 
 
-def strong_pairs(spark: SparkSession, d: str, share: float = 0.99) -> DataFrame:
-    """Suppliers joined where they share more orders than most pairs do, as the SQL of directory_chain has it."""
-    pairs = G.file_edges(supplier_pairs(spark, d))
-    cut = pairs.agg(F.percentile("weight", share)).first()[0] or 0.0
-    return pairs.where(F.col("weight") > cut)
-
-
-@reg.add(f"""WITH {PAIRS}, st AS (SELECT * FROM fe WHERE weight > (SELECT quantile_cont(weight, 0.99) FROM fe)), w AS (SELECT a AS f FROM st UNION SELECT b FROM st),
+@reg.add(f"""WITH {PAIRS}, w AS (SELECT a AS f FROM fe UNION SELECT b FROM fe),
   ch AS (SELECT s_suppkey AS a, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS b FROM supplier),
-  al AS (SELECT a, b, weight FROM st UNION ALL SELECT a, b, 0.22 FROM ch WHERE b IS NOT NULL AND (a NOT IN (SELECT f FROM w) OR b NOT IN (SELECT f FROM w)))
+  al AS (SELECT a, b, weight FROM fe UNION ALL SELECT a, b, 0.22 FROM ch WHERE b IS NOT NULL AND (a NOT IN (SELECT f FROM w) OR b NOT IN (SELECT f FROM w)))
 SELECT a, b, round(sum(weight), 6) AS weight FROM al GROUP BY ALL""")
 def directory_chain(spark: SparkSession, d: str) -> DataFrame:
-    pairs = strong_pairs(spark, d)
+    pairs = G.file_edges(supplier_pairs(spark, d))
     files = table(spark, d, "supplier").select(F.col("s_suppkey").alias("file"), F.col("s_nationkey").alias("dir"))
     return G.directory_chain(files, pairs).select("a", "b", F.round("weight", 6).alias("weight"))
 

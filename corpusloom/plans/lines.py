@@ -50,7 +50,7 @@ def grep_summary(spark: SparkSession, d: str) -> DataFrame:
 WITH {LINES} SELECT path, line, last_value(CASE WHEN length(text) > 200 THEN regexp_extract(text, '^\w+') END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS scope FROM l
 """)
 def enclosing_scope(spark: SparkSession, d: str) -> DataFrame:
-    return L.enclosing(files_of(spark, d), lambda t: F.when(F.length(t) > 200, F.regexp_extract(t, r"^\w+", 0)))
+    return L.enclosing(files_of(spark, d), lambda t: F.when(F.length(t) > 200, F.regexp_extract(t, r"^\w+", 0))).select("path", "line", "scope")
 
 
 CODE = r"""code AS (SELECT path, line, CASE (path + line) % 6 WHEN 0 THEN 'def ' || w || '(self):' WHEN 1 THEN 'export class ' || w || ' {' WHEN 2 THEN 'const ' || w || ' = 1' WHEN 3 THEN 'type ' || w || ' = x' WHEN 4 THEN '  return ' || w || '(1)' ELSE text END AS text
@@ -62,6 +62,10 @@ def code_of(spark: SparkSession, d: str) -> DataFrame:
     return lines_of(spark, d).select("path", "line", dressed(F.col("text"), F.col("path"), F.col("line")).alias("text"))
 
 
+def code_files_of(spark: SparkSession, d: str) -> DataFrame:
+    return files_of(spark, d).select("path", F.transform("lines", lambda t, i: dressed(t, F.col("path"), i + 1)).alias("lines"))
+
+
 def dressed(text: Column, path: Column, line: Column) -> Column:
     w, k = F.regexp_extract(text, "[A-Za-z]+", 0), (path + line) % 6
     dress = lambda a, z: F.concat(F.lit(a), w, F.lit(z))
@@ -107,8 +111,7 @@ WITH {LINES}, {CODE}, h AS (SELECT path, line, regexp_extract(text, '^def (\w+)'
 SELECT path, line, symbol, shown FROM h WHERE symbol <> ''
 """)
 def hover_text(spark: SparkSession, d: str) -> DataFrame:
-    code = files_of(spark, d).select("path", F.transform("lines", lambda t, i: dressed(t, F.col("path"), i + 1)).alias("lines"))
-    return L.shown_from(code, lambda t: F.regexp_extract(t, r"^def (\w+)", 1))
+    return L.shown_from(code_files_of(spark, d), lambda t: F.regexp_extract(t, r"^def (\w+)", 1))
 
 
 @reg.add(f"WITH {LINES} SELECT least(n, 51) AS n_shown, n > 50 AS truncated FROM (SELECT count(*) AS n FROM l WHERE contains(lower(text), 'license'))")

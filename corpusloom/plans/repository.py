@@ -43,15 +43,18 @@ def include_patterns(spark: SparkSession, d: str) -> DataFrame:
     return paths_of(spark, d).where(S.included(F.col("path"), ["*.py", "README.??"])).select("doc_id", "path")
 
 
-@reg.add("""WITH e AS (SELECT DISTINCT unnest(['src/', 'web/', 'node_modules/x/', 'a/build/', '']) || unnest(CASE doc_id % 4 WHEN 0 THEN ['main.py', 'x', 'Dockerfile', 'urls.py', 'page.tsx'] ELSE ['main.py', 'App.tsx', 'server.js', 'setup.py', 'package.json'] END) AS path FROM documents)
+_PROJECT = "['main.py', 'x', 'Dockerfile', 'urls.py', 'page.tsx', 'App.tsx', 'server.js', 'setup.py', 'package.json', 'notes.md']"
+
+
+@reg.add(f"""WITH e AS (SELECT coalesce(source, 'none') || '/' || CASE doc_id % 7 WHEN 3 THEN 'node_modules/' WHEN 5 THEN 'a/build/' ELSE '' END || doc_id || '/' || {_PROJECT}[1 + doc_id % 10] AS path, doc_id FROM documents)
 SELECT CASE WHEN string_split(path, '/')[-1] IN ('main.py', 'urls.py', 'page.tsx', 'server.js') THEN 'entry' ELSE 'config' END AS kind, path FROM e
-WHERE string_split(path, '/')[-1] NOT IN ('x', 'App.tsx') AND NOT starts_with(path, 'node_modules/') AND NOT contains(path, '/build/')""")
+WHERE string_split(path, '/')[-1] NOT IN ('x', 'App.tsx', 'notes.md') AND doc_id % 7 NOT IN (3, 5)""")
 def project_files(spark: SparkSession, d: str) -> DataFrame:
-    texts = lambda *xs: F.array(*[F.lit(x) for x in xs])
-    folders = texts("src/", "web/", "node_modules/x/", "a/build/", "")
-    names = F.when(F.col("doc_id") % 4 == 0, texts("main.py", "x", "Dockerfile", "urls.py", "page.tsx")).otherwise(texts("main.py", "App.tsx", "server.js", "setup.py", "package.json"))
-    paths = table(spark, d, "documents").select(F.explode(F.zip_with(folders, names, lambda a, b: F.concat(a, b))).alias("path"))
-    return S.project_files(paths)
+    """Files that start or set up a program, a path for each document."""
+    i, names = F.col("doc_id"), F.array(*[F.lit(x) for x in ("main.py", "x", "Dockerfile", "urls.py", "page.tsx", "App.tsx", "server.js", "setup.py", "package.json", "notes.md")])
+    folder = F.when(i % 7 == 3, "node_modules/").when(i % 7 == 5, "a/build/").otherwise("")
+    path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), folder, i.cast("string"), F.lit("/"), F.get(names, (i % 10).cast("int")))
+    return S.project_files(table(spark, d, "documents").select(path.alias("path")))
 
 
 def _routes(spark: SparkSession, d: str) -> DataFrame:
@@ -212,10 +215,10 @@ def exploration_note(spark: SparkSession, d: str) -> DataFrame:
     return A.exploration_note(A.anchors(results_of(spark, d)))
 
 
-@reg.add("SELECT doc_id, 'Answer: ' || text[1:80] AS answer FROM documents")
+@reg.add("SELECT doc_id, 'Answer: ' || reverse(text) AS answer FROM documents")
 def generated_answers(spark: SparkSession, d: str) -> DataFrame:
-    """The hook for a model, here one that repeats an opening."""
+    """The hook for a model, here one that says the whole text backwards."""
     def repeat(texts: list[str]) -> list[str]:
-        return ["Answer: " + t[:80] for t in texts]
+        return ["Answer: " + t[::-1] for t in texts]
 
     return M.generate(table(spark, d, "documents").select("doc_id", F.col("text").alias("prompt")), repeat).select("doc_id", "answer")
