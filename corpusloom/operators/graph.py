@@ -146,12 +146,15 @@ def pagerank(edges: DataFrame, nodes: DataFrame, personal: DataFrame | None = No
     return state.select("id", "rank")
 
 
-def name_pagerank(defs: DataFrame, refs: DataFrame, nodes: DataFrame, personal: DataFrame | None = None, rounds: int = 10, damping: float = 0.85) -> DataFrame:
+def name_pagerank(defs: DataFrame, refs: DataFrame, nodes: DataFrame, personal: DataFrame | None = None, rounds: int = 10, damping: float = 0.85, tolerance: float | None = None) -> DataFrame:
     """id and rank as pagerank gives them over all edges from a referring file to a defining one, an edge for each name.
 
     defs and refs (id, name, distinct). A frequent name has as many edges as its referring files times its defining
     ones, so rank goes through the name: a round's work grows with the references, whatever the names. An edge from a
     file to itself doesn't count: what a file would give itself is taken off again.
+
+    With tolerance the rounds end when ranks change by less than that a node on average, after `rounds` at the latest. Rank that
+    nodes without links give up is summed with the change of the round before, in one job a round.
     """
     refs = stash(refs.join(defs.select("name").distinct(), "name", "left_semi").select("id", "name"))
     defs = stash(defs.where("name is not null").select("id", "name"))
@@ -166,14 +169,17 @@ def name_pagerank(defs: DataFrame, refs: DataFrame, nodes: DataFrame, personal:
     base = base.join(out, "id", "left").join(own, "id", "left").select("id", "share", F.coalesce("own", F.lit(0)).alias("own"), (F.coalesce("links", F.lit(0)) - F.coalesce("own", F.lit(0))).alias("links"))
     base = stash(base)
     state = base.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    lost = state.where("links = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
     for _ in range(rounds):
         each = state.where("links > 0").select("id", (F.col("rank") / F.col("links")).alias("each"))
-        lost = state.where("links = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("s")).first()[0]
         names = refs.join(each, "id").groupBy("name").agg(F.sum("each").alias("through"))
         got = defs.join(few(names), "name").groupBy("id").agg(F.sum("through").alias("got"))
         back = F.when(F.col("links") > 0, F.col("own") * F.col("rank") / F.col("links")).otherwise(0.0)
         new = damping * (F.coalesce("got", F.lit(0.0)) - back + lost * F.col("share")) + (1 - damping) * F.col("share")
-        state = stash(state.join(got, "id", "left").select("id", "share", "own", "links", new.alias("rank")))
+        state = stash(state.join(got, "id", "left").select("id", "share", "own", "links", new.alias("rank"), F.abs(new - F.col("rank")).alias("change")))
+        lost, change = state.agg(F.coalesce(F.sum(F.when(F.col("links") == 0, F.col("rank"))), F.lit(0.0)), F.coalesce(F.sum("change"), F.lit(0.0))).first()
+        if tolerance is not None and change < tolerance * n:
+            break
     return state.select("id", "rank")
 
 
@@ -262,36 +268,65 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return inside / total - resolution * degree.agg(F.sum((F.col("k") / (2 * total)) ** 2)).first()[0]
 
 
-def communities(edges: DataFrame, nodes: DataFrame, resolution: float = 0.55, rounds: int = 12) -> DataFrame:
-    """id and community (from 0) by moves that raise modularity.
+def moved(edges: DataFrame, nodes: DataFrame, double: float, resolution: float, rounds: int) -> DataFrame:
+    """id and label after moves that raise modularity, over edges (a, b, weight; a = b is what a node holds inside) and nodes (id, k, its degree).
 
-    Each round every node sums its weight to each neighbouring community and weighs it against the community's total
-    degree; nodes of one hash parity move to the best if that gains, so that neighbours don't swap. Communities that
-    fell apart are split into their connected parts. Without edges all nodes are one community.
+    Each round every node sums its weight to each neighbouring community and weighs it against the community's total degree; nodes
+    of one hash parity move to the best if that gains, so that neighbours don't swap. Every node has a label, its own to begin with.
     """
-    if edges.isEmpty():
-        return nodes.select("id", F.lit(0).alias("community"))
-    both = stash(edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
-    degree = both.groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("k"))
-    double = degree.agg(F.sum("k")).first()[0]
-    label = stash(degree.withColumn("label", F.col("id")))
-    still = 0
+    out = edges.where("a <> b")
+    both = stash(out.select("a", "b", "weight").unionByName(out.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
+    label, still = stash(nodes.withColumn("label", F.col("id"))), 0
     for r in range(rounds):
         total = label.groupBy("label").agg(F.sum("k").alias("tot"))
         near = both.join(label.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id"), "label").agg(F.sum("weight").alias("w"))
         own = label.select("id", "k", F.col("label").alias("own"))
         gain = F.col("w") - resolution * F.col("k") * (F.col("tot") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(0.0)) / double
         options = near.join(own, "id").join(total, "label").withColumn("gain", F.round(gain, 9))
-        best = options.groupBy("id").agg(F.max_by("label", F.struct("gain", "label")).alias("to"), F.max("gain").alias("g"), F.max(F.when(F.col("label") == F.col("own"), F.col("gain"))).alias("now"))
-        # a node alone in its community has no link inside it, and gains nothing by staying
-        turn = F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2
-        moved = label.join(best, "id").withColumn("goes", turn & (F.col("g") > F.coalesce("now", F.lit(0.0))))
-        after = stash(moved.select("id", "k", F.when(F.col("goes"), F.col("to")).otherwise(F.col("label")).alias("label"), "goes"))
+        # a node that has no link inside its community gains by staying what it takes off the community's degree
+        stay = F.max(F.when(F.col("label") == F.col("own"), F.col("gain")))
+        best = options.groupBy("id").agg(F.max_by("label", F.struct("gain", "label")).alias("to"), F.max("gain").alias("g"), stay.alias("now"))
+        turn = F.pmod(F.xxhash64("id", F.lit(r // 2)), F.lit(2)) == r % 2
+        tried = label.join(best, "id", "left").withColumn("goes", F.coalesce(turn & (F.col("g") > F.coalesce("now", F.lit(0.0))) & (F.col("to") != F.col("label")), F.lit(False)))
+        after = stash(tried.select("id", "k", F.when(F.col("goes"), F.col("to")).otherwise(F.col("label")).alias("label"), "goes"))
         still = still + 1 if after.where("goes").isEmpty() else 0
         label = after.drop("goes")
         if still == 2:
             break
-    kept = edges.join(label.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b").where("la = lb")
-    parts = connected(kept, nodes)
-    numbers = parts.select("component").distinct().withColumn("community", F.row_number().over(Window.orderBy("component")) - 1)
-    return parts.join(numbers, "component").select("id", "community")
+    return label.select("id", "label")
+
+
+def split_parts(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """labels (id, label) refined: communities that fell apart are split into their connected parts, named by their least node."""
+    at = lambda side: labels.select(F.col("id").alias(side), F.col("label").alias(f"l{side}"))
+    inside = edges.join(at("a"), "a").join(at("b"), "b").where("la = lb and a <> b")
+    return connected(inside, labels.select("id")).select("id", F.col("component").alias("label"))
+
+
+def communities(edges: DataFrame, nodes: DataFrame, resolution: float = 0.55, rounds: int = 12, levels: int = 10, weighted: bool = True) -> DataFrame:
+    """id and community (from 0) of every node, by moves that raise modularity, level by level.
+
+    A level moves nodes, splits what fell apart, and makes each community one node: the weights between two communities are summed,
+    those inside stay with it. The next level moves these. It ends when a level merges nothing. weighted False takes every edge as 1.
+    edges (a, b, weight), each pair once; nodes (id). Without edges all nodes are one community; nodes without edges are one each.
+    Node ids are compared in ties, so reruns agree.
+    """
+    if edges.isEmpty():
+        return nodes.select("id", F.lit(0).alias("community"))
+    work = stash(edges.select("a", "b", (F.col("weight") if weighted else F.lit(1.0)).cast("double").alias("weight")))
+    ends = work.select(F.col("a").alias("id"), "weight").unionByName(work.select(F.col("b").alias("id"), "weight"))
+    held = stash(nodes.select("id").join(ends.groupBy("id").agg(F.sum("weight").alias("k")), "id", "left").fillna(0.0, ["k"]))
+    double, whole, n = held.agg(F.sum("k")).first()[0], stash(nodes.select("id", F.col("id").alias("label"))), held.count()
+    for _ in range(levels):
+        label = stash(split_parts(work, moved(work, held, double, resolution, rounds)))
+        whole = stash(whole.withColumnRenamed("label", "id2").join(label.withColumnRenamed("id", "id2"), "id2").select("id", "label"))
+        left = label.select("label").distinct().count()
+        if left == n:
+            break
+        n = left
+        at = lambda side, label=label: label.select(F.col("id").alias(side), F.col("label").alias(f"l{side}"))
+        joined = work.join(at("a"), "a").join(at("b"), "b").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"), "weight")
+        work = stash(joined.groupBy("a", "b").agg(F.sum("weight").alias("weight")))
+        held = stash(held.join(label, "id").groupBy(F.col("label").alias("id")).agg(F.sum("k").alias("k")))
+    numbers = whole.select("label").distinct().withColumn("community", F.row_number().over(Window.orderBy("label")) - 1)
+    return whole.join(numbers, "label").select("id", "community")

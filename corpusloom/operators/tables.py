@@ -38,6 +38,17 @@ def delete_cascade(parents: DataFrame, children: DataFrame, doomed: DataFrame, k
     return parents.join(keys, key, "left_anti"), children.join(keys, key, "left_anti")
 
 
+def delete_owned(parents: DataFrame, children: DataFrame, asked: DataFrame, key: str, owner: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parents and children without those that their owner asks to delete, and asked with deleted: whether the key was there and the owner's.
+
+    asked: key and owner. A null owner owns nothing. Requests that repeat are answered each.
+    """
+    own = asked.join(parents.select(key, owner).distinct(), [key, owner], "left_semi").select(key).distinct()
+    told = asked.join(own.withColumn("deleted", F.lit(True)), key, "left").join(parents.select(key, F.col(owner).alias("_owner")), key, "left")
+    told = told.withColumn("deleted", F.coalesce(F.col("deleted") & (F.col(owner) == F.col("_owner")), F.lit(False))).select(*asked.columns, "deleted")
+    return *delete_cascade(parents, children, own, key), told
+
+
 def latest(df: DataFrame, key: list[str], order: list) -> DataFrame:
     """One row per key: the first in order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")

@@ -102,12 +102,35 @@ def section_contents(spark: SparkSession, d: str) -> DataFrame:
   w AS (SELECT id, title, title AS crumbs, 0 AS depth FROM e WHERE parent IS NULL UNION ALL SELECT e.id, e.title, w.crumbs || ' > ' || e.title, depth + 1 FROM e JOIN w ON e.parent = w.id)
 SELECT CAST(id AS BIGINT) AS id, title, crumbs, depth FROM w""")
 def toc_flatten(spark: SparkSession, d: str) -> DataFrame:
+    return T.flatten(toc_of(spark, d))[0]
+
+
+def toc_of(spark: SparkSession, d: str) -> DataFrame:
     r, n, s = (table(spark, d, t) for t in ("region", "nation", "supplier"))
     long = lambda c: c.cast("long")
     rows = r.select(long(F.col("r_regionkey")).alias("id"), F.col("r_name").alias("title"), F.lit(None).cast("long").alias("parent"))
     rows = rows.unionByName(n.select(long(100 + F.col("n_nationkey")).alias("id"), F.col("n_name").alias("title"), long(F.col("n_regionkey")).alias("parent")))
-    rows = rows.unionByName(s.select(long(1000 + F.col("s_suppkey")).alias("id"), F.col("s_name").alias("title"), long(100 + F.col("s_nationkey")).alias("parent")))
-    return T.flatten(rows)
+    return rows.unionByName(s.select(long(1000 + F.col("s_suppkey")).alias("id"), F.col("s_name").alias("title"), long(100 + F.col("s_nationkey")).alias("parent")))
+
+
+@reg.add("""WITH RECURSIVE c AS (SELECT 10000000 + c_custkey AS k, c_custkey, c_name, c_nationkey FROM customer),
+  e AS (SELECT CAST(CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 13 = 0 THEN k - 1 ELSE k END AS BIGINT) AS id, CASE WHEN c_custkey % 17 = 0 THEN '  ' ELSE c_name END AS title,
+    CAST(CASE WHEN c_custkey % 19 = 0 THEN k WHEN c_custkey % 23 = 0 THEN -5 WHEN c_custkey % 100 = 1 THEN NULL ELSE 10000000 + c_custkey // 100 * 100 + 1 END AS BIGINT) AS parent FROM c),
+  ok AS (SELECT * FROM e WHERE id IS NOT NULL AND trim(title) <> ''), g AS (SELECT id, title, parent FROM ok QUALIFY row_number() OVER (PARTITION BY id ORDER BY title, coalesce(CAST(parent AS VARCHAR), '')) = 1),
+  w AS (SELECT id FROM g WHERE parent IS NULL UNION ALL SELECT g.id FROM g JOIN w ON g.parent = w.id)
+SELECT why, id, count(*) AS n FROM (
+  SELECT 'id' AS why, CAST(NULL AS BIGINT) AS id FROM e WHERE id IS NULL UNION ALL SELECT 'title', id FROM e WHERE id IS NOT NULL AND trim(title) = ''
+  UNION ALL SELECT 'repeated', id FROM (SELECT id, unnest(range(count(*) - 1)) FROM ok GROUP BY id) UNION ALL SELECT 'root', id FROM g WHERE id NOT IN (SELECT id FROM w)) GROUP BY ALL""")
+def toc_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """What a table of contents made of the customers can't use: missing ids and titles, repeated ids, nodes without a root."""
+    i = F.col("c_custkey").cast("long")
+    k = i + 10_000_000
+    rows = table(spark, d, "customer").select(
+        F.when(i % 11 == 0, F.lit(None)).when(i % 13 == 0, k - 1).otherwise(k).alias("id"), F.when(i % 17 == 0, "  ").otherwise(F.col("c_name")).alias("title"),
+        F.when(i % 19 == 0, k).when(i % 23 == 0, F.lit(-5)).when(i % 100 == 1, F.lit(None)).otherwise(10_000_001 + F.expr("c_custkey div 100") * 100).cast("long").alias("parent"),
+    )
+    good, rejects = T.check_toc(rows)
+    return rejects.select("why", "id").unionByName(T.flatten(good)[1].select(F.lit("root").alias("why"), "id")).groupBy("why", "id").agg(F.count("*").alias("n"))
 
 
 @reg.add("SELECT source || '/2024-01-15_' || source || '/' || lang || '.json' AS key, 'https://files.example/' || source || '/2024-01-15_' || source || '/' || lang || '.json' AS url, count(*) AS n_documents FROM documents GROUP BY source, lang")

@@ -65,6 +65,25 @@ def delete_with_messages(spark: SparkSession, d: str) -> DataFrame:
     return count(chats, "chat").unionByName(count(left, "message"))
 
 
+@reg.add("""
+WITH c AS (SELECT DISTINCT conv_id, conv_id % 3 AS user_id FROM conversations), a AS (SELECT conv_id, conv_id % 2 AS user_id FROM c WHERE conv_id % 5 = 0 UNION ALL SELECT -conv_id - 1, 0 FROM c WHERE conv_id % 50 = 0),
+  own AS (SELECT conv_id FROM a JOIN c USING (conv_id, user_id))
+SELECT 'asked' AS kind, count(*) AS n, count(*) FILTER (conv_id IN (SELECT conv_id FROM own)) AS n_deleted FROM a
+UNION ALL SELECT 'chat', count(*), count(*) FILTER (conv_id IN (SELECT conv_id FROM own)) FROM c
+UNION ALL SELECT 'message', count(*), count(*) FILTER (conv_id IN (SELECT conv_id FROM own)) FROM conversations
+""")
+def delete_own_chats(spark: SparkSession, d: str) -> DataFrame:
+    """Chats deleted on request of their owner alone; requests for other people's chats and for chats that aren't there change nothing."""
+    messages = table(spark, d, "conversations").select("conv_id", "turn")
+    chats = messages.select("conv_id").distinct().withColumn("user_id", F.col("conv_id") % 3)
+    asked = chats.where("conv_id % 5 = 0").select("conv_id", (F.col("conv_id") % 2).alias("user_id"))
+    asked = asked.unionByName(chats.where("conv_id % 50 = 0").select((-F.col("conv_id") - 1).alias("conv_id"), F.lit(0).cast("long").alias("user_id")))
+    left, kept, told = T.delete_owned(chats, messages, asked, "conv_id", "user_id")
+    lost = lambda all_, rest, kind: all_.agg(F.count("*").alias("n")).join(rest.agg(F.count("*").alias("m"))).select(F.lit(kind).alias("kind"), "n", (F.col("n") - F.col("m")).alias("n_deleted"))
+    said = told.agg(F.lit("asked").alias("kind"), F.count("*").alias("n"), F.count_if("deleted").alias("n_deleted"))
+    return said.unionByName(lost(chats, left, "chat")).unionByName(lost(messages, kept, "message"))
+
+
 @reg.add("""
 SELECT CAST(event_id AS VARCHAR) AS task_id, user_id, 'pending' AS status, 0.0 AS progress, event_type AS current_step FROM events WHERE event_type = 'signup'
 UNION ALL SELECT CAST(event_id AS VARCHAR), user_id, 'processing', value, event_type FROM events WHERE event_type = 'view'
