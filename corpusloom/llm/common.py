@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,12 +43,29 @@ def stash_by(df: DataFrame, name: str, key: str) -> tuple[DataFrame, int]:
 _held: dict[str, object] = {}
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system; its own allocators keep it otherwise, beside what the next operator takes."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """run, which gives back the memory of a task when it ends."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def worker_state(key: str, make: Callable[[], object]) -> object:
     """What a Python worker keeps between tasks. It keeps one thing: that of the operator it works for."""
     if key not in _held:
         _held.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
         _held[key] = make()
     return _held[key]
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, fresh, stash, unstash, worker_state
+from .common import broadcast_if_small, fresh, stash, tidy, unstash, worker_state
 from .hashing import mix, shingle_sets, stretches
 from .links import components
 
@@ -124,7 +124,7 @@ def describe_sets(docs: DataFrame, measure: Measure) -> DataFrame:
                     node.append(_prints(s)[0] if len(s) else None)
             yield pa.record_batch([b["doc_id"], pa.array(n, pa.int64()), pa.array(node, pa.int64())], ["doc_id", "n_shingles", "node"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, node long")
 
 
 def _part_rows(docs: DataFrame, measure: Measure) -> DataFrame:
@@ -145,7 +145,7 @@ def _part_rows(docs: DataFrame, measure: Measure) -> DataFrame:
                 if keys:
                     yield pa.record_batch([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(nodes))], ["part", "node"])
 
-    return docs.select("text").mapInArrow(run, "part long, node long")
+    return docs.select("text").mapInArrow(tidy(run), "part long, node long")
 
 
 def similar_groups(docs: DataFrame, measure: Measure) -> DataFrame:
@@ -179,9 +179,9 @@ def _of_texts(docs: DataFrame, described: DataFrame, nodes: DataFrame, run: Call
     # one row for all copies before the join, so that many copies don't meet in one task
     first = stash(described.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node", "left_semi").select("node", "doc_id"), "wanted")
     wanted, lone = first.where("doc_id is not null").select("doc_id"), first.where("doc_id is null").select(F.col("node").alias(key))
-    made = docs.select("doc_id", "text").join(broadcast_if_small(wanted, 16), "doc_id", "left_semi").select("text").mapInArrow(run, schema)
+    made = docs.select("doc_id", "text").join(broadcast_if_small(wanted, 16), "doc_id", "left_semi").select("text").mapInArrow(tidy(run), schema)
     if not lone.isEmpty():
-        unnamed = docs.where("doc_id is null").select("text").mapInArrow(run, schema)
+        unnamed = docs.where("doc_id is null").select("text").mapInArrow(tidy(run), schema)
         made = made.unionByName(unnamed.join(broadcast_if_small(lone, 16), key, "left_semi"))
     # rows that repeat a doc_id make their set once each
     return made.dropDuplicates([key])
@@ -223,7 +223,7 @@ def compare(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
     left, right = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
     heads = right.join(pairs.select("b").distinct(), "b", "left_semi")
     both = pairs.join(left, "a").join(heads, "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(run, "a long, b long, linked boolean, n_a long, n_b long, d long, ids binary")
+    return both.mapInArrow(tidy(run), "a long, b long, linked boolean, n_a long, n_b long, d long, ids binary")
 
 
 def overlap_bound(measure: Measure, linked: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -261,7 +261,7 @@ def _cut(rows: DataFrame) -> DataFrame:
             part, new = b.take(pa.array(at, pa.int32())), {"r": pa.array(r, pa.int32()), "ids": pa.array(ids, pa.binary())}
             yield pa.record_batch([new[c] if c in new else part[c] for c in b.schema.names], b.schema.names)
 
-    return out.mapInArrow(run, out.schema)
+    return out.mapInArrow(tidy(run), out.schema)
 
 
 def _sized(groups: DataFrame) -> DataFrame:
@@ -384,7 +384,7 @@ def rarest_shared(opened: DataFrame) -> DataFrame:
 
     first = [F.first(c).alias(c) for c in ("linked", "n_a", "d", "least")]
     whole = opened.groupBy("a", "b").agg(*first, F.sum("n").alias("n"), F.collect_list(F.struct("ids", "often")).alias("parts"))
-    return whole.where("n >= least").mapInArrow(run, "b long, a long, linked boolean, n_a long, d long, id long, left long")
+    return whole.where("n >= least").mapInArrow(tidy(run), "b long, a long, linked boolean, n_a long, d long, id long, left long")
 
 
 def pairs_to_verify(compared: DataFrame, label: DataFrame, measure: Measure) -> DataFrame:
