@@ -77,6 +77,19 @@ def shown_from(files: DataFrame, name: Callable[[Column], Column], most: int = 1
     return files.select("path", F.transform(_places(lines, lambda t: F.coalesce(name(t), F.lit("")) != ""), hit).alias("hits")).select("path", F.inline("hits"))
 
 
+def of_interest(lines: Column, at: Column, pad: int = 1) -> Column:
+    """Lines of interest (numbers from 1, in any order, repeats count once) with pad lines beside each, in one text.
+
+    Neighbourhoods that touch are one; what is left out between them, before and after is one line with an ellipsis.
+    """
+    n = F.size(lines)
+    inside = F.filter(at, lambda x: x.between(1, n))
+    near = F.array_sort(F.array_distinct(F.flatten(F.transform(inside, lambda x: F.sequence(F.greatest(x - pad, F.lit(1)), F.least(x + pad, n))))))
+    gap = lambda x, i: F.coalesce(F.get(near, i - 1), F.lit(0)) < x - 1
+    shown = F.transform(near, lambda x, i: F.concat(F.when(gap(x, i), "⋮\n").otherwise(""), F.lit("│"), F.get(lines, (x - 1).cast("int"))))
+    return F.concat(F.array_join(shown, "\n"), F.when((F.size(near) > 0) & (F.get(near, F.size(near) - 1) < n), "\n⋮").otherwise(""))
+
+
 def match_summary(files: DataFrame, test: Callable[[Column], Column], most: int) -> tuple[Column, DataFrame]:
     """The first most + 1 matches (path, line) of files (path, lines), of each task before they meet, so that a search for a common word ends early.
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import graph as G
 from ..operators import lines as L
-from ..operators.budget import running_total, within_tokens
+from ..operators.budget import running_total, token_count
+from ..operators.shared import stash
 from .common import Registry, table
 from .lines import CODE, LINES, code_files_of, code_of
 
@@ -227,6 +228,32 @@ def ranked_files(spark: SparkSession, d: str) -> DataFrame:
     return ranked.select("file", "name", "line", F.round("rank", 9).alias("rank"), F.round("top", 9).alias("top"))
 
 
+TOKEN_SQL = r"regexp_extract_all(lower({}), '[A-Za-z0-9_\x{{4e00}}-\x{{9fff}}]+')"
+
+
+@reg.add(pagerank_sql() + f""", {SYMS}, t AS (SELECT r10.id AS file, fn.name, fn.line, round({_BOOSTED}, 9) AS rank FROM r10 JOIN files ON doc_id = r10.id JOIN fn ON fn.file = files.file),
+  co AS (SELECT t.*, len({TOKEN_SQL.format('text')}) + 1 + CASE WHEN row_number() OVER (PARTITION BY file ORDER BY rank DESC, t.line, name) = 1 THEN 3 ELSE 0 END AS cost FROM t JOIN code ON path = file AND code.line = t.line),
+  us AS (SELECT *, sum(cost) OVER (ORDER BY rank DESC, file, line, name ROWS UNBOUNDED PRECEDING) AS used FROM co), pk AS (SELECT file, max(rank) AS rank, list(line) AS wanted FROM us WHERE used <= 2048 GROUP BY file),
+  ne AS (SELECT file, line, text, coalesce(lag(line) OVER (PARTITION BY file ORDER BY line), 0) AS prior FROM pk JOIN code ON path = file WHERE len(list_filter(wanted, lambda x: abs(x - line) <= 1)) > 0),
+  la AS (SELECT path AS file, max(line) AS last FROM code GROUP BY path)
+SELECT file, any_value(rank) AS rank, string_agg(CASE WHEN prior < line - 1 THEN '⋮' || chr(10) ELSE '' END || '│' || text, chr(10) ORDER BY line) || CASE WHEN max(line) < any_value(last) THEN chr(10) || '⋮' ELSE '' END AS shown
+FROM ne JOIN pk USING (file) JOIN la USING (file) GROUP BY file""")
+def repo_map_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The best functions that fit 2,048 tokens, by file, each file with its lines of interest and what stands beside them."""
+    budget, code = 2048, code_files_of(spark, d)
+    tags = functions_of(spark, d).join(files_of(spark, d), "file").select(F.col("doc_id").alias("file"), "name", "line")
+    ranked = G.ranked_tags(tags, document_ranks(spark, d), ["The", "La"], [7], [9]).withColumn("rank", F.round("rank", 9))
+    order = [F.desc("rank"), F.asc("file"), F.asc("line"), F.asc("name")]
+    # a tag costs a token at least, so no more tags than that can fit
+    best = stash(ranked.orderBy(*order).limit(budget), "best-tags")
+    said = best.join(code.withColumnRenamed("path", "file"), "file").select("file", "name", "line", "rank", F.get("lines", (F.col("line") - 1).cast("int")).alias("text"))
+    first = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("rank"), "line", "name")) == 1
+    costs = said.withColumn("cost", token_count(F.col("text")) + 1 + F.when(first, 3).otherwise(0)).drop("text")
+    picked = running_total(costs, order, "cost").where(F.col("used") <= budget)
+    files = picked.groupBy("file").agg(F.max("rank").alias("rank"), F.collect_list("line").alias("at"))
+    return files.join(code.withColumnRenamed("path", "file"), "file").select("file", "rank", L.of_interest(F.col("lines"), F.col("at")).alias("shown"))
+
+
 @reg.add(f"WITH {SYMS}, w AS (SELECT DISTINCT file FROM files JOIN documents USING (doc_id) WHERE lang = 'de') SELECT file AS id, 'file' AS type, file FROM w UNION ALL SELECT file || ':' || name, kind, file FROM sy WHERE file IN (SELECT file FROM w)")
 def file_nodes(spark: SparkSession, d: str) -> DataFrame:
     """All nodes of the German files."""
