@@ -136,7 +136,8 @@ def task_states(events: DataFrame, at: str, terminal: tuple[str, ...] = ("failed
         if (ended or last) != (tuple(old[:4]) if old[0] is not None else tuple(old[4:])):
             yield pd.DataFrame([(key[0], ended is not None, *shown[1:])], columns=["task_id", "settled", "event_id", "status", "progress"])
 
-    typed = events.where("ts is not null and event_id is not null").select("task_id", "ts", F.unix_micros("ts").alias("at"), F.col("event_id").cast("long"), "status", F.col("progress").cast("double"))
+    timed = events.where("ts is not null and event_id is not null").withColumn("ts", F.col("ts").cast("timestamp"))
+    typed = timed.select("task_id", "ts", F.unix_micros("ts").alias("at"), F.col("event_id").cast("long"), "status", F.col("progress").cast("double"))
     timeout = GroupStateTimeout.EventTimeTimeout if idle else GroupStateTimeout.NoTimeout
     timed = typed.withWatermark("ts", late) if idle else typed
     states = timed.groupBy("task_id").applyInPandasWithState(settle, schema, _STATE, "update", timeout)
@@ -159,6 +160,7 @@ def event_counts(events: DataFrame, at: str, every: str | None = None, late: str
     leave the state store, and what comes for them is dropped.
     """
     typed = events.withColumn("k", F.from_json("props", "k long")["k"])
+    typed = typed.withColumn("ts", F.col("ts").cast("timestamp")) if every else typed
     keys = [*([F.window("ts", every).alias("window")] if every else []), "event_type"]
     counts = (typed.withWatermark("ts", late) if every else typed).groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.coalesce("k", F.lit(0))).alias("k_total"))
     if every:
