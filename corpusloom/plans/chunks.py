@@ -38,9 +38,8 @@ def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
     return s.select("path", "section", "heading", "level", "breadcrumb", F.md5("content").alias("digest"))
 
 
-def pack_sql(parts: str, most: int, gap: str, overlap: int) -> str:
-    """A recursive CTE that packs rows (id, i, p) greedily; chunks end where `full`."""
-    begun = f"right(cur, {overlap}) || {gap} || p" if overlap else "p"
+def pack_sql(parts: str, most: int, gap: str, begun: str = "p") -> str:
+    """A recursive CTE that packs rows (id, i, p) greedily; a chunk after a full one starts as `begun`."""
     return f"""
   n AS (SELECT *, count(*) OVER (PARTITION BY id) AS last FROM {parts}),
   r AS (SELECT id, i, last, p AS cur, 0 AS c, CAST(NULL AS VARCHAR) AS done FROM n WHERE i = 1 UNION ALL
@@ -52,7 +51,7 @@ def pack_sql(parts: str, most: int, gap: str, overlap: int) -> str:
 
 @reg.add(f"""
 WITH RECURSIVE s AS (SELECT doc_id AS id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?。！？])[ \\t\\r\\n]+', E'\\\\1\\x01', 'g'), E'\\x01'), lambda x: trim(x, E' \\t\\n')), lambda x: x <> '') AS s FROM documents),
-  u AS (SELECT id, unnest(s) AS p, unnest(range(1, len(s) + 1)) AS i FROM s), {pack_sql('u', 2000, "' '", 0)}
+  u AS (SELECT id, unnest(s) AS p, unnest(range(1, len(s) + 1)) AS i FROM s), {pack_sql('u', 2000, "' '")}
 SELECT id AS doc_id, chunk, length(content) AS n_chars, md5(content) AS digest FROM o
 """)
 def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -60,10 +59,16 @@ def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
     return c.select("doc_id", "chunk", F.length("content").alias("n_chars"), F.md5("content").alias("digest"))
 
 
+# turns joined by blank lines and cut at blank lines; a run of paragraphs up to a long one is packed, a long one's sentences are packed for themselves
 @reg.add(f"""
-WITH RECURSIVE t AS (SELECT conv_id AS id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, trim(text, E' \\t\\n') AS p FROM conversations),
-  {pack_sql('t', 2000, "E'\\n\\n'", 150)}
-SELECT id AS conv_id, chunk, length(content) AS n_chars, md5(content) AS digest FROM o
+WITH RECURSIVE b AS (SELECT conv_id, list_filter(list_transform(regexp_split_to_array(string_agg(text, E'\\n\\n' ORDER BY turn, text), '\\n[ \\t\\r]*\\n[ \\t\\n\\x0B\\f\\r]*'), lambda x: trim(x, E' \\t\\n')), lambda x: x <> '') AS b FROM conversations GROUP BY conv_id),
+  pa AS (SELECT conv_id, k, p, length(p) > 2000 AND NOT starts_with(p, '```') AS long FROM (SELECT conv_id, unnest(b) AS p, unnest(range(1, len(b) + 1)) AS k FROM b)),
+  gr AS (SELECT *, sum(CASE WHEN long OR before THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY k) AS g FROM (SELECT *, lag(long, 1, false) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM pa)),
+  se AS (SELECT conv_id, g, list_filter(list_transform(regexp_split_to_array(regexp_replace(p, '([.!?。！？])[ \\t\\r\\n]+', E'\\\\1\\x01', 'g'), E'\\x01'), lambda x: trim(x, E' \\t\\n')), lambda x: x <> '') AS s FROM gr WHERE long),
+  t AS (SELECT row(conv_id, g) AS id, row_number() OVER (PARTITION BY conv_id, g ORDER BY k) AS i, p, E'\\n\\n' AS gap FROM gr WHERE NOT long
+    UNION ALL SELECT row(conv_id, g), unnest(range(1, len(s) + 1)), unnest(s), ' ' FROM se),
+  {pack_sql('t', 2000, "gap", "CASE WHEN gap = ' ' THEN p ELSE right(cur, 150) || gap || p END")}
+SELECT id[1] AS conv_id, CAST(row_number() OVER (PARTITION BY id[1] ORDER BY id[2], chunk) - 1 AS INTEGER) AS chunk, length(content) AS n_chars, md5(content) AS digest FROM o
 """)
 def paragraph_chunks(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("t")))).alias("r"))
