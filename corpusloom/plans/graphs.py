@@ -308,8 +308,9 @@ PAIRS = """se AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), pr AS (S
 
 def supplier_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers that share an order, as links a, b; an order has at most seven lines, so its pairs are few."""
-    s = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
-    return s.select("l_orderkey", F.col("l_suppkey").alias("a")).join(s.select("l_orderkey", F.col("l_suppkey").alias("b")), "l_orderkey").where("a < b").select("a", "b")
+    of = table(spark, d, "lineitem").where("l_orderkey is not null").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("s"))
+    with_later = F.transform("s", lambda a, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda b: F.struct(a.alias("a"), b.alias("b"))))
+    return of.where(F.size("s") > 1).select(F.inline(F.flatten(with_later)))
 
 
 @reg.add(f"WITH {PAIRS} SELECT a, b, round(weight, 6) AS weight FROM fe")
