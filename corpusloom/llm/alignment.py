@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import pack, spans, unpack
-from .common import stash, worker_state
+from .common import stash, tidy, worker_state
 
 #: Characters of a range of a long text, characters beside its end that may belong to the stretch it cuts, fragments that a task composes.
 RANGE, BESIDE, FAN = 1 << 16, 1 << 13, 32
 #: Hash buckets of pairs, pairs after which a block is closed, links that a row of a block's documents holds, stretches that a task remembers.
-BUCKETS, BLOCK_PAIRS, ROW_LINKS, MEMO = 1024, 1_000_000, 1 << 20, 250_000
+BUCKETS, BLOCK_PAIRS, ROW_LINKS, MEMO = 1024, 1_000_000, 1 << 19, 125_000
 #: Links of a group above which its equal pairs are put together at once.
 BIG = 4096
 
@@ -402,10 +402,11 @@ def align(docs: DataFrame, a: str, b: str, size: int = RANGE, beside: int = BESI
                 ids.append(doc)
                 held.append(one.numbers(text) if text and "▁" not in text else np.zeros(0, np.int64))
                 chars += len(text)
-                if chars > 2 << 20 or k == batch.num_rows - 1:
+                if chars > 1 << 20 or k == batch.num_rows - 1:
                     yield _short([(doc, one.whole(n)) for doc, n in zip(ids, held, strict=True)])
                     one.trim()
                     ids, held, chars = [], [], 0
+        one.reset()  # a worker may stay idle beside those of the next stages
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
@@ -420,9 +421,10 @@ def align(docs: DataFrame, a: str, b: str, size: int = RANGE, beside: int = BESI
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = aligner()
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _by_row(batch):
                 f = _packed(one.part(r["text"], r["lead"], r["span"]))
                 yield pa.RecordBatch.from_pylist([{"row": r["row"], "at": r["at"], "doc_id": r["doc_id"], **f}], _LONG)
+        one.reset()
 
     def together(group: pa.Table) -> pa.Table:
         rows, out = sorted(group.to_pylist(), key=lambda r: r["at"]), Fragment()
@@ -433,11 +435,11 @@ def align(docs: DataFrame, a: str, b: str, size: int = RANGE, beside: int = BESI
     def ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # a range of nothing, where tokens of both end
-            yield _short([(r["doc_id"], compose(compose(Fragment(True), _loose(r)), Fragment(True))) for r in batch.to_pylist()])
+            yield _short([(r["doc_id"], compose(compose(Fragment(True), _loose(r)), Fragment(True))) for r in _by_row(batch)])
 
-    few = own.where(F.octet_length("text") <= 2 * size).mapInArrow(short, SHORT)
+    few = own.where(F.octet_length("text") <= 2 * size).mapInArrow(tidy(short), SHORT)
     cuts = own.where(F.octet_length("text") > 2 * size).mapInArrow(cut, "row long, at long, doc_id long, text string, lead long, span long")
-    parts = cuts.repartition("row", "at").mapInArrow(pieces, LONG)
+    parts = cuts.repartition("row", "at").mapInArrow(tidy(pieces), LONG)
     for _ in range(3):  # FAN ** 3 ranges are more than a Spark string holds
         parts = parts.groupBy("row", F.floor(F.col("at") / FAN).alias("next")).applyInArrow(together, LONG)
     return few.unionByName(parts.mapInArrow(ended, SHORT)).drop("same")
@@ -458,6 +460,12 @@ _BLOCKS = pa.schema(
 )
 
 
+def _by_row(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, one at a time: to_pylist would hold a copy of all of them."""
+    for k in range(batch.num_rows):
+        yield {c: batch[c][k].as_py() for c in batch.schema.names}
+
+
 class Known:
     """The distinct pairs of a block in order, the place of each (by first appearance), and, by place, how many documents hold it."""
 
@@ -508,8 +516,8 @@ def in_blocks(aligned: DataFrame) -> DataFrame:
 
         for b in batches:
             at = 0
-            for k, packed in enumerate(b["links"].to_pylist()):
-                said.append(links_of(packed))
+            for k, packed in enumerate(b["links"]):
+                said.append(links_of(packed.as_py()))
                 links += len(said[-1][0])
                 if links >= ROW_LINKS or k == b.num_rows - 1:
                     held.append(b.slice(at, k + 1 - at))
@@ -525,7 +533,7 @@ def in_blocks(aligned: DataFrame) -> DataFrame:
         if held or part:
             yield close()
 
-    return aligned.mapInArrow(run, BLOCKS)
+    return aligned.mapInArrow(tidy(run), BLOCKS)
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:
@@ -550,6 +558,7 @@ def link_counts(aligned: DataFrame) -> DataFrame:
     told = counts.select(F.lit(0).alias("kind"), F.col("b").cast("long").alias("block"), "part", F.lit(None).cast("binary").alias("places"), F.array(pair).alias("pairs"), "documents", "best")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("answers", dict)  # lets go of an aligner that this worker had
         part, held, known = None, [], None
         for batch in batches:
             kinds, parts = batch["kind"].to_numpy(), batch["part"].to_numpy()
@@ -575,12 +584,13 @@ def link_counts(aligned: DataFrame) -> DataFrame:
                     out.append({"kind": 0, "block": block, "part": int(part), "places": places, "rest": pack(both)})
                 yield pa.RecordBatch.from_pylist(out, _BLOCKS)
 
-    answers = told.unionByName(asked).repartition("part").sortWithinPartitions("part", "kind", "block").mapInArrow(answer, BLOCKS)
+    answers = told.unionByName(asked).repartition("part").sortWithinPartitions("part", "kind", "block").mapInArrow(tidy(answer), BLOCKS)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("answers", dict)
         block, lists, known = None, [], None
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _by_row(batch):
                 if r["block"] != block:
                     block, lists, known = r["block"], [], None
                 if r["kind"] == 0:
@@ -600,4 +610,4 @@ def link_counts(aligned: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", *others, "n_best", "count_sum"])
 
     met = blocks.where("kind = 1").drop("pairs", "many").unionByName(answers.drop("pairs", "many"))
-    return met.repartition("block").sortWithinPartitions("block", "kind", "part").mapInArrow(fill, schema)
+    return met.repartition("block").sortWithinPartitions("block", "kind", "part").mapInArrow(tidy(fill), schema)
