@@ -8,16 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What a symbol's definition looks like in common languages; {} is the escaped name.
-DEFINITION_FORMS = (
-    r"(?:def|class)\s+{}\b",
-    r"(?:function|class)\s+{}\b",
-    r"(?:const|let|var)\s+{}\s*(?:=|:)",
-    r"export\s+(?:function|class|const)\s+{}\b",
-    r"func\s+{}\b",
-    r"fn\s+{}\b",
-    r"(?:public|private|protected|static).*\s{}\s*\(",
+#: What a symbol's definition looks like in common languages. Forms that start with a word name the symbol behind it, so a line
+#: is read once for all names that it defines; the words of a line that may hold the last form ({} is the name) are tested one by one.
+NAMED = (
+    r"(?:(?:def|class|function|func|fn|export\s+const)|(?:const|let|var)(?=\s+\w+\s*(?:=|:)))"
+    r"(?=\s+(\w+)\b)"
 )
+MEMBER = r"(?:public|private|protected|static).*\s{}\s*\("
 
 
 def line_table(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
@@ -102,13 +99,14 @@ def match_summary(files: DataFrame, test: Callable[[Column], Column], most: int)
 def definitions(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     """symbol, path, line: the first line that defines each symbol (by hint file, then path, then line).
 
-    symbols: symbol, hint. Candidate lines are found by an equality join on the words of a line; the definition
-    forms are then tested with the symbol set in.
+    symbols: symbol, hint. One pattern gives the names that a line defines; they meet the symbols by an equality join. Only lines that
+    may declare a member are exploded into words, whose form is then tested with the symbol set in.
     """
-    words = lines.select("path", "line", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0)))).alias("symbol"))
-    both = words.join(symbols, "symbol")
-    forms = F.lit("|".join(f"(?:{f})" for f in DEFINITION_FORMS))
-    hit = both.where(F.regexp_like("text", F.replace(forms, F.lit("{}"), F.col("symbol"))))
+    text, most = F.col("text"), F.lit(MEMBER.replace("{}", r"\w+"))
+    named = lines.select("path", "line", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(NAMED), F.lit(1)))).alias("symbol"))
+    members = lines.where(F.regexp_like(text, most)).select("path", "line", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0)))).alias("symbol"))
+    tested = members.join(symbols, "symbol").where(F.regexp_like("text", F.replace(F.lit(MEMBER), F.lit("{}"), F.col("symbol"))))
+    hit = named.join(symbols, "symbol").unionByName(tested.drop("text"))
     first = F.min(F.struct((~F.coalesce(F.col("path") == F.col("hint"), F.lit(False))).alias("far"), "path", "line")).alias("d")
     return hit.groupBy("symbol").agg(first).select("symbol", "d.path", "d.line")
 

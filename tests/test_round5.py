@@ -1,11 +1,13 @@
 """Memory that workers keep; searches, ranks and communities whose work grows with their input."""
 
+import random
+import re
 import time
 
 import pyarrow as pa
 from corpusloom.llm import alignment, common
 from corpusloom.llm.queries import BYTE_BPE, PIECES
-from corpusloom.operators import graph, shared
+from corpusloom.operators import graph, lines, shared
 
 
 def test_aligner_forgets_after_a_task(spark):
@@ -36,3 +38,26 @@ def test_links_stay_where_they_lie(spark):
     assert shuffles(near) == 0 and sum(r["sum(weight)"] for r in near.collect()) == 1000.0
     shared.unstash(both)
     assert not spark.catalog.tableExists(both.stash_table)
+
+
+FORMS = (
+    r"(?:def|class)\s+{}\b", r"(?:function|class)\s+{}\b", r"(?:const|let|var)\s+{}\s*(?:=|:)", r"export\s+(?:function|class|const)\s+{}\b",
+    r"func\s+{}\b", r"fn\s+{}\b", r"(?:public|private|protected|static).*\s{}\s*\(",
+)
+
+
+def test_definitions_by_names(spark):
+    rnd = random.Random(3)
+    parts = ["def", "class", "function", "func", "fn", "undef", "export", "const", "let", "var", "public", "static", "Foo", "bar", "x1", "=", ":", "(", " (", "é", ".", ",", ";", "\t", "_"]
+    texts = ["def class Foo", "export const bar;", "var bar: int", "var bar, Foo = 1", "public void Foo (x) bar(", "const  x1=2", "undef Foo(", "def Fooé", "static bar"]
+    texts += ["".join(rnd.choice(parts) + rnd.choice(["", " ", " ", "  "]) for _ in range(rnd.randint(1, 9))) for _ in range(800)]
+    words = ["Foo", "bar", "x1", "class", "const", "_", "Fo"]
+    frame = spark.createDataFrame([(k, 1, t) for k, t in enumerate(texts)], "path long, line int, text string")
+    asked = spark.createDataFrame([(w, None) for w in words], "symbol string, hint long")
+    holds = lambda w, t: w in re.findall(r"\w+", t, re.A) and any(re.search(f.replace("{}", w), t, re.A) for f in FORMS)
+    want = {(w, k) for w in words for k, t in enumerate(texts) if holds(w, t)}
+    got = {(r.symbol, r.path) for r in lines.definitions(frame, asked).collect()}
+    assert got == {(w, min(k for v, k in want if v == w)) for w in {w for w, _ in want}}
+    for t in range(0, len(texts), 90):
+        some = frame.where(f"path >= {t}")
+        assert {(r.symbol, r.path) for r in lines.definitions(some, asked).collect()} == {(w, min(k for v, k in want if v == w and k >= t)) for w in {w for w, k in want if k >= t}}
