@@ -169,8 +169,8 @@ TAGS = r"""rf AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text),
 
 def tags_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Definitions (the first word of a document) and references (all its words), doc_id and name each."""
-    docs = table(spark, d, "documents").select("doc_id", X.tokenize(F.col("text")).alias("t"))
-    return docs.select("doc_id", F.get("t", F.lit(0)).alias("name")), docs.select("doc_id", F.explode(F.array_distinct("t")).alias("name"))
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", X.first_token(F.col("text")).alias("name")), docs.select("doc_id", F.explode(F.array_distinct(X.tokenize(F.col("text")))).alias("name"))
 
 
 @reg.add(f"WITH {TAGS} SELECT doc_id, name, n_defs - CASE WHEN EXISTS (SELECT 1 FROM df WHERE df.doc_id = rf.doc_id AND df.name = rf.name) THEN 1 ELSE 0 END AS n_targets FROM rf JOIN hd USING (name)")
@@ -275,7 +275,7 @@ def symbol_file_graph(spark: SparkSession, d: str) -> DataFrame:
 def repo_map(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     ranks = document_ranks(spark, d)
-    tags = docs.select(F.col("doc_id").alias("file"), F.get(X.tokenize(F.col("text")), F.lit(0)).alias("name"))
+    tags = docs.select(F.col("doc_id").alias("file"), X.first_token(F.col("text")).alias("name"))
     ranked = G.ranked_tags(tags, ranks, ["the", "la"], [], [])
     entry = F.concat(F.col("file").cast("string"), F.lit(": "), F.coalesce("name", F.lit("")))
     rows = ranked.select("file", "name", F.round("rank", 9).alias("rank"), F.length(entry).alias("cost"))

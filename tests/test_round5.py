@@ -61,3 +61,15 @@ def test_definitions_by_names(spark):
     for t in range(0, len(texts), 90):
         some = frame.where(f"path >= {t}")
         assert {(r.symbol, r.path) for r in lines.definitions(some, asked).collect()} == {(w, min(k for v, k in want if v == w and k >= t)) for w in {w for w, k in want if k >= t}}
+
+
+def test_references_are_dealt_once(spark, monkeypatch):
+    """Rounds read a file's names in buckets of files; they aren't shuffled again for each."""
+    plans = []
+    monkeypatch.setattr(graph, "stash", lambda df, *a: (plans.append(df._jdf.queryExecution().executedPlan().toString()), shared.stash(df, *a))[1])
+    rows = [(i, f"n{i % 7}") for i in range(40)]
+    defs, refs = (spark.createDataFrame(x, "id long, name string") for x in (rows, [(i, f"n{k}") for i in range(40) for k in range(9)]))
+    ranks = {r.id: r["rank"] for r in graph.name_pagerank(defs, refs, spark.range(41), rounds=2).collect()}
+    assert len(ranks) == 41 and abs(sum(ranks.values()) - 1) < 1e-9
+    rounds = [p for p in plans if "through" in p]
+    assert len(rounds) == 2 and all("Bucketed: true" in p for p in rounds)
