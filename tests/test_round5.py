@@ -3,11 +3,13 @@
 import random
 import re
 import time
+from collections import Counter
 
 import pyarrow as pa
 from corpusloom.llm import alignment, common
 from corpusloom.llm.queries import BYTE_BPE, PIECES
 from corpusloom.operators import graph, lines, shared
+from corpusloom.sources import postings
 
 
 def test_aligner_forgets_after_a_task(spark):
@@ -73,3 +75,17 @@ def test_references_are_dealt_once(spark, monkeypatch):
     assert len(ranks) == 41 and abs(sum(ranks.values()) - 1) < 1e-9
     rounds = [p for p in plans if "through" in p]
     assert len(rounds) == 2 and all("Bucketed: true" in p for p in rounds)
+
+
+def test_terms_are_counted_inside_of_their_row(spark, monkeypatch):
+    plans, append = [], postings._append
+    monkeypatch.setattr(postings, "_append", lambda rows, index, kind: (plans.append((kind, rows._jdf.queryExecution().executedPlan().toString())), append(rows, index, kind)))
+    texts = ["b a b", "", None, "a", "a a A", "c " * 300 + "a", "..", "b a c a b"]
+    docs = spark.createDataFrame([*enumerate(texts)], "id long, text string")
+    index = postings.create_index(spark, shared.place(spark, "test"), buckets=4)
+    postings.add_documents(index, docs)
+    want = {(i, w, n, len((t or "").replace(".", "").split())) for i, t in enumerate(texts) for w, n in Counter((t or "").lower().replace(".", "").split()).items()}
+    got = [(r.id, r.term, r.tf, r.dl) for r in index.table("postings").collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert {r.term: r.n for r in postings.term_totals(index).collect()} == Counter(" ".join(t or "" for t in texts).lower().replace(".", "").split())
+    assert [p.count("Exchange") for kind, p in plans if kind == "postings"] == [0]
